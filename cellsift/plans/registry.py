@@ -6,7 +6,7 @@ import importlib
 
 from cellsift.plans.audit import Query
 
-_MODULES = ("detection", "table_jobs")
+_MODULES = ("detection", "table_jobs", "file_jobs", "chat_jobs", "rating_jobs", "stream_jobs")
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:

@@ -12,7 +12,7 @@ from cellsift.plans.audit import DENSE_CATALOG, findings_sql, joined, listed_sql
 from cellsift.schema import locate
 from cellsift.sources.documents import json_cells, key_value_cells, record_cells, scan_collections
 from cellsift.sources.literal import text_cells
-from cellsift.sources.tables import scan_tables, table_cells
+from cellsift.sources.tables import catalog_tables, scan_tables, table_cells
 
 # Columns of the given tables, for the SQL side; doubles and timestamps print alike in Python and DuckDB.
 COLUMNS = {
@@ -90,6 +90,20 @@ def _summary_sql(cells: str) -> str:
     )
 
 
+def table_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables found by name in the session's catalogue, then all of them melted."""
+    for name in ("nation", "part", "supplier"):
+        table(spark, sf, name).createOrReplaceTempView(f"found_{name}")
+    names = [n for n in catalog_tables(spark) if n.startswith("found_")]
+    return _summary(scan_tables(names, spark.table))
+
+
+_DISCOVERED = " UNION ALL ".join(
+    cells_sql(n, k).replace(f"'{n}' AS \"table\"", f"'found_{n}' AS \"table\"")
+    for n, k in (("nation", "n_nationkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"))
+)
+
+
 def table_whitelist(spark: SparkSession, sf: str) -> DataFrame:
     cells = scan_tables(
         ["customer", "nation", "orders", "part"], lambda n: table(spark, sf, n), ["orders", "part", "no_such_table"]
@@ -228,6 +242,7 @@ _CELLS = 'SELECT row_id, "table", "column", value FROM '
 
 QUERIES = {
     "src_table_scan": (table_scan, _TABLE_SQL),
+    "src_table_discovery": (table_discovery, _summary_sql(_DISCOVERED)),
     "src_table_whitelist": (
         table_whitelist,
         _summary_sql(cells_sql("orders", "o_orderkey") + " UNION ALL " + cells_sql("part", "p_partkey")),

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 #: A row of text cannot outgrow what one Spark value holds; what does is reported as an error row.
 MAX_MEMBER_BYTES = 1 << 30
 MAX_DEPTH = 16
+#: Parts are handed back to Spark in batches of about this size.
+BATCH_ROWS = 1000
+BATCH_CHARS = 8 << 20
 
 EXTRACT_SCHEMA = "path string, member_path string, text string, error string"
 
@@ -27,16 +30,23 @@ _UNREAD = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".pdf", ".mp4", ".avi", ".mo
 def extract(files: DataFrame) -> DataFrame:
     """``(path, content)`` to one row per readable part: ``path, member_path, text, error``.
 
-    A part that cannot be read gives an error row and the scan goes on. Members are passed on one at a time.
+    A part that cannot be read gives an error row and the scan goes on. Members are read one at a time.
     """
     return files.select("path", "content").mapInPandas(_extract_batches, EXTRACT_SCHEMA)
 
 
 def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "member_path", "text", "error"]
+    rows, chars = [], 0
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             for member, text, error in _parts(path, bytes(content), None, 0):
-                yield pd.DataFrame({"path": [path], "member_path": [member], "text": [text], "error": [error]})
+                rows.append((path, member, text, error))
+                chars += len(text or "")
+                if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, chars = [], 0
+    yield pd.DataFrame(rows, columns=columns)
 
 
 def _parts(name: str, content: bytes, member: str | None, depth: int) -> Iterator[tuple]:
