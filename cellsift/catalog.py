@@ -9,87 +9,92 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+try:
+    from re import _parser as _sre
+except ImportError:  # Python 3.10
+    import sre_parse as _sre
+
 
 @dataclass(frozen=True)
 class Detector:
     """One named pattern in Java syntax, without flags.
 
     ``literals``: lower-case ASCII strings, at least one of which is inside every match.
-    ``precheck``: a cheaper pattern that is found wherever a match is.
+    ``prechecks``: cheaper patterns, each of which is found wherever a match is; detectors share their evaluation.
     Both only skip work; a detector without them gives the same result.
     """
 
     name: str
     pattern: str
     literals: tuple[str, ...] = ()
-    precheck: str | None = None
+    prechecks: tuple[str, ...] = ()
 
 
-_AWS_KEY = r"(a(?:3t[a-z0-9]|kia|gpa|roa|ipa|npa|nva|sia))[a-z0-9]{16}"
-_MAILCHIMP = r"[0-9a-f]{32}-us[0-9]{1,2}"
+FOUR_DIGITS = r"\d{4}"
+
+
+def _token(name: str, pattern: str, *literals: str) -> Detector:
+    return Detector(name, pattern, literals)
+
 
 # Names and token shapes of the built-in detectors, in their customary order.
 # Every pattern is matched without regard to case.
+_AWS_KEY = r"(a(?:3t[a-z0-9]|[ks]ia|[gin]pa|roa|nva))[a-z0-9]{16}"
+_MAILCHIMP = r"[0-9a-f]{32}-us[0-9]{1,2}"
 DEFAULT_CATALOG: tuple[Detector, ...] = (
     Detector("Email", r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", ("@",)),
     Detector("Phone Number", r"^\(\+\d{1,2}\s\)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}$", ("(+",)),
-    Detector("Aadhar", r"\b\d{4}[-.]?\d{4}[-.]?\d{4}\b", precheck=r"\d{4}[-.]?\d{4}"),
+    Detector("Aadhar", r"\b\d{4}[-.]?\d{4}[-.]?\d{4}\b", (), (FOUR_DIGITS,)),
     Detector(
         "PAN",
         r"\b(?:panNumber\s*:\s*|pan\s*:\s*|panNo\s*=\s*|<)?\s*[a-z]{5}[0-9]{4}[a-z]\s*>?\b",
-        precheck=r"[0-9]{4}[a-z]",
-    ),
-    Detector(
-        "Amazon MWS Auth Token",
-        r"amzn\.mws\.[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}",
-        ("amzn.mws.",),
+        (),
+        (FOUR_DIGITS, r"[0-9]{4}[a-z]"),
     ),
+    _token("Amazon MWS Auth Token", r"amzn\.mws\.[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", "amzn.mws."),
     Detector("Amazon SNS Topic Disclosure", r"arn:aws:sns:[a-z0-9-]+:[0-9]+:[a-z0-9_-]+", ("arn:aws:sns:",)),
     Detector("AWS Access Key ID Value", _AWS_KEY),
-    Detector(
-        "Cloudinary Credentials Disclosure",
-        r"cloudinary://[0-9]{15}:[0-9a-z_-]+@[0-9a-z_-]+",
-        ("cloudinary://",),
-    ),
-    Detector("FCM Server Key", r"aaaa[a-z0-9_-]{7}:[a-z0-9_-]{140}", ("aaaa",)),
-    Detector("Mailchimp API", _MAILCHIMP, ("-us",)),
-    Detector("Slack access token", r"xoxb-[0-9a-z-]{51}", ("xoxb-",)),
-    Detector("Slack User token disclosure", r"xoxp-[0-9a-z-]{72}", ("xoxp-",)),
-    Detector(
+    Detector("Cloudinary Credentials Disclosure", r"cloudinary://[0-9]{15}:[0-9a-z_-]+@[0-9a-z_-]+", ("://",)),
+    _token("FCM Server Key", r"aaaa[a-z0-9_-]{7}:[a-z0-9_-]{140}", "aaaa"),
+    _token("Mailchimp API", _MAILCHIMP, "-us"),
+    _token("Slack access token", r"xoxb-[0-9a-z-]{51}", "xoxb-"),
+    _token("Slack User token disclosure", r"xoxp-[0-9a-z-]{72}", "xoxp-"),
+    _token(
         "Slack Webhook",
         r"https://hooks.slack.com/services/t[0-9a-z_-]{10}/b[0-9a-z_-]{10}/[0-9a-z_-]{23}",
-        ("https://hooks",),
+        "https://hooks",
     ),
-    Detector("SonarQube Token", r"""sonar.{0,50}["'`]?[0-9a-f]{40}["'`]?""", ("sonar",)),
+    _token("SonarQube Token", r"""sonar.{0,50}["'`]?[0-9a-f]{40}["'`]?""", "sonar"),
     Detector("AWS Access Key ID", _AWS_KEY),
-    Detector("AWS Cognito Pool ID", r":[0-9a-z]{8}(?:-[0-9a-z]{4}){3}-[0-9a-z]{12}", (":",)),
+    _token("AWS Cognito Pool ID", r":[0-9a-z]{8}(?:-[0-9a-z]{4}){3}-[0-9a-z]{12}", ":"),
     Detector(
-        "Basic Auth Credentials",
-        r"""[a-z]{3,10}://[^/\s:@]{3,20}:[^/\s:@]{3,20}@.{1,100}["'\s]""",
-        ("://",),
+        "Basic Auth Credentials", r"""[a-z]{3,10}://[^/\s:@]{3,20}:[^/\s:@]{3,20}@.{1,100}["'\s]""", ("://",)
     ),
-    Detector("Dynatrace Token", r"dt0[a-z][0-9]{2}\.[a-z0-9]{24}\.[a-z0-9]{64}", ("dt0",)),
-    Detector("Facebook Client ID", r"""(f(?:acebook|b))(.{0,20})?['"][0-9]{13,17}['"]""", ("facebook", "fb")),
-    Detector("Facebook Secret Key", r"""(f(?:acebook|b))(.{0,20})?['"][0-9a-f]{32}['"]""", ("facebook", "fb")),
-    Detector("Google (GCP) Service-account", r'"type": "service_account"', ("service_account",)),
-    Detector("Google API key", r"aiza[0-9a-z_-]{35}", ("aiza",)),
-    Detector("Linkedin Client ID", r"linkedin(.{0,20})?[0-9a-z]{12}", ("linkedin",)),
-    Detector("Mailchimp API Key", _MAILCHIMP, ("-us",)),
-    Detector("Mailgun API Key", r"key-[0-9a-z]{32}", ("key-",)),
+    _token("Dynatrace Token", r"dt0[a-z][0-9]{2}\.[a-z0-9]{24}\.[a-z0-9]{64}", "dt0"),
     Detector(
-        "Paypal Braintree Access Token",
-        r"access_token\$production\$[0-9a-z]{16}\$[0-9a-f]{32}",
-        ("$production$",),
+        "Facebook Client ID",
+        r"""(f(?:acebook|b))(.{0,20})?['"][0-9]{13,17}['"]""",
+        ("facebook", "fb"),
+        (FOUR_DIGITS,),
+    ),
+    _token("Facebook Secret Key", r"""(f(?:acebook|b))(.{0,20})?['"][0-9a-f]{32}['"]""", "facebook", "fb"),
+    Detector("Google (GCP) Service-account", r'"type": "service_account"', ('": "',)),
+    _token("Google API key", r"aiza[0-9a-z_-]{35}", "aiza"),
+    Detector("Linkedin Client ID", r"linkedin(.{0,20})?[0-9a-z]{12}", ("linkedin",)),
+    _token("Mailchimp API Key", _MAILCHIMP, "-us"),
+    _token("Mailgun API Key", r"key-[0-9a-z]{32}", "key-"),
+    _token(
+        "Paypal Braintree Access Token", r"access_token\$production\$[0-9a-z]{16}\$[0-9a-f]{32}", "$production$"
     ),
-    Detector("Pictatic API Key", r"sk_live_[0-9a-z]{32}", ("sk_live_",)),
-    Detector("Sendgrid API Key", r"sg\.[a-z0-9]{22}\.[a-z0-9]{43}", ("sg.",)),
-    Detector("Shopify Custom App Access Token", r"shpca_[a-f0-9]{32}", ("shpca_",)),
-    Detector("Shopify Private App Access Token", r"shppa_[a-f0-9]{32}", ("shppa_",)),
-    Detector("Shopify Shared Secret", r"shpss_[a-f0-9]{32}", ("shpss_",)),
-    Detector("Square Accesss Token", r"sq0atp-[0-9a-z_-]{22}", ("sq0atp-",)),
-    Detector("Square OAuth Secret", r"sq0csp-[0-9a-z_-]{43}", ("sq0csp-",)),
-    Detector("Twilio API Key", r"twilio(.{0,20})?sk[0-9a-f]{32}", ("twilio",)),
-    Detector("Twitter Secret", r"twitter(.{0,20})?[0-9a-z]{35,44}", ("twitter",)),
+    _token("Pictatic API Key", r"sk_live_[0-9a-z]{32}", "sk_live_"),
+    _token("Sendgrid API Key", r"sg\.[a-z0-9]{22}\.[a-z0-9]{43}", "sg."),
+    _token("Shopify Custom App Access Token", r"shpca_[a-f0-9]{32}", "shpca_"),
+    _token("Shopify Private App Access Token", r"shppa_[a-f0-9]{32}", "shppa_"),
+    _token("Shopify Shared Secret", r"shpss_[a-f0-9]{32}", "shpss_"),
+    _token("Square Accesss Token", r"sq0atp-[0-9a-z_-]{22}", "sq0atp-"),
+    _token("Square OAuth Secret", r"sq0csp-[0-9a-z_-]{43}", "sq0csp-"),
+    _token("Twilio API Key", r"twilio(.{0,20})?sk[0-9a-f]{32}", "twilio"),
+    _token("Twitter Secret", r"twitter(.{0,20})?[0-9a-z]{35,44}", "twitter"),
 )
 
 #: A catalogue is turned into literals of one plan, so a table of them is read only up to this many rows.
@@ -103,7 +108,7 @@ def as_catalog(catalog: Catalog = None) -> list[Detector]:
     if catalog is None:
         return list(DEFAULT_CATALOG)
     if isinstance(catalog, Mapping):
-        return [Detector(name, java_pattern(rx)) for name, rx in catalog.items()]
+        return [Detector(name, java_pattern(rx), required_literals(rx)) for name, rx in catalog.items()]
     return list(catalog)
 
 
@@ -167,6 +172,32 @@ def java_pattern(python_pattern: str) -> str:
     return "".join(out)
 
 
+def required_literals(python_pattern: str) -> tuple[str, ...]:
+    """The longest ASCII literal that every match of a Python regex must hold, lower-cased; empty if none is found."""
+    try:
+        parsed = _sre.parse(python_pattern, re.IGNORECASE)
+    except (AttributeError, re.error):
+        return ()
+    runs = [r for r in _literal_runs(parsed) if r.strip("0123456789. ")]
+    return (max(runs, key=len),) if runs else ()
+
+
+def _literal_runs(parsed) -> list[str]:
+    """Literal stretches of a regex's top level that no match can do without."""
+    runs, run = [], ""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL" and arg < 128:
+            run += chr(arg).lower()
+            continue
+        runs, run = [*runs, run], ""
+        if kind == "SUBPATTERN":
+            runs += _literal_runs(arg[-1])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+            runs += _literal_runs(arg[-1])
+    return [r for r in [*runs, run] if r]
+
+
 def _group_name(name: str) -> str:
     return "g" + "".join(c if c.isalnum() else format(ord(c), "x") for c in name)
 

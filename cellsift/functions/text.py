@@ -6,8 +6,11 @@ from pyspark.sql import Column, functions as F, types as T
 
 SAMPLE_CHARS = 50
 
-# Blanks a trim removes: Unicode white space and the four ASCII separators.
-_EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# The blanks a trim removes (Unicode white space and the four ASCII separators).
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
@@ -22,11 +25,15 @@ def redact(c: Column) -> Column:
 
 
 def strip_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_BLANKS, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def tidy_matches(matches: Column, redacted: bool = False) -> Column:
-    """Redact, then trim, then keep distinct values in sorted order. The order of the steps decides the count."""
+    """Redact, then trim, then keep distinct values in sorted order. The order of the steps decides the count.
+
+    Equal matches stay equal under both steps, so repeats are dropped once before them too.
+    """
+    matches = F.array_distinct(matches)
     if redacted:
         matches = F.transform(matches, redact)
     return F.sort_array(F.array_distinct(F.transform(matches, strip_blanks)))

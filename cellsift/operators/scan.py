@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cellsift.catalog import Catalog, Detector, as_catalog
@@ -18,49 +21,48 @@ _SALTS = 256
 
 
 class _Gates:
-    """Cheap conditions computed once per cell and shared by every detector that names them."""
+    """Cheap conditions computed once per cell, so that a detector's regex runs only where it can match.
+
+    Prechecks and the lower-cased text come first; the gates built on them stop at the first that fails.
+    """
 
-    def __init__(self, text: str, unicode: bool):
+    def __init__(self, text: str, detectors: Sequence[Detector], unicode: bool):
         self.text, self.unicode = F.col(text), unicode
-        self.columns: dict[str, Column] = {}
-        self._by_key: dict[tuple[str, str], Column] = {}
-        self.folds = False
+        self.first: dict[str, Column] = {}
+        self.second: dict[str, Column] = {}
+        self._prechecks: dict[str, Column] = {}
+        self._gates: dict[tuple, Column] = {}
+        for d in detectors:
+            key = (d.prechecks, d.literals)
+            if (d.prechecks or d.literals) and key not in self._gates:
+                name = f"_gate{len(self._gates)}"
+                self.second[name] = self._condition(d)
+                self._gates[key] = F.col(name)
 
     def __call__(self, d: Detector) -> Column | None:
-        condition = None
-        for literal in d.literals:
-            one = self._column("literal", literal)
-            condition = one if condition is None else condition | one
-        if d.precheck:
-            pre = self._column("precheck", d.precheck)
-            condition = pre if condition is None else condition & pre
-        return condition
-
-    def _column(self, kind: str, value: str) -> Column:
-        key = (kind, value)
-        if key not in self._by_key:
-            name = f"_gate{len(self._by_key)}"
-            if kind == "precheck":
-                self.columns[name] = self.text.rlike(flagged(value, self.unicode))
-            elif value.lower() == value.upper():
-                self.columns[name] = self.text.contains(value)
-            else:
-                self.folds = True
-                found = F.col(_FOLDED).contains(value)
-                self.columns[name] = F.col(_ODD) | found if self.unicode else found
-            self._by_key[key] = F.col(name)
-        return self._by_key[key]
-
-    def folded(self) -> dict[str, Column]:
-        if not self.folds:
-            return {}
-        out = {_FOLDED: F.lower(self.text)}
-        if self.unicode:
-            odd = F.lit(False)
-            for letter in ODD_LETTERS:
-                odd = odd | self.text.contains(letter)
-            out[_ODD] = odd
-        return out
+        return self._gates.get((d.prechecks, d.literals))
+
+    def _condition(self, d: Detector) -> Column:
+        parts = [self._precheck(p) for p in d.prechecks]
+        if d.literals:
+            parts.append(reduce(Column.__or__, [self._holds(literal) for literal in d.literals]))
+        return reduce(Column.__and__, parts)
+
+    def _precheck(self, pattern: str) -> Column:
+        if pattern not in self._prechecks:
+            name = f"_precheck{len(self._prechecks)}"
+            self.first[name] = self.text.rlike(flagged(pattern, self.unicode))
+            self._prechecks[pattern] = F.col(name)
+        return self._prechecks[pattern]
+
+    def _holds(self, literal: str) -> Column:
+        if literal.lower() == literal.upper():
+            return self.text.contains(literal)
+        self.first[_FOLDED] = F.lower(self.text)
+        if not self.unicode:
+            return F.col(_FOLDED).contains(literal)
+        self.first[_ODD] = reduce(Column.__or__, [self.text.contains(letter) for letter in ODD_LETTERS])
+        return F.col(_ODD) | F.col(_FOLDED).contains(literal)
 
 
 def scan(
@@ -83,19 +85,18 @@ def scan(
     carried_cols = [F.col(f"`{c}`") for c in carried]
     value = "_value"
 
-    gates = _Gates(value, unicode)
+    gates = _Gates(value, detectors, unicode)
     found = hits(F.col(value), detectors, group_mode, unicode, gates)
     cells = cells.where(F.col(f"`{text}`").isNotNull() & (F.col(f"`{text}`") != "")).select(
         *carried_cols, F.col(f"`{text}`").alias(value)
     )
-    folded = gates.folded()
-    if folded:
-        cells = cells.withColumns(folded)
+    if gates.first:
+        cells = cells.withColumns(gates.first)
     cells = cells.select(
         *carried_cols,
         value,
         sample_text(F.col(value), redacted).alias("sample_text"),
-        *[c.alias(n) for n, c in gates.columns.items()],
+        *[c.alias(n) for n, c in gates.second.items()],
     )
     return (
         cells.select(*carried_cols, "sample_text", F.inline(found))

@@ -22,6 +22,7 @@ from cellsift.plans.audit import (
     texts,
 )
 from cellsift.schema import LOCATORS, conform
+from cellsift.session import written
 
 _SOURCES = tuple(LOCATORS)
 
@@ -256,14 +257,16 @@ def hashes(spark: SparkSession, sf: str) -> DataFrame:
     return al.alerts(findings(spark, sf)).select("row_key", "pattern_name", "msg_hash")
 
 
-def _history(spark: SparkSession, sf: str) -> DataFrame:
-    """Alerts of an earlier run: those of labelled documents."""
+def _run_and_history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Alerts of this run, from a stored finding table, and hashes of an earlier run over the labelled documents."""
+    now = al.alerts(written(findings(spark, sf), "findings"))
     labelled = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("row_key"))
-    return al.alerts(findings(spark, sf)).join(labelled, "row_key", "left_semi").select("msg_hash")
+    return now, now.join(labelled, "row_key", "left_semi").select("msg_hash")
 
 
 def suppress_history(spark: SparkSession, sf: str) -> DataFrame:
-    fresh = al.unseen(al.alerts(findings(spark, sf)), _history(spark, sf))
+    now, history = _run_and_history(spark, sf)
+    fresh = al.unseen(now, history)
     return fresh.select("row_key", "pattern_name", "msg_hash")
 
 
@@ -287,7 +290,8 @@ def suppress_within_run(spark: SparkSession, sf: str) -> DataFrame:
 
 def suppressed(spark: SparkSession, sf: str) -> DataFrame:
     """Both ways of suppression, as a run does them."""
-    left = al.suppress(al.alerts(findings(spark, sf)), _history(spark, sf), order=["row_key", "pattern_name"])
+    now, history = _run_and_history(spark, sf)
+    left = al.suppress(now, history, order=["row_key", "pattern_name"])
     return left.select("row_key", "pattern_name", "msg_hash")
 
 

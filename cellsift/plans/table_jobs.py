@@ -10,6 +10,7 @@ from cellsift.operators.ordering import row_range
 from cellsift.operators.scan import scan
 from cellsift.plans.audit import DENSE_CATALOG, findings_sql, joined, listed_sql, table, texts
 from cellsift.schema import locate
+from cellsift.session import spread
 from cellsift.sources.documents import json_cells, key_value_cells, record_cells, scan_collections
 from cellsift.sources.literal import text_cells
 from cellsift.sources.tables import catalog_tables, scan_tables, table_cells
@@ -59,7 +60,7 @@ def table_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Every cell of four tables, found and located."""
     cells = scan_tables(
         _SCANNED,
-        lambda name: table(spark, sf, name),
+        lambda name: spread(table(spark, sf, name), _SCANNED[name]),
         ids={name: [key] for name, key in _SCANNED.items()},
         data_source="mysql",
         profile="shop",
@@ -146,11 +147,8 @@ def skip_falsy(spark: SparkSession, sf: str) -> DataFrame:
 
 def stringify(spark: SparkSession, sf: str) -> DataFrame:
     """Integers, floats, timestamps and text of two tables as text."""
-    cells = scan_tables(
-        ["lineitem", "part"],
-        lambda n: table(spark, sf, n),
-        ids={"lineitem": ["l_orderkey", "l_linenumber"], "part": ["p_partkey"]},
-    )
+    keys = {"lineitem": ["l_orderkey", "l_linenumber"], "part": ["p_partkey"]}
+    cells = scan_tables(keys, lambda n: spread(table(spark, sf, n), *keys[n]), ids=keys)
     return cells.select("row_id", "table", "column", "value")
 
 
