@@ -68,7 +68,10 @@ DEFAULT_CATALOG: tuple[Detector, ...] = (
     Detector("AWS Access Key ID", _AWS_KEY),
     _token("AWS Cognito Pool ID", r":[0-9a-z]{8}(?:-[0-9a-z]{4}){3}-[0-9a-z]{12}", ":"),
     Detector(
-        "Basic Auth Credentials", r"""[a-z]{3,10}://[^/\s:@]{3,20}:[^/\s:@]{3,20}@.{1,100}["'\s]""", ("://",)
+        "Basic Auth Credentials",
+        r"""[a-z]{3,10}://[^/\s:@]{3,20}:[^/\s:@]{3,20}@.{1,100}["'\s]""",
+        ("://",),
+        (r"://[^/\s:@]{3,20}:",),
     ),
     _token("Dynatrace Token", r"dt0[a-z][0-9]{2}\.[a-z0-9]{24}\.[a-z0-9]{64}", "dt0"),
     Detector(

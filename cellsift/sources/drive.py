@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellsift.sources.files import excluded_name
+from cellsift.sources.files import excluded_name, file_cells
 
 # Types of native documents, which a drive delivers as PDF, the folder type, and the name mark.
 NATIVE_TYPES = (
@@ -52,3 +52,12 @@ def drive_listing(
     return files.select(
         "file_id", shown_name(F.col("stored_name")).alias("file_name"), "stored_name", "user", "owner", "mime"
     )
+
+
+def drive_cells(listing: DataFrame, files: DataFrame) -> DataFrame:
+    """Texts of listed files: ``(file_id, file_name, user, file_path, member_path, value)``.
+
+    ``files`` are the drive's files as the binary reader delivers them, under their stored names.
+    """
+    texts = file_cells(files).withColumn("stored_name", F.substring_index("file_path", "/", -1))
+    return listing.select("file_id", "file_name", "user", "stored_name").join(texts, "stored_name").drop("stored_name")

@@ -1,0 +1,210 @@
+import json
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from cellsift.catalog import (
+    DEFAULT_CATALOG,
+    Detector,
+    as_catalog,
+    catalog_from_table,
+    group_count,
+    java_pattern,
+    load_catalog,
+    required_literals,
+)
+from cellsift.functions.matching import scan_text
+from cellsift.operators.scan import any_hit, scan, scan_pattern
+
+HEX = "0123456789abcdef" * 10
+NUM = "7" * 20
+UUID = "-".join((HEX[:8], HEX[:4], HEX[4:8], HEX[8:12], HEX[:12]))
+
+# Tokens are put together here so that no token-like literal stands in the repository.
+HITS = {
+    "Email": "jane.doe+x@" + "mail.example.org",
+    "Phone Number": "(+1 (555)-123-" + "4567",
+    "Aadhar": "1234-5678" + ".9012",
+    "PAN": "ABCDE" + "1234F",
+    "Amazon MWS Auth Token": "amzn" + ".mws." + UUID,
+    "Amazon SNS Topic Disclosure": "arn:aws:" + "sns:eu-west-1:123456:My-Topic",
+    "AWS Access Key ID Value": "AK" + "IA" + HEX[:16].upper(),
+    "Cloudinary Credentials Disclosure": "cloudinary" + "://" + NUM[:15] + ":ab-c@name",
+    "FCM Server Key": "AA" + "AA" + HEX[:7] + ":" + HEX[:140],
+    "Mailchimp API": HEX[:32] + "-us" + "12",
+    "Slack access token": "xo" + "xb-" + HEX[:51],
+    "Slack User token disclosure": "xo" + "xp-" + HEX[:72],
+    "Slack Webhook": "https://hooks." + "slack.com/services/T" + HEX[:10] + "/B" + HEX[:10] + "/" + HEX[:23],
+    "SonarQube Token": "sonar" + ".token='" + HEX[:40] + "'",
+    "AWS Access Key ID": "AS" + "IA" + HEX[:16].upper(),
+    "AWS Cognito Pool ID": "eu-west-1:" + UUID,
+    "Basic Auth Credentials": "https://" + "user:secret@host.example.org ",
+    "Dynatrace Token": "dt0" + "c01." + HEX[:24].upper() + "." + HEX[:64].upper(),
+    "Facebook Client ID": "facebook" + " id = '" + NUM[:13] + "'",
+    "Facebook Secret Key": "fb" + "secret \"" + HEX[:32] + '"',
+    "Google (GCP) Service-account": '"type": "service' + '_account"',
+    "Google API key": "AI" + "za" + HEX[:35],
+    "Linkedin Client ID": "linkedin" + " key = " + HEX[:12],
+    "Mailchimp API Key": HEX[:32] + "-us" + "1",
+    "Mailgun API Key": "key" + "-" + HEX[:32],
+    "Paypal Braintree Access Token": "access_token" + "$production$" + HEX[:16] + "$" + HEX[:32],
+    "Pictatic API Key": "sk_" + "live_" + HEX[:32],
+    "Sendgrid API Key": "S" + "G." + HEX[:22] + "." + HEX[:43],
+    "Shopify Custom App Access Token": "shp" + "ca_" + HEX[:32],
+    "Shopify Private App Access Token": "shp" + "pa_" + HEX[:32],
+    "Shopify Shared Secret": "shp" + "ss_" + HEX[:32],
+    "Square Accesss Token": "sq0" + "atp-" + HEX[:22],
+    "Square OAuth Secret": "sq0" + "csp-" + HEX[:43],
+    "Twilio API Key": "twilio" + " = SK" + HEX[:32],
+    "Twitter Secret": "twitter" + "=" + HEX[:35],
+}
+
+# One character short of a match.
+MISSES = {
+    name: hit[:-1] for name, hit in HITS.items() if name not in ("Email", "Amazon SNS Topic Disclosure", "SonarQube Token")
+} | {
+    "Email": "jane.doe@mail.o",
+    "Amazon SNS Topic Disclosure": "arn:aws:" + "sns:eu-west-1:123456:",
+    "SonarQube Token": "sonar" + ".token='" + HEX[:39] + "'",
+    "Cloudinary Credentials Disclosure": "cloudinary" + "://" + NUM[:14] + ":ab-c@name",
+    "Mailchimp API": HEX[:32] + "-us",
+    "Mailchimp API Key": HEX[:31] + "-us1",
+    "Linkedin Client ID": "linkedin" + HEX[:11],
+}
+
+
+def python_matches(detector: Detector, text: str) -> list[str]:
+    found = [m.group().strip() for m in re.finditer(detector.pattern, text, re.IGNORECASE)]
+    return sorted(set(found))
+
+
+def expected(detectors, texts):
+    return {
+        (i, d.name): m for i, t in enumerate(texts) for d in detectors if (m := python_matches(d, t))
+    }
+
+
+def run(spark, detectors, texts, **options):
+    cells = spark.createDataFrame(list(enumerate(texts)), "id int, value string")
+    return {(r["id"], r["pattern_name"]): r["matches"] for r in scan(cells, "value", detectors, **options).collect()}
+
+
+def test_names():
+    names = [d.name for d in DEFAULT_CATALOG]
+    assert len(names) == len(set(names)) == 35
+    assert set(HITS) == set(names)
+
+
+def test_planted(spark):
+    texts, wanted, unwanted = [], {}, set()
+    for name, hit in HITS.items():
+        variants = [hit, hit.upper(), hit.lower()]
+        if name != "Phone Number":
+            variants.append(f"so here it is:\n {hit} and on")
+        for v in variants:
+            wanted[(len(texts), name)] = v
+            texts.append(v)
+        unwanted.add((len(texts), name))
+        texts.append(MISSES[name])
+    got = run(spark, DEFAULT_CATALOG, texts)
+    assert got == expected(DEFAULT_CATALOG, texts)
+    assert set(wanted) <= set(got)
+    assert not unwanted & set(got)
+
+
+def test_gates_change_nothing(spark):
+    """Random mixes of token pieces, odd letters and blanks: gated, ungated and Python agree."""
+    rnd = random.Random(7)
+    pieces = [*HITS.values(), *MISSES.values(), " ", "\n", " ", "é", "ſ", "ı", "İ", "K", "١٢٣٤", "x", "(+1 555-123-4567"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 12))) for _ in range(300)]
+    texts += [t.replace("s", "ſ").replace("k", "K") for t in HITS.values()]
+    texts += [t.replace("i", "ı") for t in HITS.values()] + [t.replace("I", "İ").replace("i", "İ") for t in HITS.values()]
+    ungated = [Detector(d.name, d.pattern) for d in DEFAULT_CATALOG]
+    gated = run(spark, DEFAULT_CATALOG, texts)
+    assert gated == run(spark, ungated, texts)
+    assert gated == expected(DEFAULT_CATALOG, texts)
+    ascii_only = run(spark, DEFAULT_CATALOG, texts, unicode=False)
+    assert ascii_only == run(spark, ungated, texts, unicode=False)
+
+
+def test_unicode_digits_and_boundaries(spark):
+    texts = ["١٢٣٤-٥٦٧٨-٩٠١٢", "éab@x.com", "a.ab@x.comé", "né 1234-5678-9012"]
+    assert run(spark, DEFAULT_CATALOG, texts) == expected(DEFAULT_CATALOG, texts)
+
+
+def test_line_ends(spark):
+    catalog = {"any": "a.b", "end": "b$"}
+    texts = ["a\rb", "a\nb", "a b", "xb\n", "xb\r"]
+    got = run(spark, catalog, texts)
+    assert got == {(i, n): sorted({m.strip() for m in re.findall(rx, t)}) for i, t in enumerate(texts) for n, rx in catalog.items() if re.search(rx, t)}
+
+
+def test_group_mode(spark):
+    catalog = {"one": r"(ab|cd)[0-9]", "none": r"x[0-9]", "two": r"(a)(b)c", "maybe": r"q(z)?"}
+    got = run(spark, catalog, ["AB1 cd2 x3 abc q qz"], group_mode="first")
+    assert got == {(0, "one"): ["AB", "cd"], (0, "none"): ["x3"], (0, "two"): ["abc"], (0, "maybe"): ["", "z"]}
+    with pytest.raises(ValueError):
+        run(spark, catalog, ["x"], group_mode="last")
+
+
+def test_python_spelling(spark):
+    cases = {
+        r"(?P<a_b>[x[])(?P=a_b)": "[[ xx x[",
+        r"ab{,2}c\Z": "abbc",
+        r"[]a-c]+": "a]b",
+        r"[^]]+": "ab]",
+        r"[a&&b]+": "a&b&&",
+        r"\[[^\]]*\]": "[one] [two]",
+    }
+    for rx, text in cases.items():
+        want = sorted({m.group().strip() for m in re.finditer(rx, text, re.IGNORECASE)})
+        assert run(spark, {"p": rx}, [text]) == {(0, "p"): want}, (rx, java_pattern(rx))
+
+
+def test_group_count():
+    assert group_count(r"(a)(?:b)(?<n>c)(?<!d)(?<=e)[(]\(") == 2
+
+
+def test_required_literals(spark):
+    assert required_literals(r"foo(?:bar|baz)+") == ("foo",)
+    assert required_literals(r"a?b*[xy]+") == ()
+    assert required_literals(r"one|two") == ()
+    assert required_literals(r"(?:x@y)?z") == ("z",)
+    assert required_literals(r"AKIA[0-9]") == ("akia",)
+    assert required_literals(r"(unclosed") == ()
+    texts = ["FOOBAR", "foobaz", "fooBARbaz", "fo bar", "ſun", "SUN"]
+    catalog = {"f": r"foo(?:bar|baz)+", "s": r"sun"}
+    want = {(i, n): [m.group() for m in [re.search(rx, t, re.I)]] for i, t in enumerate(texts) for n, rx in catalog.items() if re.search(rx, t, re.I)}
+    assert run(spark, catalog, texts) == want
+
+
+def test_catalog_forms(spark, tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"n": "[0-9]+"}))
+    assert load_catalog(str(path)) == as_catalog({"n": "[0-9]+"})
+    table = spark.createDataFrame([("n", "[0-9]+")], "pattern_name string, pattern string")
+    assert catalog_from_table(table) == as_catalog({"n": "[0-9]+"})
+
+
+def test_other_scans_agree(spark):
+    texts = list(HITS.values()) + ["nothing here", "", None]
+    cells = spark.createDataFrame(list(enumerate(texts)), "id int, value string")
+    whole = scan(cells).collect()
+    ids = {r["id"] for r in whole}
+    assert {r["id"] for r in any_hit(cells).collect()} == ids
+    one = scan_pattern(cells, "Email").collect()
+    assert sorted(map(str, one)) == sorted(str(r) for r in whole if r["pattern_name"] == "Email")
+    inline = cells.select("id", F.inline(scan_text("value"))).collect()
+    key = lambda r: (r["id"], r["pattern_name"], r["matches"], r["sample_text"])
+    assert sorted(map(key, inline)) == sorted(map(key, whole))
+    with pytest.raises(KeyError):
+        scan_pattern(cells, "no such detector")
+
+
+def test_scan_of_union_is_union_of_scans(spark):
+    a = spark.createDataFrame([(1, "a@example.org")], "id int, value string")
+    b = spark.createDataFrame([(2, "b@example.org")], "id int, value string")
+    both = scan(a.union(b)).collect()
+    assert sorted(map(str, both)) == sorted(map(str, scan(a).union(scan(b)).collect()))
