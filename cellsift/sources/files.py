@@ -68,7 +68,9 @@ def read_files(
     patterns = list(exclude_patterns)
     if not patterns:
         return files
-    where = _plain_uri(F.col("_metadata.file_path"))
+    # the metadata column is URL-encoded, where a plus sign stands for itself
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    where = _plain_uri(F.url_decode(encoded))
     base = _plain_uri(F.lit(path.rstrip("/")))
     return files.where((where == base) | ~excluded_path(where, base, patterns))
 
