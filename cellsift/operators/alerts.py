@@ -8,7 +8,7 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cellsift.operators.report import shown_matches
-from cellsift.operators.severity import Rules, rate
+from cellsift.operators.severity import Rules, rate, severity_of
 from cellsift.schema import ORDER_COLUMNS
 
 # Heading, source labels and locator lines of an alert text.
@@ -144,10 +144,21 @@ def tickets(
 ) -> DataFrame:
     """Ticket payloads, one per alert: ``summary, description, priority, account_id, payload``.
 
+    Severity is that of ``rules``; without rules the one the finding has, or else the default.
+
     The template may name ``{details}`` (alert text and severity) and any column of the finding. ``assignee`` is an
     e-mail, looked up in ``assignees(email, account_id)``; an unknown one leaves the ticket unassigned.
     """
-    rated = messages if rules is None and "severity" in messages.columns else rate(messages, rules)
+    rated = rate(messages, rules)
+    if rules is None and "severity" in messages.columns:
+        given = F.col("severity").isNotNull()
+        severity, why = severity_of()
+        rated = messages.withColumns(
+            {
+                "severity": F.when(given, F.col("severity")).otherwise(severity),
+                "severity_description": F.when(given, F.col("severity_description")).otherwise(why),
+            }
+        )
     details = F.concat(
         F.col("message"),
         F.lit("\n\nSeverity: "),
