@@ -29,7 +29,7 @@ from cellsift.sources import tables
 from cellsift.sources.chat import CHANNEL_TYPES, LOOKBACK_MINUTES, scan_chat, select_channels
 from cellsift.sources.documents import key_value_cells, record_cells, scan_collections
 from cellsift.sources.drive import drive_cells, drive_listing
-from cellsift.sources.files import file_cells, object_cells, read_files
+from cellsift.sources.files import file_cells, object_cells, read_files, read_objects
 from cellsift.sources.literal import literal_cells
 
 Options = Mapping[str, object]
@@ -101,8 +101,8 @@ def _file_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> Dat
 
 
 def _object_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:
-    files = read_files(spark, str(o["path"]), (), o.get("glob"))
-    return _cells(object_cells(files, o.get("exclude_patterns") or ()), kind, profile)
+    objects = read_objects(spark, str(o["path"]), o.get("exclude_patterns") or (), o.get("glob"))
+    return _cells(object_cells(objects), kind, profile)
 
 
 def _drive_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:

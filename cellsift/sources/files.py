@@ -53,6 +53,18 @@ def local_path(uri: Column) -> Column:
     return F.regexp_replace(uri, r"^file:(//(?=/))?", "")
 
 
+def _load(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path)
+
+
+def _listed_path() -> Column:
+    """Path of a file from its listing. The metadata column is URL-encoded, where a plus sign stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_files(
     spark: SparkSession, path: str, exclude_patterns: Iterable[str] = (), glob: str | None = None
 ) -> DataFrame:
@@ -61,20 +73,22 @@ def read_files(
     Exclusion is a filter on file metadata, which Spark applies to its listing: excluded files are never opened.
     A path that is one file is always read.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
-    patterns = list(exclude_patterns)
+    files, patterns = _load(spark, path, glob), list(exclude_patterns)
     if not patterns:
         return files
-    # the metadata column is URL-encoded, where a plus sign stands for itself
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    where = _plain_uri(F.url_decode(encoded))
+    where = _plain_uri(_listed_path())
     base = _plain_uri(F.lit(path.rstrip("/")))
     return files.where((where == base) | ~excluded_path(where, base, patterns))
 
 
+def read_objects(
+    spark: SparkSession, path: str, exclude_patterns: Iterable[str] = (), glob: str | None = None
+) -> DataFrame:
+    """The same for buckets, where the whole key is checked against the patterns."""
+    files, patterns = _load(spark, path, glob), list(exclude_patterns)
+    return files.where(~excluded_name(object_key(_listed_path()), patterns)) if patterns else files
+
+
 def _plain_uri(uri: Column) -> Column:
     """``file:`` URIs come with one or three slashes, or as a bare path; make them one form."""
     return F.regexp_replace(uri, r"^(?:file:)?/+", "file:/")
@@ -123,17 +137,22 @@ def file_cells(files: DataFrame) -> DataFrame:
     ).where(F.col("value") != "")
 
 
-def object_cells(files: DataFrame, exclude_patterns: Iterable[str] = ()) -> DataFrame:
-    """Objects of ``scheme://bucket/key`` stores: ``(bucket, file_path, member_path, value)``.
+_OBJECT_URI = r"^[A-Za-z0-9+.-]+://([^/]+)/(.*)$"
 
-    The whole key is checked against the exclusion patterns.
-    """
-    parts = r"^[A-Za-z0-9+.-]+://([^/]+)/(.*)$"
-    kept = files.where(~excluded_name(F.regexp_extract("path", parts, 2), list(exclude_patterns)))
-    cells = file_cells(kept)
-    return cells.select(
-        F.regexp_extract("file_path", parts, 1).alias("bucket"),
-        F.regexp_extract("file_path", parts, 2).alias("file_path"),
-        "member_path",
-        "value",
+
+def object_bucket(uri: Column) -> Column:
+    return F.regexp_extract(uri, _OBJECT_URI, 1)
+
+
+def object_key(uri: Column) -> Column:
+    """Key of ``scheme://bucket/key``; a path of another form is its own key."""
+    return F.when(uri.rlike(_OBJECT_URI), F.regexp_extract(uri, _OBJECT_URI, 2)).otherwise(local_path(uri))
+
+
+def object_cells(files: DataFrame, exclude_patterns: Iterable[str] = ()) -> DataFrame:
+    """Objects to ``(bucket, file_path, member_path, value)``; ``read_objects`` excludes before reading."""
+    kept = files.where(~excluded_name(object_key(F.col("path")), list(exclude_patterns)))
+    uri = F.col("file_path")
+    return file_cells(kept).select(
+        object_bucket(uri).alias("bucket"), object_key(uri).alias("file_path"), "member_path", "value"
     )
