@@ -27,7 +27,7 @@ class _Gates:
     """
 
     def __init__(self, text: str, detectors: Sequence[Detector], unicode: bool):
-        self.text, self.unicode = F.col(text), unicode
+        self.text, self.unicode = F.col(f"`{text}`"), unicode
         self.first: dict[str, Column] = {}
         self.second: dict[str, Column] = {}
         self._prechecks: dict[str, Column] = {}
@@ -118,10 +118,16 @@ def scan_pattern(
 
 def any_hit(cells: DataFrame, text: str = "value", catalog: Catalog = None, unicode: bool = True) -> DataFrame:
     """The cells in which at least one detector matches, as they are."""
+    detectors = as_catalog(catalog)
+    gates = _Gates(text, detectors, unicode)
     condition = F.lit(False)
-    for d in as_catalog(catalog):
-        condition = condition | F.col(text).rlike(flagged(d.pattern, unicode))
-    return cells.where(condition)
+    for d in detectors:
+        found, gate = F.col(f"`{text}`").rlike(flagged(d.pattern, unicode)), gates(d)
+        condition = condition | (found if gate is None else gate & found)
+    out = cells.where(F.col(f"`{text}`") != "")
+    for stage in (gates.first, gates.second):
+        out = out.withColumns(stage) if stage else out
+    return out.where(condition).select(*[F.col(f"`{c}`") for c in cells.columns])
 
 
 def quick_exit(

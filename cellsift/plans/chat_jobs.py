@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cellsift.operators.scan import scan
 from cellsift.plans.audit import DENSE_CATALOG, findings_sql, joined, table, texts
 from cellsift.sources.chat import (
-    attachment_cells,
+    attachment_findings,
     in_window,
     last_messages,
     permalink,
@@ -177,8 +177,8 @@ def attachments(spark: SparkSession, sf: str) -> DataFrame:
     contents = texts(spark, sf, "documents").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("value")
     )
-    cells = attachment_cells(_talk(spark, sf), contents)
-    return joined(scan(cells, "value", DENSE_CATALOG, keep=("channel_id", "ts", "file_path")))
+    found = attachment_findings(_talk(spark, sf), contents, DENSE_CATALOG)
+    return joined(found).select("channel_id", "ts", "file_path", "pattern_name", "matches", "total_exposed", "sample_text")
 
 
 _ATTACHED = f"""(SELECT t.channel_id, t.ts, t.path AS file_path, d.text FROM {_TALK_SQL} AS t

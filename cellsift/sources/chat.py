@@ -134,10 +134,15 @@ def thread_replies(parents: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def attachment_cells(messages: DataFrame, contents: DataFrame) -> DataFrame:
-    """Texts of attached files with the columns of their message; ``contents(file_path, value)``."""
+def attachment_findings(messages: DataFrame, contents: DataFrame, catalog: Catalog = None, **scan_options: object) -> DataFrame:
+    """Findings in attached files with the columns of their message; ``contents(file_path, value)``.
+
+    A file is scanned once however many messages it hangs on; only its findings meet the messages.
+    """
     attached = messages.withColumn("_file", F.explode("files")).withColumn("file_path", F.col("_file")["path"])
-    return attached.drop("_file", "files").join(contents.select("file_path", "value"), "file_path")
+    attached = attached.drop("_file", "files", "text")
+    wanted = contents.join(attached.select("file_path"), "file_path", "left_semi")
+    return attached.join(scan(wanted.select("file_path", "value"), "value", catalog, **scan_options), "file_path")
 
 
 def permalink(
@@ -182,15 +187,12 @@ def scan_chat(
         parents.select(*place, link.alias("message_link"), F.col("text").alias("value")),
         answers.select(*place, reply_link.alias("message_link"), F.col("text").alias("value")),
     ]
+    found = scan(cells[0].unionByName(cells[1]), "value", catalog, **scan_options)
     if contents is not None:
-        for side in (parents, answers):
-            cells.append(
-                attachment_cells(side, contents).select(*place, link.alias("message_link"), F.col("value"))
-            )
-    every = cells[0]
-    for c in cells[1:]:
-        every = every.unionByName(c)
-    found = scan(every, "value", catalog, **scan_options)
+        columns = [*place, "files"]
+        sides = [side.select(*columns, link.alias("message_link")) for side in (parents, answers)]
+        hanging = attachment_findings(sides[0].unionByName(sides[1]), contents, catalog, **scan_options)
+        found = found.unionByName(hanging.select(*found.columns))
     if max_matches is not None:
         found = found.withColumn("_parent_at", seconds(F.col("parent_ts")))
         found = quick_exit(found, max_matches, ("channel_id",), ("_parent_at",), newest_first=True)

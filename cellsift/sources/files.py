@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellsift.functions.text import decode_utf8
-from cellsift.operators.incremental import listing_tag
+from cellsift.operators.incremental import changed_objects, listing_tag
+from cellsift.session import written
+from cellsift.sources.archives import extract
 
 # File endings per kind, compared without regard to case, first kind wins.
 KINDS: dict[str, tuple[str, ...]] = {
@@ -18,6 +21,10 @@ KINDS: dict[str, tuple[str, ...]] = {
     "archive": (".zip", ".rar", ".tar", ".tar.gz"),
 }
 TEXT_KIND = "text"
+
+#: A list of changed paths is broadcast only up to this many.
+BROADCAST_ROWS = 200_000
+
 #: Kinds whose text this library can read; archives and office files go through ``extract``.
 READ_KINDS = ("text", "office", "archive")
 
@@ -118,14 +125,21 @@ def skipped_files(files: DataFrame) -> DataFrame:
     )
 
 
+def _name_to_sort_by(files: DataFrame) -> Column:
+    """Path to tell a file's kind by: of a file scan the listed one, so that files of other kinds stay closed."""
+    try:
+        files.select("_metadata.file_path")
+    except AnalysisException:
+        return F.col("path")
+    return F.col("_metadata.file_path")
+
+
 def file_cells(files: DataFrame) -> DataFrame:
-    """``(file_path, member_path, value)`` of every readable file.
+    """``(file_path, member_path, value)`` of every readable file; each file is read once.
 
     Plain text stays in the JVM; only archives and office files pass through Python.
     """
-    from cellsift.sources.archives import extract
-
-    kind = file_kind(F.col("path"))
+    kind = file_kind(_name_to_sort_by(files))
     plain = files.where(kind == TEXT_KIND).select(
         local_path(F.col("path")).alias("file_path"),
         F.lit(None).cast("string").alias("member_path"),
@@ -137,6 +151,29 @@ def file_cells(files: DataFrame) -> DataFrame:
     ).where(F.col("value") != "")
 
 
+def read_changed(
+    spark: SparkSession,
+    path: str,
+    manifest: DataFrame,
+    exclude_patterns: Iterable[str] = (),
+    glob: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Files whose listing tag ``manifest(path, tag)`` does not hold, and the manifest rows to add once they are done.
+
+    The comparison sees the listing only. Of the content, nothing older than the oldest changed file is opened.
+    """
+    files = read_files(spark, path, exclude_patterns, glob)
+    new = written(changed_objects(listing(files).select("path", "tag", "modificationTime"), manifest), "changed")
+    oldest = new.agg(F.min("modificationTime")).first()[0]
+    if oldest is None:
+        return files.limit(0), new.select("path", "tag")
+    names = new.select("path")
+    if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        names = F.broadcast(names)
+    fresh = files.where(F.col("modificationTime") >= F.lit(oldest)).join(names, "path", "left_semi")
+    return fresh, new.select("path", "tag")
+
+
 _OBJECT_URI = r"^[A-Za-z0-9+.-]+://([^/]+)/(.*)$"
 
 

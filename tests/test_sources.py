@@ -11,7 +11,7 @@ from cellsift.operators.scan import scan
 from cellsift.sources.archives import MAX_DEPTH, extract
 from cellsift.sources.documents import json_cells, key_value_cells, record_cells, scan_collections
 from cellsift.sources.drive import FOLDER_TYPE, NATIVE_TYPES, drive_cells, drive_listing
-from cellsift.sources.files import file_cells, file_metadata, listing, object_cells, read_files, skipped_files
+from cellsift.sources.files import file_cells, file_metadata, listing, object_cells, read_changed, read_files, skipped_files
 from cellsift.sources.literal import literal_cells
 from cellsift.sources.tables import catalog_tables, jdbc_options, pick_tables, scan_tables, table_cells
 
@@ -312,3 +312,44 @@ def test_drive(spark):
     assert rows(drive_listing(manifest, users=users), "file_id", "user") == [("4", "u2")]
     files = spark.createDataFrame([("file:/d/a.txt", bytearray(b"42"))], "path string, content binary")
     assert rows(drive_cells(drive_listing(manifest), files), "file_id", "file_name", "value") == [("1", "a.txt", "42")]
+
+
+def test_files_of_other_kinds_stay_closed(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1")
+    (tmp_path / "b.zip").write_bytes(zipped({"m.txt": b"2"}))
+    (tmp_path / "film.MP4").write_bytes(b"x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "4000")
+    try:
+        assert rows(file_cells(read_files(spark, str(tmp_path))), "value") == [("1",), ("2",)]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_only_changed_files_are_opened(spark, tmp_path):
+    folder, manifest = tmp_path / "in", str(tmp_path / "manifest")
+    folder.mkdir()
+    for name, age in (("old.txt", 3000), ("mid.txt", 2000)):
+        (folder / name).write_text(f"first {name}")
+        os.utime(folder / name, (1_700_000_000 - age,) * 2)
+    nothing = spark.createDataFrame([], "path string, tag string")
+    fresh, seen = read_changed(spark, str(folder), nothing)
+    assert rows(file_cells(fresh), "value") == [("first mid.txt",), ("first old.txt",)]
+    append_manifest(seen, manifest)
+
+    (folder / "new.txt").write_text("x")
+    os.utime(folder / "new.txt", (1_700_000_000,) * 2)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5")
+    try:
+        fresh, seen = read_changed(spark, str(folder), spark.read.parquet(manifest))
+        assert rows(file_cells(fresh), "value") == [("x",)]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    append_manifest(seen, manifest)
+    fresh, seen = read_changed(spark, str(folder), spark.read.parquet(manifest))
+    assert fresh.count() == seen.count() == 0
+
+    # changed in place, with an old time stamp: found by its tag although newer files were seen
+    (folder / "old.txt").write_text("second")
+    os.utime(folder / "old.txt", (1_700_000_000 - 2500,) * 2)
+    fresh, _ = read_changed(spark, str(folder), spark.read.parquet(manifest))
+    assert rows(file_cells(fresh), "value") == [("second",)]
