@@ -66,17 +66,17 @@ def alert_message(mention: str = "") -> Column:
     return F.concat(
         F.lit(f"{mention} " if mention else ""),
         F.lit(f"{HEADING}\nData Source: "),
-        labels.otherwise(F.col("data_source")),
+        labels.otherwise(_text(F.col("data_source"))),
         F.lit(" - "),
         _text(F.col("profile")),
         F.lit("\n"),
         places.otherwise(F.lit("")),
         F.lit("Pattern Name: "),
-        F.col("pattern_name"),
+        _text(F.col("pattern_name")),
         F.lit("\nTotal Exposed: "),
-        F.size("matches").cast("string"),
+        _text(F.size("matches")),
         F.lit("\nExposed Values: "),
-        shown_matches(),
+        _text(shown_matches()),
     )
 
 
@@ -84,7 +84,8 @@ def alert_hash(message: Column | str = "message") -> Column:
     """SHA-256 of a message without its link lines, so a message that only moved is the same alert."""
     m = F.col(message) if isinstance(message, str) else message
     lines = F.filter(F.split(m, "\n"), lambda line: ~line.contains(LINK_LINE))
-    return F.sha2(F.array_join(lines, "\n"), 256)
+    # never null, so that joins on it do not compute it once more to drop nulls
+    return F.coalesce(F.sha2(F.array_join(lines, "\n"), 256), F.lit(""))
 
 
 def alerts(findings: DataFrame, mention: str = "") -> DataFrame:

@@ -81,6 +81,8 @@ def scan(
     and ``sample_text`` are added. The plan is a map over the input: no shuffle, no join, no Python.
     """
     detectors = as_catalog(catalog)
+    if not detectors:
+        raise ValueError("an empty catalogue finds nothing")
     carried = [c for c in (keep if keep is not None else cells.columns) if c != text or keep is not None]
     carried_cols = [F.col(f"`{c}`") for c in carried]
     value = "_value"

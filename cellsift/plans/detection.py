@@ -14,7 +14,6 @@ from cellsift.plans.audit import (
     AUDIT_CATALOG,
     DENSE_CATALOG,
     SEVERITY_SQL,
-    WORDS_CATALOG,
     findings_sql,
     joined,
     listed_sql,
@@ -311,5 +310,3 @@ QUERIES = {
         f"SELECT page_id, {redact_sql('url')} AS url, {redact_sql('(substring(html, 16, 40))')} AS part FROM pages",
     ),
 }
-
-__all__ = ["QUERIES", "WORDS_CATALOG", "flagship"]

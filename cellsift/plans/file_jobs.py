@@ -7,18 +7,20 @@ file reader delivers.
 from __future__ import annotations
 
 import io
+import sys
 import tarfile
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellsift.functions.text import decode_utf8
 from cellsift.operators.incremental import changed_objects, content_tag, listing_tag
 from cellsift.operators.scan import scan
-from cellsift.plans.audit import AUDIT_CATALOG, DENSE_CATALOG, findings_sql, joined, listed_sql, table, texts
+from cellsift.plans.audit import AUDIT_CATALOG, findings_sql, joined, listed_sql, table, texts
 from cellsift.session import scratch
 from cellsift.sources.archives import extract
 from cellsift.sources.drive import FOLDER_TYPE, NATIVE_TYPES, drive_listing
@@ -32,7 +34,7 @@ from cellsift.sources.files import (
     skipped_files,
 )
 
-_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def as_files(df: DataFrame, path, content) -> DataFrame:
@@ -325,5 +327,3 @@ QUERIES = {
     ),
     "src_unreadable_to_empty": (unreadable, _UNREADABLE_SQL),
 }
-
-__all__ = ["DENSE_CATALOG", "QUERIES"]

@@ -17,12 +17,11 @@ from cellsift.plans.audit import (
     SEVERITY_TEXT_SQL,
     SHOWN_SQL,
     findings_sql,
-    joined,
     table,
     texts,
 )
 from cellsift.schema import LOCATORS, conform
-from cellsift.session import written
+from cellsift.session import scratch, written
 
 _SOURCES = tuple(LOCATORS)
 
@@ -295,6 +294,15 @@ def suppressed(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("row_key", "pattern_name", "msg_hash")
 
 
+def history_append(spark: SparkSession, sf: str) -> DataFrame:
+    """History table after two runs: an earlier one over the labelled documents, then all that was still unseen."""
+    now, earlier = _run_and_history(spark, sf)
+    path = scratch(spark, "history")
+    al.append_history(earlier, path)
+    al.append_history(al.suppress(now, spark.read.parquet(path), order=["row_key", "pattern_name"]), path)
+    return spark.read.parquet(path)
+
+
 def outbox(spark: SparkSession, sf: str) -> DataFrame:
     return al.outbox(al.alerts(findings(spark, sf))).select("msg_hash", F.get_json_object("payload", "$.text").alias("text"))
 
@@ -393,6 +401,7 @@ QUERIES = {
         f"{_SEEN_SQL} SELECT row_key, pattern_name, msg_hash FROM (SELECT *, row_number() OVER (PARTITION BY msg_hash "
         "ORDER BY row_key, pattern_name) AS n FROM a) AS y WHERE n = 1 AND msg_hash NOT IN (SELECT msg_hash FROM seen)",
     ),
+    "alert_history_append": (history_append, f"SELECT DISTINCT msg_hash FROM {_ALERTS_SQL} AS x"),
     "alert_outbox": (outbox, f"SELECT msg_hash, message AS text FROM {_ALERTS_SQL} AS x"),
     "ticket_payload": (ticket_payload, _TICKET_SQL),
     "ticket_assignee_lookup": (
@@ -401,5 +410,3 @@ QUERIES = {
         "FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_nationkey % 2 = 0",
     ),
 }
-
-__all__ = ["QUERIES", "joined"]

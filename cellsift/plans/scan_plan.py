@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellsift.catalog import Catalog
 from cellsift.operators import alerts as al
+from cellsift.operators.ordering import row_range
 from cellsift.operators.scan import quick_exit, scan
 from cellsift.operators.severity import rate
 from cellsift.schema import LOCATOR_COLUMNS, conform, locate
@@ -86,7 +87,12 @@ def _table_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> Da
 def _document_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:
     collections: Mapping[str, object] = o["collections"]
     key = str(o.get("id", "_id"))
-    reader = lambda name: record_cells(_load(spark, {"format": "json", **o}, collections[name]), key)
+    start, count = int(o.get("limit_start", DEFAULT_LIMIT_START)), o.get("limit_end")
+
+    def reader(name: str) -> DataFrame:
+        documents = _load(spark, {"format": "json", **o}, collections[name])
+        return record_cells(row_range(documents, key, start, None if count is None else int(count)), key)
+
     cells = scan_collections(collections, reader, o.get("whitelist"), kind, profile)
     return _cells(cells, kind, profile, host=o.get("host"), database=o.get("database"))
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import io
+import sys
 import tarfile
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# Executors get these functions with the task, whether or not the package is installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: A row of text cannot outgrow what one Spark value holds; what does is reported as an error row.
 MAX_MEMBER_BYTES = 1 << 30
 MAX_DEPTH = 16

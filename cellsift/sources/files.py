@@ -117,6 +117,11 @@ def file_metadata(files: DataFrame) -> DataFrame:
     )
 
 
+def with_file_metadata(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings of files with the size and modification time of their file."""
+    return findings.join(file_metadata(files), "file_path", "left")
+
+
 def skipped_files(files: DataFrame) -> DataFrame:
     """Files of kinds without a text reader, so that nothing is passed over in silence."""
     kind = file_kind(F.col("path"))

@@ -11,7 +11,7 @@ from cellsift.operators.scan import scan
 from cellsift.sources.archives import MAX_DEPTH, extract
 from cellsift.sources.documents import json_cells, key_value_cells, record_cells, scan_collections
 from cellsift.sources.drive import FOLDER_TYPE, NATIVE_TYPES, drive_cells, drive_listing
-from cellsift.sources.files import file_cells, file_metadata, listing, object_cells, read_changed, read_files, skipped_files
+from cellsift.sources.files import file_cells, file_metadata, listing, object_cells, read_changed, read_files, skipped_files, with_file_metadata
 from cellsift.sources.literal import literal_cells
 from cellsift.sources.tables import catalog_tables, jdbc_options, pick_tables, scan_tables, table_cells
 
@@ -251,6 +251,8 @@ def test_skipped_and_metadata(spark, tree):
         ("photo.jpg", "image"),
     ]
     meta = {os.path.basename(r["file_path"]): r for r in file_metadata(files).collect()}
+    found = with_file_metadata(scan(file_cells(files), "value", {"n": "plain"}), files).first()
+    assert (found["file_size"], found["modified_time"]) == (7, meta["plain.txt"]["modified_time"])
     assert meta["plain.txt"]["file_size"] == 7 and len(meta["plain.txt"]["modified_time"]) == 19
 
 
