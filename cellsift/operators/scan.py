@@ -28,6 +28,7 @@ class _Gates:
 
     def __init__(self, text: str, detectors: Sequence[Detector], unicode: bool):
         self.text, self.unicode = F.col(f"`{text}`"), unicode
+        self._folded, self._odd = F.col(_FOLDED), F.col(_ODD)
         self.first: dict[str, Column] = {}
         self.second: dict[str, Column] = {}
         self._prechecks: dict[str, Column] = {}
@@ -58,11 +59,12 @@ class _Gates:
     def _holds(self, literal: str) -> Column:
         if literal.lower() == literal.upper():
             return self.text.contains(literal)
-        self.first[_FOLDED] = F.lower(self.text)
-        if not self.unicode:
-            return F.col(_FOLDED).contains(literal)
-        self.first[_ODD] = reduce(Column.__or__, [self.text.contains(letter) for letter in ODD_LETTERS])
-        return F.col(_ODD) | F.col(_FOLDED).contains(literal)
+        if _FOLDED not in self.first:
+            self.first[_FOLDED] = F.lower(self.text)
+            if self.unicode:
+                self.first[_ODD] = reduce(Column.__or__, [self.text.contains(letter) for letter in ODD_LETTERS])
+        found = self._folded.contains(literal)
+        return self._odd | found if self.unicode else found
 
 
 def scan(
@@ -89,9 +91,8 @@ def scan(
 
     gates = _Gates(value, detectors, unicode)
     found = hits(F.col(value), detectors, group_mode, unicode, gates)
-    cells = cells.where(F.col(f"`{text}`").isNotNull() & (F.col(f"`{text}`") != "")).select(
-        *carried_cols, F.col(f"`{text}`").alias(value)
-    )
+    content = F.col(f"`{text}`").cast("string")
+    cells = cells.where(content.isNotNull() & (content != "")).select(*carried_cols, content.alias(value))
     if gates.first:
         cells = cells.withColumns(gates.first)
     cells = cells.select(

@@ -141,7 +141,7 @@ def attachment_findings(messages: DataFrame, contents: DataFrame, catalog: Catal
     """
     attached = messages.withColumn("_file", F.explode("files")).withColumn("file_path", F.col("_file")["path"])
     attached = attached.drop("_file", "files", "text")
-    wanted = contents.join(attached.select("file_path"), "file_path", "left_semi")
+    wanted = contents.join(attached.select("file_path").distinct(), "file_path", "left_semi")
     return attached.join(scan(wanted.select("file_path", "value"), "value", catalog, **scan_options), "file_path")
 
 

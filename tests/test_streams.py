@@ -103,3 +103,13 @@ def test_new_files(spark, tmp_path):
     (src / "sub" / "b.txt").write_text("three 3")
     got = run_to_table(stream(), out, state).collect()
     assert sorted(os.path.basename(r["file_path"]) for r in got) == ["a.txt", "b.txt"]
+
+
+def test_hot_alert_is_thinned_before_the_shuffle(spark, tmp_path):
+    schema = "ts timestamp_ntz, msg_hash string, matches array<string>"
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [(T0, "hot", ["a"])] * 5000 + [(T0, f"h{i}", ["b", "c"]) for i in range(50)] + [(T0, None, ["d"])] * 3
+    put(spark, src, rows, schema)
+    got = run_to_table(dedupe_alerts(table_stream(spark, src, schema)), out, state)
+    assert got.count() == 52
+    assert {tuple(r["matches"]) for r in got.collect()} == {("a",), ("b", "c"), ("d",)}
