@@ -168,7 +168,12 @@ def tickets(
         F.col("severity_description"),
     )
     summary = F.concat(
-        F.lit("Found "), F.size("matches").cast("string"), F.lit(" "), F.col("pattern_name"), F.lit(" in "), "data_source"
+        F.lit("Found "),
+        F.size("matches").cast("string"),
+        F.lit(" "),
+        F.col("pattern_name"),
+        F.lit(" in "),
+        F.col("data_source"),
     )
     rated = rated.withColumns({"summary": summary, "description": _fill(description_template, details, rated)})
     if assignee is not None:

@@ -28,7 +28,7 @@ def number_rows(
     group = list(group)
     columns = df.columns
     df = written(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
-    keys = [*[F.col(f"`{g}`") for g in group], *[F.col(f"`{o}`") if isinstance(o, str) else o for o in order], F.col("_id")]
+    keys = [F.col(f"`{k}`") if isinstance(k, str) else k for k in (*group, *order, "_id")]
     placed = (
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellsift.catalog import DEFAULT_CATALOG
@@ -94,12 +96,15 @@ RE2_GROUPS = {name: 1 for name in _BOUNDED}
 
 def default_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """All built-in detectors over all three text tables."""
-    cells = (
-        texts(spark, sf, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
-        .unionByName(texts(spark, sf, "pages").select(F.lit("pages").alias("tbl"), F.col("page_id").alias("id"), F.col("html").alias("text")))
-        .unionByName(texts(spark, sf, "conversations").select(F.lit("conversations").alias("tbl"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"))
-    )
-    return joined(scan(cells, "text"))
+    parts = [
+        texts(spark, sf, name).selectExpr(f"'{name}' AS tbl", f"{key} AS id", f"{text} AS text")
+        for name, key, text in (
+            ("documents", "doc_id", "text"),
+            ("pages", "page_id", "html"),
+            ("conversations", "conv_id * 100 + turn", "text"),
+        )
+    ]
+    return joined(scan(reduce(DataFrame.unionByName, parts), "text"))
 
 
 _DEFAULT_CELLS = """(SELECT 'documents' AS tbl, doc_id AS id, text FROM documents
@@ -108,11 +113,12 @@ UNION ALL SELECT 'conversations', conv_id * 100 + turn, text FROM conversations)
 
 # One token per built-in detector, made of hashes of the row: h is 64 hex digits, hu the same in capitals,
 # d sixteen decimal digits. Written as concatenations that Spark SQL and DuckDB both evaluate.
+_UUID = "substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) || '-' || substr(h,21,12)"
 _PARTS = {
     "Email": "substr(h,1,8) || '.x@' || substr(h,9,6) || '.example.com'",
     "Aadhar": "substr(d,1,4) || '-' || substr(d,5,4) || '-' || substr(d,9,4)",
     "PAN": "'QWERT' || substr(d,1,4) || 'Z'",
-    "Amazon MWS Auth Token": "'amzn.' || 'mws.' || substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) || '-' || substr(h,21,12)",
+    "Amazon MWS Auth Token": f"'amzn.' || 'mws.' || {_UUID}",
     "Amazon SNS Topic Disclosure": "'arn:aws:' || 'sns:us-east-1:' || substr(d,1,12) || ':Topic_' || substr(h,1,5)",
     "AWS Access Key ID": "'AK' || 'IA' || substr(hu,1,16)",
     "Cloudinary Credentials Disclosure": "'cloudinary' || '://' || substr(d,1,15) || ':' || substr(h,1,20) || '@' || substr(h,21,8)",
@@ -122,7 +128,7 @@ _PARTS = {
     "Slack User token disclosure": "'xo' || 'xp-' || h || substr(h,1,8)",
     "Slack Webhook": "'https://hooks.' || 'slack.com/services/T' || substr(hu,1,10) || '/B' || substr(hu,11,10) || '/' || substr(h,1,23)",
     "SonarQube Token": "'sonar' || '.login = \"' || substr(h,1,40) || '\"'",
-    "AWS Cognito Pool ID": "':' || substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) || '-' || substr(h,21,12)",
+    "AWS Cognito Pool ID": f"':' || {_UUID}",
     "Basic Auth Credentials": "'ftp' || '://' || substr(h,1,6) || ':' || substr(h,7,8) || '@' || substr(h,15,6)",
     "Dynatrace Token": "'dt' || '0c' || substr(d,1,2) || '.' || substr(hu,1,24) || '.' || hu",
     "Facebook Client ID": "'facebook' || '_id=''' || substr(d,1,15) || ''''",

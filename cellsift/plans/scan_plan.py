@@ -60,7 +60,8 @@ def _table_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> Da
     if "url" in o:
         partitioning = {k: o[k] for k in ("partition_column", "bounds", "partitions", "properties") if k in o}
         reader = tables.jdbc_reader(spark, str(o["url"]), **partitioning)
-        names = o.get("available") or tables.jdbc_tables(spark, str(o["url"]), str(o.get("schema", "public")), o.get("properties"))
+        schema = str(o.get("schema", "public"))
+        names = o.get("available") or tables.jdbc_tables(spark, str(o["url"]), schema, o.get("properties"))
     elif "path" in o:
         names = list(o.get("available") or o.get("tables") or ())
         suffix = str(o.get("suffix", ""))

@@ -115,9 +115,10 @@ def files_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.regexp_extract("url", r"example\.(\w+)", 1).alias("ending"), F.col("html").alias("value")
     )
     pages.write.partitionBy("ending").option("maxRecordsPerFile", 200).text(folder)
-    found = stream_files(spark, folder, AUDIT_CATALOG, "*.txt").select("file_path", "pattern_name", F.explode("matches").alias("match"))
-    done = _run(found, "stream-files")
-    return done.select(F.regexp_extract("file_path", r"/ending=([^/]+)/", 1).alias("ending"), "pattern_name", "match").distinct()
+    found = stream_files(spark, folder, AUDIT_CATALOG, "*.txt")
+    done = _run(found.select("file_path", "pattern_name", F.explode("matches").alias("match")), "stream-files")
+    ending = F.regexp_extract("file_path", r"/ending=([^/]+)/", 1).alias("ending")
+    return done.select(ending, "pattern_name", "match").distinct()
 
 
 _FILES_SQL = f"""

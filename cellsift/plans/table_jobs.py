@@ -217,22 +217,14 @@ FROM {findings_sql(_LITERAL_CELLS, 'profile', 'value', DENSE_CATALOG)} AS f"""
 
 def profile_fanout(spark: SparkSession, sf: str) -> DataFrame:
     """Three kinds of source, several profiles, one list of findings."""
-    docs = texts(spark, sf, "documents")
-    by_language = [
-        locate(docs.where(F.col("lang") == lang).select(F.col("doc_id").alias("id"), F.col("text").alias("value")), "gcs", lang)
-        for lang in ("de", "en", "es", "fr")
-    ]
-    pages = locate(texts(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("value")), "fs", "web")
-    talk = locate(
-        texts(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("value"), F.col("role").alias("profile")),
-        "slack",
-    )
-    cells = reduce(DataFrame.unionByName, [*by_language, pages, talk])
+    docs = texts(spark, sf, "documents").selectExpr("doc_id AS id", "lang AS profile", "text AS value")
+    pages = texts(spark, sf, "pages").selectExpr("page_id AS id", "'web' AS profile", "html AS value")
+    talk = texts(spark, sf, "conversations").selectExpr("conv_id AS id", "role AS profile", "text AS value")
+    cells = reduce(DataFrame.unionByName, [locate(docs, "gcs"), locate(pages, "fs"), locate(talk, "slack")])
     return joined(scan(cells, "value", DENSE_CATALOG))
 
 
 _FANOUT_CELLS = """(SELECT doc_id AS id, 'gcs' AS data_source, lang AS profile, text AS value FROM documents
-WHERE lang IN ('de', 'en', 'es', 'fr')
 UNION ALL SELECT page_id, 'fs', 'web', html FROM pages
 UNION ALL SELECT conv_id, 'slack', role, text FROM conversations)"""
 

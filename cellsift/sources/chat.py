@@ -134,7 +134,9 @@ def thread_replies(parents: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def attachment_findings(messages: DataFrame, contents: DataFrame, catalog: Catalog = None, **scan_options: object) -> DataFrame:
+def attachment_findings(
+    messages: DataFrame, contents: DataFrame, catalog: Catalog = None, **scan_options: object
+) -> DataFrame:
     """Findings in attached files with the columns of their message; ``contents(file_path, value)``.
 
     A file is scanned once however many messages it hangs on; only its findings meet the messages.
@@ -183,11 +185,9 @@ def scan_chat(
     link = permalink(workspace_url, F.col("channel_id"), F.col("ts"))
     reply_link = permalink(workspace_url, F.col("channel_id"), F.col("ts"), F.col("thread_ts"))
     place = ["channel_id", "channel_name", "user", "parent_ts"]
-    cells = [
-        parents.select(*place, link.alias("message_link"), F.col("text").alias("value")),
-        answers.select(*place, reply_link.alias("message_link"), F.col("text").alias("value")),
-    ]
-    found = scan(cells[0].unionByName(cells[1]), "value", catalog, **scan_options)
+    said = parents.select(*place, link.alias("message_link"), F.col("text").alias("value"))
+    replied = answers.select(*place, reply_link.alias("message_link"), F.col("text").alias("value"))
+    found = scan(said.unionByName(replied), "value", catalog, **scan_options)
     if contents is not None:
         columns = [*place, "files"]
         sides = [side.select(*columns, link.alias("message_link")) for side in (parents, answers)]

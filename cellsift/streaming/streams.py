@@ -22,7 +22,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 OUTBOX_SCHEMA = "msg_hash string, payload string, stream string, batch_id long"
 
 
-def table_stream(spark: SparkSession, folder: str, schema: object, glob: str | None = None, per_batch: int | None = None):
+def table_stream(
+    spark: SparkSession, folder: str, schema: object, glob: str | None = None, per_batch: int | None = None
+) -> DataFrame:
     """Parquet files of a folder as a stream."""
     reader = spark.readStream.schema(schema)
     if glob:
@@ -55,7 +57,11 @@ def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def window_counts(
-    findings: DataFrame, at: str = "ts", minutes: int = 60, by: tuple[str, ...] = ("channel_id",), late: str = "10 minutes"
+    findings: DataFrame,
+    at: str = "ts",
+    minutes: int = 60,
+    by: tuple[str, ...] = ("channel_id",),
+    late: str = "10 minutes",
 ) -> DataFrame:
     """Findings and exposed values per channel and look-back window; rows later than ``late`` are dropped."""
     stamped = findings.withColumn(at, F.col(at).cast("timestamp"))
@@ -65,7 +71,11 @@ def window_counts(
         F.count("*").alias("findings"), F.sum(F.col("total_exposed").cast("long")).alias("total_exposed")
     )
     return counts.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, "findings", "total_exposed"
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        *by,
+        "findings",
+        "total_exposed",
     )
 
 
