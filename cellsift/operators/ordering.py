@@ -32,7 +32,7 @@ def number_rows(
     placed = (
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
     )
-    placed = written(placed, "ordered").withColumn("_task", F.shiftright("_place", _LOCAL_BITS))
+    placed = written(placed, "ordered", compact=False).withColumn("_task", F.shiftright("_place", _LOCAL_BITS))
     spans = placed.groupBy(*group, "_task").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
     before = W.partitionBy(*group).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
     shifts = spans.select(

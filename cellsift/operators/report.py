@@ -119,9 +119,9 @@ def finding_json(findings: DataFrame) -> DataFrame:
 
 
 def write_json(findings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Findings as JSON lines, one folder per source; tasks write what they hold, nothing is gathered."""
-    findings.write.mode(mode).partitionBy("data_source").json(path)
+    """Findings as JSON lines, one folder per source; large sources fill many files, small ones few."""
+    findings.hint("rebalance", "data_source").write.mode(mode).partitionBy("data_source").json(path)
 
 
 def write_table(findings: DataFrame, path: str, mode: str = "append") -> None:
-    findings.write.mode(mode).partitionBy("data_source").parquet(path)
+    findings.hint("rebalance", "data_source").write.mode(mode).partitionBy("data_source").parquet(path)

@@ -17,6 +17,10 @@ SETTINGS = {
 }
 
 
+#: Upper bound of tasks, and so of files, per core when a scan's result is written.
+TASKS_PER_CORE = 4
+
+
 def session(app: str = "cellsift", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -36,22 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="cellsift-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellsift-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str = "stage") -> DataFrame:
+def written(df: DataFrame, label: str = "stage", compact: bool = True) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
-    Later branches see the very same rows, read only the columns they need, and survive lost executors.
+    Later branches see the very same rows, read only the columns they need, and survive lost executors. ``compact``
+    lets a task take several splits where there are many more than cores: a scan finds little in each split, which
+    would leave as many tiny files. It needs no shuffle and keeps all cores busy.
     """
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    (df.coalesce(tasks) if compact else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
