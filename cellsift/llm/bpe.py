@@ -29,11 +29,13 @@ _NONE = np.int64(1 << 40)
 #: Rows with more bytes than this are merged one by one.
 WIDE = 512
 #: A worker forgets its pieces when it knows so many; this bounds memory and changes no result.
-PIECES = 800_000
+PIECES = 600_000
 #: Rows of a matrix.
 MATRIX_ROWS = 8192
 #: So many characters are cut into pieces at once.
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 20
+#: So many ids are turned into bytes at once.
+SLICE_IDS = 1 << 18
 
 
 class Vocabulary:
@@ -137,23 +139,28 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", out_column: s
         voc = shared.value
         for batch in batches:
             lists = batch.column(at)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(voc.lengths) or not voc.lengths[flat].all()):
-                raise ValueError("an id is not in the vocabulary")
-            sizes = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
-            raw = voc.bytes[spans_of(voc.starts[flat], voc.lengths[flat])]
-            ends = np.concatenate([[0], np.cumsum(voc.lengths[flat])])[np.concatenate([[0], np.cumsum(sizes)])]
-            data = raw.tobytes()
-            parts = [
-                None if null else data[a:b]
-                for a, b, null in zip(ends[:-1], ends[1:], lists.is_null().to_pylist(), strict=True)
-            ]
+            parts = [None if ids is None else _bytes_of(voc, ids.values.to_numpy()) for ids in _lists(lists)]
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], [*names, out_column])
 
     return encoded.mapInArrow(run, schema)
 
 
+def _lists(lists: pa.ListArray) -> Iterator[pa.ListScalar | None]:
+    for ids in lists:
+        yield ids if ids.is_valid else None
+
+
+def _bytes_of(voc: Vocabulary, ids: np.ndarray) -> bytes:
+    out = []
+    for a in range(0, len(ids), SLICE_IDS):
+        part = ids[a : a + SLICE_IDS]
+        if part.min() < 0 or part.max() >= len(voc.lengths) or not voc.lengths[part].all():
+            raise ValueError("an id is not in the vocabulary")
+        out.append(voc.bytes[spans_of(voc.starts[part], voc.lengths[part])].tobytes())
+    return b"".join(out)
+
+
 class Cutter:
     """Encodes texts and remembers the pieces it has seen."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellsift.llm import bpe
+from cellsift.llm import bpe, ctph, language
 from cellsift.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.edit_report(table(spark, sf_dir, "documents"))
+
+
+def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out()))
+    held = docs.select("doc_id", "text", language.held_out().alias("held_out"))
+    return language.predict(held, model, keep=("doc_id", "held_out"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_byte_bpe": (op2_byte_bpe, None),
+    "op4_piecewise_hash": (op4_piecewise_hash, None),
+    "op5_string_kernel": (op5_string_kernel, None),
 }
