@@ -11,6 +11,7 @@ Nulls count as empty texts, which have no ids. Equal texts have equal ids; repea
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -20,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cellsift.llm.common import ship, spans_of
+from cellsift.llm.common import ship, spans_of, worker_cache
 
 ship(__name__)
 
@@ -29,7 +30,7 @@ _NONE = np.int64(1 << 40)
 #: Rows with more bytes than this are merged one by one.
 WIDE = 512
 #: A worker forgets its pieces when it knows so many; this bounds memory and changes no result.
-PIECES = 600_000
+PIECES = 400_000
 #: Rows of a matrix.
 MATRIX_ROWS = 8192
 #: So many characters are cut into pieces at once.
@@ -43,6 +44,7 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -78,10 +80,11 @@ class Vocabulary:
             keys, values, at = keys[~put], values[~put], (at[~put] + 1) & self.mask
 
     def cutter(self, pattern: str) -> Cutter:
-        """One for all tasks of a worker, which share what it has learnt."""
-        if getattr(self, "_cutter", None) is None or self._cutter[0] != pattern:
-            self._cutter = pattern, Cutter(self, pattern)
-        return self._cutter[1]
+        """One for all tasks of a worker, which share what it has learnt; that of another vocabulary gives way."""
+        cache = worker_cache()
+        if cache.get("bpe key") != (self.digest, pattern):
+            cache["bpe key"], cache["bpe"] = (self.digest, pattern), Cutter(self, pattern)
+        return cache["bpe"]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)

@@ -20,6 +20,11 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
+def worker_cache() -> dict:
+    """A dict that outlives the tasks of a Python worker. What it holds must be bounded and must not change results."""
+    return sys.__dict__.setdefault("_cellsift_worker_cache", {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
