@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellsift.llm import bpe, ctph, language
+from cellsift.llm import bpe, ctph, language, mixing, secrets, shards
 from cellsift.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -35,8 +35,37 @@ def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(held, model, keep=("doc_id", "held_out"))
 
 
+def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard(table(spark, sf_dir, "documents"), 8)
+    return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "tokens", "weight", "pass")
+
+
+def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["number"] < len(secrets.BASE))
+
+    def count(number: int, kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["number"] == number)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(i, rule.kind) for i, rule in enumerate(secrets.BASE)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"),
+        secrets.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op4_piecewise_hash": (op4_piecewise_hash, None),
     "op5_string_kernel": (op5_string_kernel, None),
+    "op7_minimax_shards": (op7_minimax_shards, None),
+    "op8_temperature_mixing": (op8_temperature_mixing, None),
+    "op10_trigram_secrets": (op10_trigram_secrets, None),
 }
