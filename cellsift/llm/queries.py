@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellsift.llm import bpe, ctph, language, mixing, secrets, shards
+from cellsift.llm import bpe, ctph, language, mixing, near_dups, secrets, shards
 from cellsift.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,11 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "tokens", "weight", "pass")
 
 
+def op9_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["number"] < len(secrets.BASE))
@@ -67,5 +72,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_string_kernel": (op5_string_kernel, None),
     "op7_minimax_shards": (op7_minimax_shards, None),
     "op8_temperature_mixing": (op8_temperature_mixing, None),
+    "op9_coordinate_join": (op9_coordinate_join, None),
     "op10_trigram_secrets": (op10_trigram_secrets, None),
 }
