@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellsift.llm import bpe, ctph, language, mixing, near_dups, secrets, shards
+from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, secrets, shards
 from cellsift.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -67,6 +71,7 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_multi_index": (op1_multi_index, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op4_piecewise_hash": (op4_piecewise_hash, None),
     "op5_string_kernel": (op5_string_kernel, None),
