@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, secrets, shards
+from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, secrets, shards, style_tree
 from cellsift.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,11 @@ def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(held, model, keep=("doc_id", "held_out"))
 
 
+def op6_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = style_tree.main_text(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard(table(spark, sf_dir, "documents"), 8)
     return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op4_piecewise_hash": (op4_piecewise_hash, None),
     "op5_string_kernel": (op5_string_kernel, None),
+    "op6_style_tree": (op6_style_tree, None),
     "op7_minimax_shards": (op7_minimax_shards, None),
     "op8_temperature_mixing": (op8_temperature_mixing, None),
     "op9_coordinate_join": (op9_coordinate_join, None),
