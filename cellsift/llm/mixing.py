@@ -88,21 +88,22 @@ def temperature(tokens: list[int], entropy_share: float | None = 0.97, repeats:
 
 
 def mix(docs: DataFrame, source_column: str = "source", id_column: str = "doc_id", text_column: str = "text",
-        **goals: float | int | None) -> DataFrame:
-    """The columns of ``docs`` with ``weight`` of the source, ``pass`` from 0 and ``tokens``; one row for each pass over a document.
+        names: tuple[str, str, str] = ("tokens", "weight", "pass"), **goals: float | int | None) -> DataFrame:
+    """The columns of ``docs`` with ``tokens``, ``weight`` of the source and ``pass`` from 0; one row for each pass over a document.
 
-    ``goals`` are those of ``temperature``: ``entropy_share``, ``repeats`` and ``budget``. Columns of these names are replaced.
+    ``goals`` are those of ``temperature``: ``entropy_share``, ``repeats`` and ``budget``. ``names`` are those of the new
+    columns; columns of ``docs`` that have these names are replaced.
     """
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c not in ("weight", "pass", "tokens")]
+    columns = [c for c in docs.columns if c not in names]
     key = F.col(f"`{id_column}`")
     rows = docs.select(
         *[F.col(f"`{c}`") for c in columns],
-        token_count(F.col(f"`{text_column}`")).alias("tokens"),
+        token_count(F.col(f"`{text_column}`")).alias("_words"),
         F.col(f"`{source_column}`").alias("_source"),
         F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int").alias("_block"),
     )
-    sums = staged(rows.groupBy("_source", "_block").agg(F.sum("tokens").alias("_tokens")), "mix-blocks")
+    sums = staged(rows.groupBy("_source", "_block").agg(F.sum("_words").alias("_tokens")), "mix-blocks")
     # One row a source comes to the driver.
     found = sums.groupBy("_source").agg(F.sum("_tokens").alias("n")).collect()
     _, weights, budget = temperature([r.n for r in found], **goals)
@@ -111,29 +112,32 @@ def mix(docs: DataFrame, source_column: str = "source", id_column: str = "doc_id
         whole, rest = divmod(math.floor(w * budget + 1e-6), r.n) if r.n else (1, 0)
         dealt.append((r._source, float(w), whole, rest))
     kind = docs.schema[source_column].dataType.simpleString()
-    plan = spark.createDataFrame(dealt, f"_source {kind}, weight double, _whole long, _rest long")
+    plan = spark.createDataFrame(dealt, f"_source {kind}, _weight double, _whole long, _rest long")
 
     sums = sums.alias("s").join(F.broadcast(plan).alias("p"), F.col("s._source").eqNullSafe(F.col("p._source")))
     order = W.partitionBy("s._source").orderBy(F.xxhash64("_block", "_whole"), "_block")
     upto = F.sum("_tokens").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    blocks = sums.select("s._source", "_block", "weight", "_whole", "_rest", "_tokens", upto.alias("_upto")).select(
-        "_source", "_block", "weight", "_whole",
+    blocks = sums.select("s._source", "_block", "_weight", "_whole", "_rest", "_tokens", upto.alias("_upto")).select(
+        "_source", "_block", "_weight", "_whole",
         F.when(F.col("_upto") <= F.col("_rest"), F.col("_tokens"))
         .when(F.col("_upto") - F.col("_tokens") < F.col("_rest"), F.col("_rest") - F.col("_upto") + F.col("_tokens"))
         .otherwise(0).alias("_left"),
         (F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_tokens") < F.col("_rest")),
     )
-    blocks = staged(blocks.toDF("_source", "_block", "weight", "_whole", "_left", "_split"), "mix-plan")
+    blocks = staged(blocks.toDF("_source", "_block", "_weight", "_whole", "_left", "_split"), "mix-plan")
     same = F.col("r._source").eqNullSafe(F.col("b._source")) & (F.col("r._block") == F.col("b._block"))
     joined = rows.alias("r").join(blocks.alias("b"), same).select(
-        *[F.col(f"r.`{c}`") for c in columns], "r.tokens", "r._source", "r._block", "weight", "_whole", "_left", "_split"
+        *[F.col(f"r.`{c}`") for c in columns], "r._words", "r._source", "r._block", "_weight", "_whole", "_left", "_split"
     )
     # Only the one block of each source that is taken in part needs an order of its documents.
     inside = W.partitionBy("_source", "_block").orderBy(F.xxhash64(key, "_whole"), key, F.col(f"`{text_column}`"))
-    sum_here = F.sum("tokens").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    sum_here = F.sum("_words").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
     parted = joined.where("_split").withColumn("_last", (sum_here <= F.col("_left")).cast("int"))
     others = joined.where(~F.col("_split")).withColumn("_last", (F.col("_left") > 0).cast("int"))
     passes = F.expr("if(_whole + _last > 0, sequence(0, cast(_whole + _last - 1 as int)), cast(array() as array<int>))")
     return parted.unionByName(others).select(
-        *[F.col(f"`{c}`") for c in columns], "tokens", "weight", F.explode(passes).alias("pass")
+        *[F.col(f"`{c}`") for c in columns],
+        F.col("_words").alias(names[0]),
+        F.col("_weight").alias(names[1]),
+        F.explode(passes).alias(names[2]),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, secrets, shards, style_tree
+from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, secrets, shards, style_tree, toxicity
 from cellsift.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_cumulative_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.edit_report(table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_multi_index": (op1_multi_index, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
+    "op3_cumulative_link": (op3_cumulative_link, None),
     "op4_piecewise_hash": (op4_piecewise_hash, None),
     "op5_string_kernel": (op5_string_kernel, None),
     "op6_style_tree": (op6_style_tree, None),

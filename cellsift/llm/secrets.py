@@ -116,8 +116,8 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
 
 
 def find(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc_id", text_column: str = "text",
-         keep: Sequence[str] = ()) -> DataFrame:
-    """``id_column``, the columns ``keep`` and ``spans``: an array of ``start, number, end, kind`` by start, then rule."""
+         keep: Sequence[str] = (), out_column: str = "spans") -> DataFrame:
+    """``id_column``, the columns ``keep`` and ``out_column``: an array of ``start, number, end, kind`` by start, then rule."""
     if len(rules) > _BITS:
         raise ValueError(f"at most {_BITS} rules at once")
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
@@ -136,7 +136,7 @@ def find(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc_i
         tried = F.lit(True) if q is True else F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(F.lit(1 << i).cast("long")) != 0
         found.append(F.when(tried & F.col("_text").rlike(rule.java), _spans(F.col("_text"), rule, i)).otherwise(none))
     return rows.select(
-        F.col("_id").alias(id_column), *[F.col(f"`{c}`") for c in kept], F.array_sort(F.concat(*found)).alias("spans")
+        F.col("_id").alias(id_column), *[F.col(f"`{c}`") for c in kept], F.array_sort(F.concat(*found)).alias(out_column)
     )
 
 
