@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,3 +67,51 @@ def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
+
+
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LENGTH = np.uint64(0x2545F4914F6CDD1D)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class SliceHasher:
+    """Hashes of slices of a byte array: the bytes are digits, a slice is taken from running sums and moved to its own place."""
+
+    def __init__(self):
+        self.up, self.down = _powers(1 << 16, _BASE), _powers(1 << 16, _INVERSE)
+
+    def over(self, raw: np.ndarray) -> None:
+        if len(self.up) <= len(raw):
+            size = 1 << len(raw).bit_length()
+            self.up, self.down = _powers(size, _BASE), _powers(size, _INVERSE)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)])])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        own = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        return mixed(own + _LENGTH * (ends - starts).astype(np.uint64))
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true places; a run also ends where a row does."""
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(inside))]
+    first[cuts], last[cuts - 1] = inside[cuts], inside[cuts - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The rows of a text column in slices of some megabytes: the first row's place, the bytes and their offsets."""
+    raw, offsets = text_bytes(batch.column(column))
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        yield a, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
