@@ -7,11 +7,11 @@
    classes at the wanted similarity share at least ``match threshold`` coordinates, but for a chance below ``MISS``, so a class
    with fewer shared pairs has no partner and is skipped; of the others only a prefix is joined, the rarest pairs without
    the last ``threshold - 1``: two classes that share enough meet in the prefix.
-3. Classes that meet under a pair count their collisions. In a task the pairs of classes above the threshold give only a
-   spanning forest, so that a group of thousands of near copies makes thousands of rows, not millions. Large posting
+3. Classes that meet under a pair count their collisions. In a task the pairs of classes above the threshold only join
+   trees, and each class of a tree is tied to its smallest, so that a group of thousands of near copies makes thousands of rows, not millions. Large posting
    lists are cut into blocks, every two of which meet in a task of their own. The components of these edges are the clusters.
 4. The full sets of a cluster's classes meet again, in blocks, and all intersections are counted by matrix products of
-   presence rows. Links are exact; what leaves the task is their spanning forest, and its components are the answer.
+   presence rows. Links are exact; what leaves the task ties each class of a tree to its smallest, and the components are the answer.
 
 Only classes that share a cluster move their sets, and no pair is dropped or capped. A link whose signatures agree in too few
 coordinates is still found if its classes share a cluster through others.
@@ -31,8 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cellsift.llm.common import mixed, ship, staged, text_bytes
-from cellsift.llm.components import components, forest
+from cellsift.llm.common import SliceHasher, mixed, runs, ship, slices, staged
+from cellsift.llm.components import Forest, components
 
 ship(__name__)
 
@@ -42,10 +42,7 @@ MISS = 1e-6
 #: Most classes of a posting list or of a cluster whose sets meet in one block; larger ones are cut.
 POSTING_BLOCK = 1024
 CLUSTER_BLOCK = 256
-_SLICE_BYTES = 4 << 20
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_WORD, _JOIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
+_JOIN = np.uint64(0x9FB21C651E98DF25)
 
 
 def match_threshold(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -61,14 +58,6 @@ def match_threshold(percent: int, coordinates: int = COORDINATES, miss: float =
 # --- sets and signatures of texts
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.ones(max(n, 1), np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
 class Shingler:
     """Shingle hashes of many texts at once."""
 
@@ -78,32 +67,16 @@ class Shingler:
         self.white[[32, *range(9, 14)]] = True
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
-        self.up, self.down = _powers(1 << 16, _BASE), _powers(1 << 16, _INVERSE)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            size = 1 << int(n).bit_length()
-            self.up, self.down = _powers(size, _BASE), _powers(size, _INVERSE)
+        self.words_of = SliceHasher()
 
     def sets(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
         if not len(raw):
             yield from (np.zeros(0, np.uint64) for _ in range(len(offsets) - 1))
             return
-        self._grow(len(raw) + 1)
-        solid = ~self.white[raw]
-        first = solid.copy()
-        first[1:] &= ~solid[:-1]
-        cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(raw))]
-        first[cuts] = solid[cuts]
-        starts = np.flatnonzero(first)
-        last = solid.copy()
-        last[:-1] &= ~solid[1:]
-        last[cuts - 1] = solid[cuts - 1]
-        ends = np.flatnonzero(last) + 1
-        # Hash of a word: its bytes as digits, taken from running sums and moved to the word's own place.
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((self.lower[raw].astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)])])
-        hashes = mixed((sums[ends] - sums[starts]) * self.down[starts] + _WORD * (ends - starts).astype(np.uint64))
+        starts, ends = runs(~self.white[raw], offsets)
+        self.words_of.over(self.lower[raw])
+        hashes = self.words_of.hashes(starts, ends)
         bounds = np.searchsorted(starts, offsets)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield self._shingles(hashes[a:b])
@@ -120,16 +93,6 @@ class Shingler:
         return np.unique(h)
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Rows in slices of some megabytes: the first row's place, the bytes and their offsets."""
-    raw, offsets = text_bytes(batch.column(column))
-    a, n = 0, len(offsets) - 1
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _SLICE_BYTES, "right")) - 1)
-        yield a, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        a = b
-
-
 def signature_factors(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mixed(np.arange(1, 2 * coordinates + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
     return seeds[:coordinates] | np.uint64(1), seeds[coordinates:]
@@ -150,7 +113,7 @@ def sketches(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, factors = Shingler(words), signature_factors(coordinates)
         for batch in batches:
-            for at, raw, offsets in _slices(batch, 1):
+            for at, raw, offsets in slices(batch, 1):
                 sizes, marks, values = [], [], []
                 for hashes in shingler.sets(raw, offsets):
                     sizes.append(len(hashes))
@@ -181,7 +144,7 @@ def shared_pairs(classes: DataFrame, threshold: int) -> DataFrame:
 
 
 def candidate_edges(shared: DataFrame, threshold: int, coordinates: int = COORDINATES) -> DataFrame:
-    """``(a, b)``: for each posting list, or two of its blocks, a spanning forest of the classes that collide often enough."""
+    """``(a, b)``: for each posting list, or two of its blocks, what ties the classes that collide often enough."""
     kind = shared.schema["rep"].dataType.simpleString()
     met = shared.select("rep", "shared", F.explode("met").alias("m")).select("rep", "shared", "m.pair", "m.n")
     blocked = in_blocks(met, ["pair"], "n", POSTING_BLOCK)
@@ -197,7 +160,7 @@ def candidate_edges(shared: DataFrame, threshold: int, coordinates: int = COORDI
         block = np.array(group["block"])
         left = np.flatnonzero(block == group["left"][0])
         right = np.flatnonzero(block == group["right"][0])
-        tree = forest(len(rows))
+        tree = Forest(len(rows))
         for a in range(0, len(left), 64):
             mine = left[a : a + 64]
             counts = np.zeros((len(mine), len(right)), np.int16)
@@ -264,16 +227,17 @@ def _pairs(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 
 def exact_edges(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(a, b)``: spanning forests of the exact links between the classes of each cluster."""
+    """``(a, b)``: what ties the classes of each cluster that exact links join."""
     kind = docs.schema["id"].dataType.simpleString()
     sized = clusters.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
     members = clusters.join(sized, "component").select(F.col("node").alias("id"), "component", "n")
-    wanted = docs.join(members, "id").select("component", "n", "id", "text")
+    # Texts meet their clusters by a shuffle at every size: the members are a share of all documents.
+    wanted = docs.join(members.hint("merge"), "id").select("component", "n", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            for at, raw, offsets in _slices(batch, 3):
+            for at, raw, offsets in slices(batch, 3):
                 sets = [h.tobytes() for h in shingler.sets(raw, offsets)]
                 arrays = [batch.column(i).slice(at, len(sets)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(sets, pa.binary())], ["component", "n", "rep", "hashes"])
@@ -288,7 +252,7 @@ def exact_edges(docs: DataFrame, clusters: DataFrame, words: int, percent: int)
         sets = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
         block = np.array(group["block"])
         left, right = np.flatnonzero(block == group["left"][0]), np.flatnonzero(block == group["right"][0])
-        tree = forest(len(sets))
+        tree = Forest(len(sets))
         x, y = linked(sets, left, right, percent)
         tree.add(x, y)
         return [(group["rep"][i], group["rep"][j]) for i, j in tree.edges()]
