@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -30,11 +31,13 @@ _NONE = np.int64(1 << 40)
 #: Rows with more bytes than this are merged one by one.
 WIDE = 512
 #: A worker forgets its pieces when it knows so many; this bounds memory and changes no result.
-PIECES = 400_000
+PIECES = 250_000
 #: Rows of a matrix.
 MATRIX_ROWS = 8192
 #: So many characters are cut into pieces at once.
 SLICE_CHARS = 1 << 20
+#: And so many bytes of texts are one batch of results.
+SLICE_BYTES = 4 << 20
 #: So many ids are turned into bytes at once.
 SLICE_IDS = 1 << 18
 
@@ -121,11 +124,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = shared.value.cutter(pattern)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids, sizes = cutter.encode([t or "" for t in texts])
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), listed], ["id", "ids"])
+            for at, n in _row_slices(batch.column("text")):
+                part = batch.slice(at, n)
+                ids, sizes = cutter.encode([t or "" for t in part.column("text").to_pylist()])
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), listed], ["id", "ids"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_column)
@@ -149,6 +153,17 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", out_column: s
     return encoded.mapInArrow(run, schema)
 
 
+def _row_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of a few megabytes, or of one row."""
+    ends = np.cumsum(np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield at, end - at
+        at = end
+
+
 def _lists(lists: pa.ListArray) -> Iterator[pa.ListScalar | None]:
     for ids in lists:
         yield ids if ids.is_valid else None
