@@ -107,8 +107,8 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The rows of a text column in slices of some megabytes: the first row's place, the bytes and their offsets."""
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The rows of a text column in slices of about a megabyte: the first row's place, the bytes and their offsets."""
     raw, offsets = text_bytes(batch.column(column))
     a, n = 0, len(offsets) - 1
     while a < n:

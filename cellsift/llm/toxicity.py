@@ -198,14 +198,18 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", keep: Sequen
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_column}`").cast("string").alias("_text"))
+    rows, at_text = docs.select(*[F.col(f"`{c}`") for c in keep]), len(keep)
+    if text_column in keep and docs.schema[text_column].dataType == T.StringType():
+        at_text = list(keep).index(text_column)  # once is enough
+    else:
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_column}`").cast("string").alias("_text"))
     added = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.BooleanType())]
     schema = T.StructType([*kept.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for at, raw, offsets in slices(batch, len(keep)):
+            for at, raw, offsets in slices(batch, at_text):
                 n = len(offsets) - 1
                 chances = shared.value.exceeding(*features.of(raw, offsets), n)
                 columns = [batch.column(i).slice(at, n) for i in range(len(keep))]
