@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -58,6 +59,23 @@ def hits(
     return F.filter(F.array(*found), lambda h: F.size(h["matches"]) > 0)
 
 
+def gates_of(text: Column, unicode: bool = True) -> Callable[[Detector], Column | None]:
+    """Conditions without which a detector cannot match, for use inside one expression."""
+    folded = F.lower(text)
+    odd = reduce(Column.__or__, [text.contains(letter) for letter in ODD_LETTERS])
+
+    def holds(literal: str) -> Column:
+        found = folded.contains(literal)  # first, so that the folded text is computed once for all detectors
+        return found | odd if unicode and literal.lower() != literal.upper() else found
+
+    def gate(d: Detector) -> Column | None:
+        parts = [reduce(Column.__or__, [holds(literal) for literal in d.literals])] if d.literals else []
+        parts += [text.rlike(flagged(p, unicode)) for p in d.prechecks]
+        return reduce(Column.__and__, parts) if parts else None
+
+    return gate
+
+
 def scan_text(
     text: Column | str, catalog: Catalog = None, redacted: bool = False, group_mode: str = "whole", unicode: bool = True
 ) -> Column:
@@ -68,7 +86,7 @@ def scan_text(
     sample = sample_text(c, redacted)
     return F.flatten(
         F.transform(
-            hits(c, as_catalog(catalog), group_mode, unicode),
+            hits(c, as_catalog(catalog), group_mode, unicode, gates_of(c, unicode)),
             lambda h: F.transform(
                 h["pattern_names"],
                 lambda name: F.struct(

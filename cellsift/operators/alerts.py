@@ -177,7 +177,7 @@ def tickets(
     )
     rated = rated.withColumns({"summary": summary, "description": _fill(description_template, details, rated)})
     if assignee is not None:
-        rated = rated.withColumn("account_id", F.lit(account_of(assignee, assignees)).cast("string"))
+        rated = _assigned(rated, assignee, assignees)
     fields = [
         F.struct(F.lit(project).alias("key")).alias("project"),
         F.col("summary"),
@@ -212,11 +212,14 @@ def _fill(template: str, details: Column, df: DataFrame) -> Column:
     return F.concat(*parts)
 
 
-def account_of(email: str, assignees: DataFrame | None) -> str | None:
-    """Account id of one e-mail address: a look-up that brings one value to the driver."""
+def _assigned(df: DataFrame, email: str, assignees: DataFrame | None) -> DataFrame:
+    """Every row with the account of one e-mail address, null if it is unknown."""
     if assignees is None:
-        return None
-    return assignees.where(F.col("email") == email).agg(F.min("account_id")).first()[0]
+        return df.withColumn("account_id", F.lit(None).cast("string"))
+    named = df.withColumn("_email", F.lit(email)).drop("account_id")
+    one = assignees.where(F.col("email") == email).select(F.col("email").alias("_email"), "account_id")
+    one = one.groupBy("_email").agg(F.min("account_id").alias("account_id"))  # at most one row
+    return named.join(F.broadcast(one), "_email", "left").drop("_email")
 
 
 def assign(df: DataFrame, assignees: DataFrame) -> DataFrame:

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cellsift.session import written
 
-#: Up to this many rows a range is a top-k that every task cuts for itself; beyond it rows are numbered.
-TOP_K_ROWS = 100_000
-#: Offsets per task and group are broadcast only below this row count.
-BROADCAST_ROWS = 500_000
-
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in its task in the lower 33 bits
 
 
@@ -40,8 +36,6 @@ def number_rows(
         F.col("_task").alias("_shift_task"),
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
-    if shifts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        shifts = F.broadcast(shifts)
     same = F.col("_task") == F.col("_shift_task")
     for i, g in enumerate(group):
         same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))
@@ -50,16 +44,44 @@ def number_rows(
     )
 
 
-def row_range(
-    df: DataFrame, key: str | Sequence[str], start: int = 0, count: int | None = 500, top_k_rows: int = TOP_K_ROWS
-) -> DataFrame:
-    """Skip ``start`` rows in key order and keep the next ``count``; ``count=None`` keeps the rest."""
+def row_range(df: DataFrame, key: str | Sequence[str], start: int = 0, count: int | None = None) -> DataFrame:
+    """Skip ``start`` rows in key order and keep the next ``count``; ``count=None`` keeps the rest.
+
+    Only the key is ordered and numbered. The table itself is filtered by the keys at the two ends, which its source can
+    apply while it reads. The key must be unique and never null, or no two runs need agree on the rows: else this raises.
+    """
     key = [key] if isinstance(key, str) else list(key)
     if count is None and start == 0:
         return df
-    if count is not None and start + count <= top_k_rows:
-        return df.orderBy(*key).offset(start).limit(count)
-    numbered = number_rows(df, key, name="_row_no").where(F.col("_row_no") > start)
-    if count is not None:
-        numbered = numbered.where(F.col("_row_no") <= start + count)
-    return numbered.drop("_row_no")
+    if count is not None and count <= 0:
+        return df.limit(0)
+    names = [f"_k{i}" for i in range(len(key))]
+    keys = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(key, names, strict=True)])
+    numbered = number_rows(keys, names, name="_row_no")
+    last = None if count is None else start + count
+    # One row before the range, its first two and its last two: repeated keys show at the ends, where they matter.
+    places = {start, start + 1, start + 2} | (set() if last is None else {last, last + 1})
+    ends = {r["_row_no"]: [r[n] for n in names] for r in numbered.where(F.col("_row_no").isin(*places)).collect()}
+    nulls = reduce(Column.__or__, [F.col(n).isNull() for n in names])
+    if numbered.where(nulls).limit(1).count():
+        raise ValueError(f"a row range needs a key without nulls: {key}")
+    for a, b in ((start, start + 1), *([(last, last + 1)] if last is not None else ())):
+        if a in ends and b in ends and ends[a] == ends[b]:
+            raise ValueError(f"a row range needs a unique key: {key}")
+    if start + 1 not in ends:
+        return df.limit(0)
+    out = df.where(_compared(df, key, ends[start + 1], "above"))
+    if last is not None and last in ends:
+        out = out.where(_compared(df, key, ends[last], "below"))
+    return out
+
+
+def _compared(df: DataFrame, key: Sequence[str], values: Sequence[object], side: str) -> Column:
+    """Rows at or above (below) a key, column by column."""
+    condition = F.lit(True)
+    for k, v in reversed(list(zip(key, values, strict=True))):
+        c, end = F.col(f"`{k}`"), F.lit(v).cast(df.schema[k].dataType)
+        beyond = c > end if side == "above" else c < end
+        condition = beyond | ((c == end) & condition)
+    leading, end = F.col(f"`{key[0]}`"), F.lit(values[0]).cast(df.schema[key[0]].dataType)
+    return (leading >= end if side == "above" else leading <= end) & condition

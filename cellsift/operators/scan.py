@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cellsift.catalog import Catalog, Detector, as_catalog
-from cellsift.functions.matching import ODD_LETTERS, flagged, hits
-from cellsift.functions.text import sample_text, tidy_matches
+from cellsift.functions.matching import ODD_LETTERS, flagged, hits, scan_text
+from cellsift.functions.text import redact, sample_text, tidy_matches
 from cellsift.session import written
 
 _FOLDED = "_folded"
@@ -119,6 +119,22 @@ def scan_pattern(
     return scan(cells, text, chosen, **options)
 
 
+def redact_document(
+    cells: DataFrame, text: str = "value", catalog: Catalog = None, unicode: bool = True, out: str = "redacted"
+) -> DataFrame:
+    """Adds the text with every match starred out, wherever its characters occur.
+
+    The distinct matches of all detectors are replaced one after the other, longest first, so that a match inside another
+    does not spoil it. A text without matches stays as it is; null stays null.
+    """
+    c = F.col(f"`{text}`").cast("string")
+    found = F.flatten(F.transform(scan_text(c, catalog, unicode=unicode), lambda h: h["matches"]))
+    keys = F.transform(F.array_distinct(found), lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))
+    ordered = F.array_sort(F.filter(keys, lambda k: F.length(k["m"]) > 0))
+    starred = F.aggregate(ordered, c, lambda done, k: F.replace(done, k["m"], redact(k["m"])))
+    return cells.withColumn(out, F.when(c.isNotNull(), F.coalesce(starred, c)))
+
+
 def any_hit(cells: DataFrame, text: str = "value", catalog: Catalog = None, unicode: bool = True) -> DataFrame:
     """The cells in which at least one detector matches, as they are."""
     detectors = as_catalog(catalog)

@@ -17,8 +17,7 @@ SETTINGS = {
 }
 
 
-#: Upper bound of tasks, and so of files, per core when a scan's result is written.
-TASKS_PER_CORE = 4
+_STAGES: dict[str, list[str]] = {}
 
 
 def session(app: str = "cellsift", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,21 +44,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete the stages this session has written. Results that were built on them and not yet read are lost."""
+    paths = _STAGES.pop(spark.sparkContext.applicationId, [])
+    jvm = spark._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def written(df: DataFrame, label: str = "stage", compact: bool = True) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
-    Later branches see the very same rows, read only the columns they need, and survive lost executors. ``compact``
-    lets a task take several splits where there are many more than cores: a scan finds little in each split, which
-    would leave as many tiny files. It needs no shuffle and keeps all cores busy.
+    Later branches see the very same rows, read only the columns they need, and survive lost executors. The work runs in the
+    splits it comes in. ``compact`` then lets Spark merge what they leave, by size: a scan finds little in each split, which
+    would leave as many tiny files.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    (df.coalesce(tasks) if compact else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str, enough: int = 200) -> DataFrame:

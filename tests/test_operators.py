@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellsift.operators import alerts as al
 from cellsift.operators import report as rp
 from cellsift.operators.ordering import number_rows, row_range
-from cellsift.operators.scan import quick_exit
+from cellsift.operators.scan import quick_exit, redact_document
 from cellsift.operators.severity import rate
 from cellsift.schema import FINDING_SCHEMA, LOCATORS, conform
 
@@ -59,8 +59,17 @@ def test_numbers_of_null_groups_and_many_groups(spark):
 def test_row_range(spark, start, count):
     df = spark.range(1000).repartition(5)
     want = list(range(1000))[start:] if count is None else list(range(1000))[start : start + count]
-    for top_k in (0, 100_000):
-        assert sorted(r[0] for r in row_range(df, "id", start, count, top_k).collect()) == want
+    assert sorted(r[0] for r in row_range(df, "id", start, count).collect()) == want
+
+
+def test_row_range_needs_a_unique_key_without_nulls(spark):
+    df = spark.range(20).select((F.col("id") % 10).alias("k"), "id", F.when(F.col("id") > 0, F.col("id")).alias("n"))
+    with pytest.raises(ValueError, match="unique"):
+        row_range(df, "k", 3, 4)
+    with pytest.raises(ValueError, match="nulls"):
+        row_range(df, "n", 3, 4)
+    got = row_range(df, ["k", "id"], 3, 4).collect()
+    assert sorted((r.k, r.id) for r in got) == [(1, 11), (2, 2), (2, 12), (3, 3)]
 
 
 def brute_quick_exit(rows, limit, newest_first=False):
@@ -244,3 +253,19 @@ def test_outbox_and_tickets(spark):
         al.tickets(every, "SEC", "Task", "{nope}")
     looked_up = al.assign(spark.createDataFrame([("soc@example.org",), ("no@x",)], "email string"), people)
     assert {tuple(r) for r in looked_up.collect()} == {("soc@example.org", "acc-1"), ("no@x", None)}
+
+
+def test_redact_document(spark):
+    rows = [(1, "call 1234567 or 12345678, 1234567", "x"), (2, None, "x"), (3, "", "x"), (4, "nothing", "x")]
+    df = spark.createDataFrame(rows, "id int, text string, value string")
+    got = {r.id: r.redacted for r in redact_document(df, "text", {"n": "[0-9]{7,8}"}).collect()}
+    # The longer match first: the shorter one is part of it.
+    seven, eight = redacted("1234567"), redacted("12345678")
+    assert got == {1: f"call {seven} or {eight}, {seven}", 2: None, 3: "", 4: "nothing"}
+
+
+def redacted(s):
+    n = len(s)
+    q = n // 4
+    a = n // 2 - q
+    return s[:a] + "*" * (2 * q) + s[a + 2 * q :]

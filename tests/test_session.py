@@ -3,7 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from cellsift.session import scratch, shared_dir, spread, written
+from cellsift.session import clear_stages, scratch, shared_dir, spread, written
 
 
 def fake(named=None, checkpoint=None, master="local[2]"):
@@ -37,6 +37,24 @@ def test_written_keeps_rows_and_schema(spark):
     assert len(back.inputFiles()) <= 16
 
 
+def test_work_before_a_stage_keeps_its_splits(spark):
+    df = spark.range(200, numPartitions=200).where("id % 50 = 0")
+    tracker, group = spark.sparkContext.statusTracker(), "splits"
+    spark.sparkContext.setJobGroup(group, group)
+    written(df)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s is not None) == 200
+
+
+def test_stages_can_be_cleared(spark):
+    written(spark.range(3))
+    path = scratch(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path) and clear_stages(spark) >= 2 and not os.path.exists(path)
+    assert clear_stages(spark) == 0
+
+
 def test_spread_leaves_wide_scans_alone(spark, tmp_path):
     narrow, wide = str(tmp_path / "narrow"), str(tmp_path / "wide")
     spark.range(10, numPartitions=1).write.parquet(narrow)
