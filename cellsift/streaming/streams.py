@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,9 +13,6 @@ from cellsift.operators.alerts import first_of_each, outbox, unseen
 from cellsift.operators.scan import scan
 from cellsift.sources.files import file_cells
 
-# Executors get the small function below with the task, whether or not the package is installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 OUTBOX_SCHEMA = "msg_hash string, payload string, stream string, batch_id long"
 
 
@@ -42,20 +36,12 @@ def stream_scan(cells: DataFrame, text: str = "value", catalog: Catalog = None,
 def dedupe_alerts(alerts: DataFrame, at: str = "ts", horizon: str = "1 day") -> DataFrame:
     """Let one of equal alerts pass per horizon. State is one hash per alert inside the horizon.
 
-    Repeats inside an Arrow batch are dropped before the shuffle, so an alert that makes up much of a micro-batch does
-    not fill the one task that owns its hash.
+    Which of several copies comes first is for Spark to see: a copy that is late is dropped and does not keep a later one back.
     """
-    thinned = alerts.mapInArrow(_without_repeats, alerts.schema)
-    stamped = thinned.withColumn(at, F.col(at).cast("timestamp"))
+    stamped = alerts.withColumn(at, F.col(at).cast("timestamp"))
     return stamped.withWatermark(at, horizon).dropDuplicatesWithinWatermark(["msg_hash"])
 
 
-def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        repeated = batch.column("msg_hash").to_pandas().duplicated()
-        yield batch.filter(pa.array(~repeated))
-
-
 def window_counts(
     findings: DataFrame,
     at: str = "ts",

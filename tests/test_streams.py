@@ -54,6 +54,17 @@ def test_dedupe_within_horizon(spark, tmp_path):
     assert sorted(r[0] for r in run_to_table(stream(), out, state).collect()) == ["w", "x", "x", "y", "z"]
 
 
+def test_a_late_copy_does_not_keep_back_one_in_time(spark, tmp_path):
+    schema = "ts timestamp_ntz, msg_hash string"
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    day = dt.timedelta(days=1)
+    stream = lambda: dedupe_alerts(table_stream(spark, src, schema), "ts", "1 day").select("msg_hash")
+    put(spark, src, [(T0 + 10 * day, "w")], schema)
+    run_to_table(stream(), out, state)
+    put(spark, src, [(T0 + day, "h"), (T0 + 11 * day, "h")], schema)
+    assert sorted(r[0] for r in run_to_table(stream(), out, state).collect()) == ["h", "w"]
+
+
 def test_window_counts_drop_late_rows(spark, tmp_path):
     schema = "ts timestamp_ntz, channel_id string, total_exposed int"
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
@@ -105,7 +116,7 @@ def test_new_files(spark, tmp_path):
     assert sorted(os.path.basename(r["file_path"]) for r in got) == ["a.txt", "b.txt"]
 
 
-def test_hot_alert_is_thinned_before_the_shuffle(spark, tmp_path):
+def test_a_hot_alert_passes_once(spark, tmp_path):
     schema = "ts timestamp_ntz, msg_hash string, matches array<string>"
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = [(T0, "hot", ["a"])] * 5000 + [(T0, f"h{i}", ["b", "c"]) for i in range(50)] + [(T0, None, ["d"])] * 3
