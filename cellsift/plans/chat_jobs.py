@@ -52,14 +52,14 @@ def _talk(spark: SparkSession, sf: str) -> DataFrame:
         "text",
         "turn",
         F.array(
-            F.struct(F.lit("note").alias("name"), F.concat(F.lit("doc/"), (F.col("conv_id") * 7 % 200).cast("string")).alias("path"))
+            F.struct(F.lit("note").alias("name"), F.concat(F.lit("doc/"), (F.col("conv_id") * 10 + F.col("turn") % 10).cast("string")).alias("path"))
         ).alias("files"),
     )
 
 
 _TALK_SQL = f"""(SELECT 'C' || CAST(conv_id AS VARCHAR) AS channel_id, {_STAMP_SQL.format(turn='turn')} AS ts,
 {_STAMP_SQL.format(turn='0')} AS thread_ts, role AS "user", text, turn, conv_id,
-'doc/' || CAST(conv_id * 7 % 200 AS VARCHAR) AS path FROM conversations)"""
+'doc/' || CAST(conv_id * 10 + turn % 10 AS VARCHAR) AS path FROM conversations)"""
 
 
 def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

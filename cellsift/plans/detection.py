@@ -10,7 +10,7 @@ from cellsift.catalog import DEFAULT_CATALOG
 from cellsift.functions.matching import scan_text
 from cellsift.functions.sql import register
 from cellsift.functions.text import redact, sample_text
-from cellsift.operators.scan import any_hit, quick_exit, scan, scan_pattern
+from cellsift.operators.scan import any_hit, quick_exit, redact_document, scan, scan_pattern
 from cellsift.operators.severity import rate
 from cellsift.plans.audit import (
     AUDIT_CATALOG,
@@ -150,7 +150,7 @@ _PARTS = {
 }
 
 
-_PLANTED = f"concat_ws(' ~ ', substr(text, 1, 30), {', '.join(_PARTS.values())}, 'end')"
+_PLANTED = f"concat_ws(' ~ ', text, {', '.join(_PARTS.values())}, 'end')"
 
 
 def default_catalog_planted(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,7 +249,22 @@ def column_function(spark: SparkSession, sf: str) -> DataFrame:
 
 def sql_redact(spark: SparkSession, sf: str) -> DataFrame:
     register(spark)
-    return texts(spark, sf, "pages").selectExpr("page_id", "redact(url) AS url", "redact(substring(html, 16, 40)) AS part")
+    return texts(spark, sf, "pages").selectExpr("page_id", "redact(url) AS url", "redact(html) AS page")
+
+
+def masked_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts with their addresses of two kinds starred out."""
+    return redact_document(texts(spark, sf, "documents").select("doc_id", "text"), "text", _MASKED).select("doc_id", "redacted")
+
+
+_MASKED = {"email": AUDIT_CATALOG["email"], "ipv4": AUDIT_CATALOG["ipv4"]}
+_MATCHES_SQL = "list_concat(" + ", ".join(f"regexp_extract_all(text, {quoted(rx)}, 0, 'i')" for rx in _MASKED.values()) + ")"
+_MASKED_SQL = f"""
+WITH RECURSIVE found AS (SELECT doc_id, text, list_transform(list_sort(list_transform(list_distinct({_MATCHES_SQL}),
+ lambda m: {{'n': -length(m), 'm': m}})), lambda k: k.m) AS ms FROM documents),
+steps(doc_id, i, n, ms, done) AS (SELECT doc_id, 0, len(ms), ms, text FROM found UNION ALL
+ SELECT doc_id, i + 1, n, ms, replace(done, ms[i + 1], {redact_sql('(ms[i + 1])')}) FROM steps WHERE i < n)
+SELECT doc_id, done AS redacted FROM steps WHERE i = n"""
 
 
 def _listed(cells: str, ids: str, text: str = "text", catalog=AUDIT_CATALOG, **options) -> str:
@@ -293,6 +308,7 @@ QUERIES = {
         redact_then_dedupe,
         _listed("documents", "doc_id", catalog=DENSE_CATALOG, redacted=True),
     ),
+    "scan_redact_document": (masked_documents, _MASKED_SQL),
     "scan_exposed_count": (
         exposed_count,
         "SELECT doc_id, pattern_name, CAST(len(m) AS INTEGER) AS total_exposed FROM "
@@ -313,6 +329,6 @@ QUERIES = {
     "fn_scan": (column_function, _listed("pages", "page_id", "html")),
     "fn_sql_redact": (
         sql_redact,
-        f"SELECT page_id, {redact_sql('url')} AS url, {redact_sql('(substring(html, 16, 40))')} AS part FROM pages",
+        f"SELECT page_id, {redact_sql('url')} AS url, {redact_sql('html')} AS page FROM pages",
     ),
 }

@@ -1,4 +1,4 @@
-"""Registered queries of file, object, archive and drive sources.
+"""Registered queries of file, object and drive sources.
 
 Files are made by Spark from the given tables: either really written and read back, or rows in the shape the binary
 file reader delivers.
@@ -6,15 +6,6 @@ file reader delivers.
 
 from __future__ import annotations
 
-import io
-import sys
-import tarfile
-import zipfile
-from collections.abc import Iterator
-from xml.sax.saxutils import escape
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellsift.functions.text import decode_utf8
@@ -22,7 +13,6 @@ from cellsift.operators.incremental import changed_objects, content_tag, listing
 from cellsift.operators.scan import scan
 from cellsift.plans.audit import AUDIT_CATALOG, findings_sql, joined, listed_sql, table, texts
 from cellsift.session import scratch
-from cellsift.sources.archives import extract
 from cellsift.sources.drive import FOLDER_TYPE, NATIVE_TYPES, drive_listing
 from cellsift.sources.files import (
     excluded_path,
@@ -34,9 +24,6 @@ from cellsift.sources.files import (
     skipped_files,
 )
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def as_files(df: DataFrame, path, content) -> DataFrame:
     """Rows as the binary file reader would deliver them."""
     return df.select(
@@ -165,7 +152,7 @@ def drive(spark: SparkSession, sf: str) -> DataFrame:
         .alias("mime"),
     )
     users = ["user1@example.org", "user2@example.org", "nobody@example.org"]
-    return drive_listing(manifest, users=users, exclude_patterns=["13"])
+    return drive_listing(manifest, "root", users, ["13"]).drop("path")
 
 
 _DRIVE_SQL = f"""
@@ -179,88 +166,6 @@ SELECT file_id, file_name, file_name || CASE WHEN mime = '{NATIVE_TYPES[0]}' THE
 WHERE page_id % 7 <> 0 AND page_id % 5 <> 0 AND page_id % 4 IN (1, 2) AND NOT contains(file_name, '13')"""
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text as an archive: zip, tar and tar.gz by turns, with the text itself and once more in a zip inside."""
-    for batch in batches:
-        paths, contents = [], []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            data = text.encode()
-            inner = io.BytesIO()
-            with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("deep/copy.txt", data)
-            members = [("plain.txt", data), ("inner.zip", inner.getvalue()), ("photo.png", b"\x89PNG")]
-            out, kind = io.BytesIO(), ("zip", "tar", "tar.gz")[doc_id % 3]
-            if kind == "zip":
-                with zipfile.ZipFile(out, "w") as z:
-                    for name, body in members:
-                        z.writestr(name, body)
-            else:
-                with tarfile.open(fileobj=out, mode="w:gz" if kind == "tar.gz" else "w") as t:
-                    for name, body in members:
-                        info = tarfile.TarInfo(name)
-                        info.size = len(body)
-                        t.addfile(info, io.BytesIO(body))
-            paths.append(f"file:/data/{doc_id}.{kind}")
-            contents.append(out.getvalue())
-        yield pd.DataFrame({"path": paths, "content": contents})
-
-
-def _archives(spark: SparkSession, sf: str) -> DataFrame:
-    docs = texts(spark, sf, "documents").select("doc_id", "text")
-    return docs.mapInPandas(_pack, "path string, content binary")
-
-
-def archives(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings in the members of archives, nested ones too."""
-    return joined(scan(file_cells(_archives(spark, sf)), "value", AUDIT_CATALOG))
-
-
-_ARCHIVE_CELLS = """(SELECT '/data/' || CAST(doc_id AS VARCHAR) || '.' ||
- CASE doc_id % 3 WHEN 0 THEN 'zip' WHEN 1 THEN 'tar' ELSE 'tar.gz' END AS file_path, member_path, text AS value
-FROM documents, (VALUES ('plain.txt'), ('inner.zip/deep/copy.txt')) AS v(member_path))"""
-
-
-def _office(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Messages as word documents (a paragraph per line) and as sheets (a cell per line) by turns."""
-    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    sheet = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    for batch in batches:
-        paths, contents = [], []
-        for conv_id, turn, text in zip(batch["conv_id"], batch["turn"], batch["text"]):
-            out, lines = io.BytesIO(), text.split("\n")
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                if turn % 2 == 0:
-                    kind = "DOCX"
-                    runs = [(line[:5], line[5:]) for line in lines]
-                    body = "".join(
-                        "<w:p>" + "".join(f"<w:r><w:t>{escape(r)}</w:t></w:r>" for r in pair) + "</w:p>" for pair in runs
-                    )
-                    document = f'<w:document xmlns:w="{word}"><w:body>{body}</w:body></w:document>'
-                    z.writestr("word/document.xml", document)
-                else:
-                    kind = "xlsx"
-                    z.writestr("xl/workbook.xml", f'<workbook xmlns="{sheet}" xmlns:r="{rel}"><sheets><sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>')
-                    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-                    z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{sheet}">' + "".join(f"<si><t>{escape(x)}</t></si>" for x in lines) + "</sst>")
-                    rows = "".join(f'<row><c t="s"><v>{i}</v></c><c/></row>' for i in range(len(lines)))
-                    z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{sheet}"><sheetData>{rows}</sheetData></worksheet>')
-            paths.append(f"file:/data/{conv_id}-{turn}.{kind}")
-            contents.append(out.getvalue())
-        yield pd.DataFrame({"path": paths, "content": contents})
-
-
-def office(spark: SparkSession, sf: str) -> DataFrame:
-    """Text of word documents and sheets."""
-    talk = texts(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return file_cells(talk.mapInPandas(_office, "path string, content binary")).select("file_path", "value")
-
-
-_OFFICE_SQL = """
-SELECT '/data/' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || CASE WHEN turn % 2 = 0 THEN '.DOCX' ELSE '.xlsx' END AS file_path,
-CASE WHEN turn % 2 = 0 THEN text || chr(10) ELSE array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: x || chr(10)), '') END AS value
-FROM conversations WHERE CASE WHEN turn % 2 = 0 THEN text || chr(10) ELSE text END <> ''"""
-
 _ENDINGS = (".PNG", ".pdf", ".docx", ".tar.gz", ".mkv", ".gz", ".html", "", ".rar")
 
 
@@ -284,20 +189,6 @@ def skipped(spark: SparkSession, sf: str) -> DataFrame:
     return skipped_files(_named_pages(spark, sf))
 
 
-def unreadable(spark: SparkSession, sf: str) -> DataFrame:
-    """A file that cannot be opened as what its name says is an error row; the others are scanned as usual."""
-    talk = texts(spark, sf, "conversations")
-    broken = talk.where(F.col("turn") > 0).select(
-        F.concat(F.lit("file:/data/"), "conv_id", F.lit("-"), "turn", F.lit(".zip")).alias("path"), F.encode("text", "UTF-8").alias("content")
-    )
-    whole = talk.where(F.col("turn") == 0).select("conv_id", "turn", "text").mapInPandas(_office, "path string, content binary")
-    return extract(broken.unionByName(whole)).select("path", F.col("error").isNotNull().alias("unreadable"))
-
-
-_UNREADABLE_SQL = """
-SELECT 'file:/data/' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || CASE WHEN turn > 0 THEN '.zip' ELSE '.DOCX' END AS path,
-turn > 0 AS unreadable FROM conversations"""
-
 QUERIES = {
     "src_files": (files, _FILES_SQL),
     "src_file_exclude": (file_exclude, _EXCLUDE_SQL),
@@ -314,16 +205,10 @@ QUERIES = {
     "src_changed_objects": (changed, _CHANGED_SQL),
     "src_changed_objects_rescan": (changed_rescan, _RESCAN_SQL),
     "src_drive_listing": (drive, _DRIVE_SQL),
-    "src_archive_expand": (
-        archives,
-        listed_sql(findings_sql(_ARCHIVE_CELLS, "file_path, member_path", "value"), "file_path, member_path"),
-    ),
-    "src_office_text": (office, _OFFICE_SQL),
     "src_dispatch_by_type": (dispatch, f"SELECT page_id, path, {_KIND_SQL} AS file_kind FROM {_NAMED_SQL} AS p"),
     "src_skipped_files": (
         skipped,
         f"SELECT path AS file_path, length, {_KIND_SQL} AS file_kind FROM {_NAMED_SQL} AS p "
         f"WHERE {_KIND_SQL} IN ('image', 'pdf', 'video') OR lower(path) LIKE '%.rar'",
     ),
-    "src_unreadable_to_empty": (unreadable, _UNREADABLE_SQL),
 }

@@ -35,9 +35,7 @@ from cellsift.sources.literal import literal_cells
 
 Options = Mapping[str, object]
 
-# Defaults of a source's options.
-DEFAULT_LIMIT_START = 0
-DEFAULT_LIMIT_END = 500
+# Fixed value: default of a source's option.
 DEFAULT_MAX_MATCHES = 1
 
 _CELL_COLUMNS = ("data_source", "profile", *LOCATOR_COLUMNS, "value")
@@ -56,29 +54,34 @@ def _load(spark: SparkSession, o: Options, path: object) -> DataFrame:
 
 
 def _table_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:
-    """``url`` reads by JDBC, ``path`` a folder per table, otherwise the session's catalogue."""
+    """``url`` reads by JDBC, ``path`` a folder per table, otherwise the session's catalogue.
+
+    Whole tables are read. Only ``limit_start`` and ``limit_end`` (a number of rows) make a range, which then needs an
+    ``order_by`` for every table.
+    """
     if "url" in o:
         partitioning = {k: o[k] for k in ("partition_column", "bounds", "partitions", "properties") if k in o}
+        partitioning = {**partitioning, "per_table": o.get("partitioning")}
         reader = tables.jdbc_reader(spark, str(o["url"]), **partitioning)
-        schema = str(o.get("schema", "public"))
+        # What a database calls a schema: in MySQL the database itself.
+        schema = str(o.get("schema") or (o["database"] if kind == "mysql" else "public"))
         names = o.get("available") or tables.jdbc_tables(spark, str(o["url"]), schema, o.get("properties"))
     elif "path" in o:
-        names = list(o.get("available") or o.get("tables") or ())
         suffix = str(o.get("suffix", ""))
+        names = list(o.get("available") or o.get("tables") or tables.folder_tables(spark, str(o["path"]), suffix))
         reader = lambda name: _load(spark, o, f"{o['path']}/{name}{suffix}")
     else:
-        names, reader = tables.catalog_tables(spark, o.get("database")), spark.table
-    order_by = o.get("order_by")
-    ranged = order_by is not None
+        names = tables.catalog_tables(spark, o.get("database"))
+        reader = tables.catalog_reader(spark, o.get("database"))
     cells = tables.scan_tables(
         names,
         reader,
         o.get("tables"),
         o.get("ids"),
         o.get("exclude_columns") or (),
-        order_by,
-        int(o.get("limit_start", DEFAULT_LIMIT_START)) if ranged else 0,
-        int(o.get("limit_end", DEFAULT_LIMIT_END)) if ranged else None,
+        o.get("order_by"),
+        int(o.get("limit_start") or 0),
+        None if o.get("limit_end") is None else int(o["limit_end"]),
         kind,
         profile,
     )
@@ -88,7 +91,7 @@ def _table_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> Da
 def _document_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:
     collections: Mapping[str, object] = o["collections"]
     key = str(o.get("id", "_id"))
-    start, count = int(o.get("limit_start", DEFAULT_LIMIT_START)), o.get("limit_end")
+    start, count = int(o.get("limit_start") or 0), o.get("limit_end")
 
     def reader(name: str) -> DataFrame:
         documents = _load(spark, {"format": "json", **o}, collections[name])
@@ -115,7 +118,7 @@ def _object_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> D
 def _drive_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:
     users = o.get("impersonate_users") if kind == "gdrive_workspace" else None
     listing = drive_listing(
-        _load(spark, o, o["manifest"]), str(o.get("folder", "root")), users, o.get("exclude_patterns") or ()
+        _load(spark, o, o["manifest"]), o.get("folder"), users, o.get("exclude_patterns") or ()
     )
     return _cells(drive_cells(listing, read_files(spark, str(o["path"]))), kind, profile)
 

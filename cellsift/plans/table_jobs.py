@@ -10,10 +10,10 @@ from cellsift.operators.ordering import row_range
 from cellsift.operators.scan import scan
 from cellsift.plans.audit import DENSE_CATALOG, findings_sql, joined, listed_sql, table, texts
 from cellsift.schema import locate
-from cellsift.session import spread
+from cellsift.session import scratch, spread
 from cellsift.sources.documents import json_cells, key_value_cells, record_cells, scan_collections
 from cellsift.sources.literal import text_cells
-from cellsift.sources.tables import catalog_tables, scan_tables, table_cells
+from cellsift.sources.tables import catalog_reader, catalog_tables, scan_tables, table_cells
 
 # Columns of the given tables, for the SQL side; doubles and timestamps print alike in Python and DuckDB.
 COLUMNS = {
@@ -92,11 +92,14 @@ def _summary_sql(cells: str) -> str:
 
 
 def table_discovery(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables found by name in the session's catalogue, then all of them melted."""
+    """Tables found by name in a database of the session's catalogue, then all of them melted."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS found")
     for name in ("nation", "part", "supplier"):
-        table(spark, sf, name).createOrReplaceTempView(f"found_{name}")
-    names = [n for n in catalog_tables(spark) if n.startswith("found_")]
-    return _summary(scan_tables(names, spark.table))
+        folder = scratch(spark, "found").replace("'", "''")
+        table(spark, sf, name).write.parquet(folder)
+        spark.sql(f"DROP TABLE IF EXISTS found.found_{name}")
+        spark.sql(f"CREATE TABLE found.found_{name} USING parquet LOCATION '{folder}'")
+    return _summary(scan_tables(catalog_tables(spark, "found"), catalog_reader(spark, "found")))
 
 
 _DISCOVERED = " UNION ALL ".join(
@@ -167,7 +170,7 @@ def document_fields(spark: SparkSession, sf: str) -> DataFrame:
         events = table(spark, sf, "events")
         if name == "props":
             return json_cells(events, "props", "event_id")
-        return record_cells(events.select("event_id", "user_id", "event_type"), "event_id")
+        return record_cells(events, "event_id")
 
     cells = scan_collections(["props", "activity"], reader, profile="events", host="mongo.example.org", database="app")
     return joined(scan(cells, "value", DENSE_CATALOG))
@@ -175,6 +178,11 @@ def document_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 _DOCUMENT_CELLS = """(SELECT event_id AS id, 'props' AS collection, 'k' AS field,
  json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') <> '0'
+UNION ALL SELECT event_id, 'activity', 'event_id', CAST(event_id AS VARCHAR) FROM events WHERE event_id <> 0
+UNION ALL SELECT event_id, 'activity', 'ts', CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+ ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END FROM events WHERE ts IS NOT NULL
+UNION ALL SELECT event_id, 'activity', 'value', CAST(value AS VARCHAR) FROM events WHERE value <> 0
+UNION ALL SELECT event_id, 'activity', 'props', props FROM events WHERE props <> ''
 UNION ALL SELECT event_id, 'activity', 'user_id', CAST(user_id AS VARCHAR) FROM events WHERE user_id <> 0
 UNION ALL SELECT event_id, 'activity', 'event_type', event_type FROM events WHERE event_type <> '')"""
 _DOCUMENT_SQL = f"""

@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A row of text cannot outgrow what one Spark value holds; what does is reported as an error row.
 MAX_MEMBER_BYTES = 1 << 30
-MAX_DEPTH = 16
+MAX_DEPTH = 100
 #: Parts are handed back to Spark in batches of about this size.
 BATCH_ROWS = 1000
 BATCH_CHARS = 8 << 20

@@ -30,8 +30,11 @@ def json_cells(df: DataFrame, body: str, doc_id: str) -> DataFrame:
 
 
 def record_cells(df: DataFrame, doc_id: str) -> DataFrame:
-    """The same for documents already read into columns (``spark.read.json``, a connector's table)."""
-    fields = [f for f in df.schema.fields if f.name != doc_id]
+    """The same for documents already read into columns (``spark.read.json``, a connector's table).
+
+    Every field is a cell, the id too: keys are often addresses or numbers of people.
+    """
+    fields = df.schema.fields
     taken = df.select(
         F.col(f"`{doc_id}`").cast("string").alias("_doc_id"),
         *[cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields],

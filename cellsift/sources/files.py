@@ -64,7 +64,22 @@ def _load(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path)
+    files = reader.load(path)
+    # A file that cannot be one row must not end the scan of the others; ``oversize_files`` lists what is passed over.
+    return files.where(F.col("length") <= _longest(spark))
+
+
+def _longest(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+
+
+def oversize_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Files above Spark's limit for a row, from the listing alone."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    large = reader.load(path).select("path", "length").where(F.col("length") > _longest(spark))
+    return large.select(local_path(F.col("path")).alias("file_path"), "length")
 
 
 def _listed_path() -> Column:
@@ -156,6 +171,12 @@ def file_cells(files: DataFrame) -> DataFrame:
     ).where(F.col("value") != "")
 
 
+def unread_parts(files: DataFrame) -> DataFrame:
+    """Archives, their members and office files that could not be read, each with the reason: ``file_path, member_path, error``."""
+    failed = extract(files.where(file_kind(_name_to_sort_by(files)).isin("office", "archive"))).where(F.col("error").isNotNull())
+    return failed.select(local_path(F.col("path")).alias("file_path"), "member_path", "error")
+
+
 def read_changed(
     spark: SparkSession,
     path: str,

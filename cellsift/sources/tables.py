@@ -57,7 +57,23 @@ def pick_tables(available: Iterable[str], whitelist: Iterable[str] | None = None
 
 
 def catalog_tables(spark: SparkSession, database: str | None = None) -> list[str]:
-    return [t.name for t in spark.catalog.listTables(database)]
+    """Names of a database's tables; temporary views belong to no database."""
+    return [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
+
+
+def catalog_reader(spark: SparkSession, database: str | None = None) -> Callable[[str], DataFrame]:
+    """Reads a table of the named database, whatever database or view of its name is current."""
+    where = database or spark.catalog.currentDatabase()
+    spelled = ".".join("`" + part.replace("`", "``") + "`" for part in where.split("."))
+    return lambda name: spark.table(f"{spelled}.`{name.replace('`', '``')}`")
+
+
+def folder_tables(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
+    """Names of the tables in a folder: its entries with the suffix, by a listing of that folder alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = sorted(e.getPath().getName() for e in entries)
+    return [n.removesuffix(suffix) for n in names if n.endswith(suffix) and not n.startswith(("_", "."))]
 
 
 def jdbc_tables(spark: SparkSession, url: str, schema: str, properties: Mapping[str, str] | None = None) -> list[str]:
@@ -92,8 +108,27 @@ def jdbc_options(
     return options
 
 
-def jdbc_reader(spark: SparkSession, url: str, **options: object) -> Callable[[str], DataFrame]:
-    return lambda table: spark.read.format("jdbc").options(**jdbc_options(url, table, **options)).load()
+def jdbc_reader(
+    spark: SparkSession, url: str, per_table: Mapping[str, Mapping[str, object]] | None = None, **options: object
+) -> Callable[[str], DataFrame]:
+    """``per_table`` names partitioning of its own for a table, as every table has another key and other bounds."""
+
+    def read(table: str) -> DataFrame:
+        own = {**options, **(per_table or {}).get(table, {})}
+        if own.get("partition_column") is not None and own.get("bounds") is None:
+            own["bounds"] = _key_bounds(spark, url, table, str(own["partition_column"]), own.get("properties"))
+        return spark.read.format("jdbc").options(**jdbc_options(url, table, **own)).load()
+
+    return read
+
+
+def _key_bounds(
+    spark: SparkSession, url: str, table: str, column: str, properties: Mapping[str, str] | None
+) -> tuple[object, object]:
+    """Least and greatest key of a table, asked of the database; one row. An empty table has any bounds."""
+    query = f"SELECT min({column}) AS a, max({column}) AS b FROM {table}"
+    low, high = spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load().first()
+    return (0, 1) if low is None else (low, high)
 
 
 def scan_tables(

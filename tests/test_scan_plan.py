@@ -15,9 +15,9 @@ def connection(spark, tmp_path_factory):
     spark.createDataFrame([(1, "x@other.org")], "id int, note string").write.parquet(f"{base}/db/notes")
     (base / "docs.json").write_text('{"_id":"d1","body":"a@b.org","n":0}\n')
     spark.createDataFrame([(bytearray(b"k"), bytearray(b"c@d.org"))], "key binary, value binary").write.parquet(f"{base}/kv")
-    for name, text in (("share/a.txt", "e@f.org 1234"), ("share/b.log", "g@h.org"), ("drive/plan.txt", "i@j.org")):
+    for name, text in (("share/a.txt", "e@f.org 1234"), ("share/b.log", "g@h.org"), ("drive/f1/plan.txt", "i@j.org")):
         path = base / name
-        path.parent.mkdir(exist_ok=True)
+        path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
     spark.createDataFrame(
         [("f1", "plan.txt", "u@example.org", "root", "text/plain")],
@@ -71,6 +71,29 @@ def test_tables(spark, connection):
     ]
 
 
+def test_ordering_drops_no_rows_and_a_range_needs_an_order(spark, tmp_path):
+    spark.range(1200).selectExpr("id", "concat('u', id % 10, '@example.org') AS mail").write.parquet(f"{tmp_path}/db/people")
+    spark.range(1).selectExpr("'u1@example.org' AS mail").write.parquet(f"{tmp_path}/db/more")
+    catalog = {"any": r"u[0-9]@example\.org"}
+
+    def found(**options):
+        sources = {"postgresql": {"p": {"path": f"{tmp_path}/db", **options}}}
+        return scan_connection(spark, {"sources": sources}, catalog=catalog).count()
+
+    assert found() == 1201  # no list of tables means all of them
+    assert found(tables=["people"], order_by={"people": "id"}) == 1200
+    assert found(tables=["people"], order_by={"people": "id"}, limit_start=100, limit_end=700) == 700
+    with pytest.raises(ValueError, match="order_by"):
+        found(tables=["people"], limit_end=10)
+
+
+def test_keys_of_documents_are_scanned(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"_id":"me@b.org","n":0}\n')
+    sources = {"mongodb": {"m": {"collections": {"docs": str(tmp_path / "d.json")}}}}
+    [row] = scan_connection(spark, {"sources": sources}, catalog=CATALOG).collect()
+    assert (row["field"], row["doc_id"], row["matches"]) == ("_id", "me@b.org", ["me@b.org"])
+
+
 def test_alerts_and_tickets(spark, connection):
     found = scan_connection(spark, connection, "text", CATALOG)
     alerts = alerts_for(found, connection)

@@ -10,10 +10,10 @@ from cellsift.operators.incremental import append_manifest, changed_objects
 from cellsift.operators.scan import scan
 from cellsift.sources.archives import MAX_DEPTH, extract
 from cellsift.sources.documents import json_cells, key_value_cells, record_cells, scan_collections
-from cellsift.sources.drive import FOLDER_TYPE, NATIVE_TYPES, drive_cells, drive_listing
-from cellsift.sources.files import file_cells, file_metadata, listing, object_cells, read_changed, read_files, skipped_files, with_file_metadata
+from cellsift.sources.drive import FOLDER_TYPE, NATIVE_TYPES, drive_cells, drive_listing, drive_unread
+from cellsift.sources.files import file_cells, file_metadata, listing, object_cells, oversize_files, read_changed, read_files, skipped_files, unread_parts, with_file_metadata
 from cellsift.sources.literal import literal_cells
-from cellsift.sources.tables import catalog_tables, jdbc_options, pick_tables, scan_tables, table_cells
+from cellsift.sources.tables import catalog_reader, catalog_tables, folder_tables, jdbc_options, pick_tables, scan_tables, table_cells
 
 NUMBERS = {"digits": "[0-9]+"}
 
@@ -57,8 +57,6 @@ def test_row_range(spark):
 def test_table_choice(spark):
     assert pick_tables(["a", "b", "c"], ["c", "a", "x"]) == ["a", "c"]
     assert pick_tables(["a", "b"], []) == ["a", "b"]
-    spark.range(3).createOrReplaceTempView("discover_me")
-    assert "discover_me" in catalog_tables(spark)
     read = []
 
     def reader(name):
@@ -105,8 +103,10 @@ def test_collections(spark, tmp_path):
         ["people", "other"], lambda n: record_cells(spark.read.json(str(path)), "_id"), ["people"], host="h", database="d"
     )
     assert rows(cells, "collection", "doc_id", "field", "value") == [
+        ("people", "p1", "_id", "p1"),
         ("people", "p1", "address", '{"zip":"12345"}'),
         ("people", "p1", "name", "n1"),
+        ("people", "p2", "_id", "p2"),
         ("people", "p2", "age", "7"),
     ]
 
@@ -236,8 +236,9 @@ def test_exclusion(spark, tree):
 def test_excluded_files_are_never_opened(spark, tree):
     spark.conf.set("spark.sql.sources.binaryFile.maxLength", "0")
     try:
-        with pytest.raises(Exception):
-            file_cells(read_files(spark, tree, [])).collect()
+        # Nothing fits a row any more, so nothing is opened, and what was passed over is listed.
+        assert file_cells(read_files(spark, tree, [])).collect() == []
+        assert oversize_files(spark, tree).count() == 15
         patterns = [".", "node_modules"]
         assert file_cells(read_files(spark, tree, patterns)).collect() == []
     finally:
@@ -304,16 +305,71 @@ def test_drive(spark):
         ],
         "file_id string, file_name string, owner string, parent string, mime string",
     )
-    assert rows(drive_listing(manifest), "file_id", "file_name", "stored_name") == [
-        ("1", "a.txt", "a.txt"),
-        ("2", "doc", "doc-runtime.pdf"),
-        ("4", "b.txt", "b.txt"),
-    ]
-    assert rows(drive_listing(manifest, users=["u1"], exclude_patterns=[".pdf"]), "file_id", "user") == [("1", "u1")]
+    whole = [("1", "a.txt", "a.txt"), ("2", "doc", "doc-runtime.pdf"), ("4", "b.txt", "b.txt"), ("5", "c.txt", "c.txt")]
+    assert rows(drive_listing(manifest), "file_id", "file_name", "stored_name") == whole
+    assert rows(drive_listing(manifest, "root"), "file_id", "file_name", "stored_name") == whole[:3]
+    assert rows(drive_listing(manifest, "root", users=["u1"], exclude_patterns=[".pdf"]), "file_id", "user") == [("1", "u1")]
     users = spark.createDataFrame([("u2",), ("u3",)], "user string")
     assert rows(drive_listing(manifest, users=users), "file_id", "user") == [("4", "u2")]
-    files = spark.createDataFrame([("file:/d/a.txt", bytearray(b"42"))], "path string, content binary")
+    files = spark.createDataFrame([("file:/d/1/a.txt", bytearray(b"42"))], "path string, content binary")
     assert rows(drive_cells(drive_listing(manifest), files), "file_id", "file_name", "value") == [("1", "a.txt", "42")]
+    assert rows(drive_unread(drive_listing(manifest)), "file_id", "file_kind") == [("2", "pdf")]
+
+
+def test_drive_files_of_one_name_stay_apart(spark):
+    manifest = spark.createDataFrame(
+        [("1", "r.txt", "a", "root", "text/plain", None), ("2", "r.txt", "b", "root", "text/plain", None),
+         ("3", "notes", "c", "root", NATIVE_TYPES[0], "file:/d/exported/notes.txt")],
+        "file_id string, file_name string, owner string, parent string, mime string, path string",
+    )
+    files = spark.createDataFrame(
+        [("file:/d/1/r.txt", bytearray(b"one")), ("file:/d/2/r.txt", bytearray(b"two")), ("file:/d/exported/notes.txt", bytearray(b"three"))],
+        "path string, content binary",
+    )
+    listing = drive_listing(manifest, users=["a", "b", "c"])
+    got = rows(drive_cells(listing, files), "file_id", "user", "file_name", "value")
+    assert got == [("1", "a", "r.txt", "one"), ("2", "b", "r.txt", "two"), ("3", "c", "notes", "three")]
+    assert drive_unread(listing).count() == 0
+
+
+def test_a_file_too_large_for_a_row_does_not_end_the_scan(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1")
+    (tmp_path / "large.txt").write_text("2" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "4000")
+    try:
+        assert rows(file_cells(read_files(spark, str(tmp_path))), "value") == [("1",)]
+        assert rows(oversize_files(spark, str(tmp_path)), "length") == [(5000,)]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_what_cannot_be_read_is_listed(spark):
+    files = spark.createDataFrame([("file:/d/a.zip", bytearray(b"no zip")), ("file:/d/b.txt", bytearray(b"1"))], "path string, content binary")
+    assert rows(unread_parts(files), "file_path") == [("/d/a.zip",)]
+
+
+def test_tables_of_the_named_database(spark, tmp_path):
+    try:
+        for name, value in (("db_a", "here"), ("db_b", "there")):
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{tmp_path}/{name}'")
+            spark.createDataFrame([(value,)], "v string").write.saveAsTable(f"{name}.people")
+        spark.range(1).createOrReplaceTempView("people")
+        spark.sql("USE db_a")
+        assert catalog_tables(spark, "db_b") == ["people"]
+        assert rows(catalog_reader(spark, "db_b")("people"), "v") == [("there",)]
+        assert rows(catalog_reader(spark)("people"), "v") == [("here",)]
+    finally:
+        spark.catalog.dropTempView("people")
+        spark.sql("USE default")
+        for name in ("db_a", "db_b"):
+            spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def test_tables_of_a_folder(spark, tmp_path):
+    for name in ("x", "y"):
+        spark.range(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    (tmp_path / "_log").mkdir()
+    assert folder_tables(spark, str(tmp_path), ".parquet") == ["x", "y"]
 
 
 def test_files_of_other_kinds_stay_closed(spark, tmp_path):
