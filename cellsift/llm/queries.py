@@ -64,6 +64,46 @@ def op9_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+_WORDS_SQL = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+#: All pairs that share a shingle, counted; then what can be reached.
+OP9_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS_SQL}, []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS c
+ FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (n + m - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(x, y) AS (SELECT a, b FROM both_ways UNION SELECT r.x, l.b FROM reach AS r JOIN both_ways AS l ON r.y = l.a),
+c AS (SELECT x, min(least(x, y)) AS y FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(y, doc_id) AS component_id, coalesce(y, doc_id) = doc_id AS kept
+FROM s LEFT JOIN c ON doc_id = x"""
+
+
+def _rule_sql(number: int, rule: secrets.Rule) -> str:
+    pattern = "'" + rule.java.replace("'", "''") + "'"
+    return (
+        f"SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, {rule.least} AS least, regexp_split_to_array(t, {pattern}) AS gaps, "
+        f"regexp_extract_all(t, {pattern}, 0) AS found, regexp_extract_all(t, {pattern}, {rule.group}) AS tested FROM d"
+    )
+
+
+#: Each pattern over each text; places are the lengths of what stands before.
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS ({" UNION ALL ".join(_rule_sql(i, rule) for i, rule in enumerate(secrets.RULES))}),
+m AS (SELECT doc_id, number, kind, least, gaps, found, tested, unnest(range(1, len(found) + 1)) AS i FROM r WHERE len(found) > 0),
+p AS (SELECT doc_id, number, kind, length(found[i]) AS n,
+ CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) AS BIGINT)
+ + CAST(coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM m WHERE length(tested[i]) >= least),
+s AS (SELECT doc_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
+ coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, number) FILTER (number < 3), '') AS base,
+ string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, number) AS spans FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+ sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)"""
+
+
 def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["number"] < len(secrets.BASE))
@@ -89,6 +129,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_style_tree": (op6_style_tree, None),
     "op7_minimax_shards": (op7_minimax_shards, None),
     "op8_temperature_mixing": (op8_temperature_mixing, None),
-    "op9_coordinate_join": (op9_coordinate_join, None),
-    "op10_trigram_secrets": (op10_trigram_secrets, None),
+    "op9_coordinate_join": (op9_coordinate_join, OP9_SQL),
+    "op10_trigram_secrets": (op10_trigram_secrets, OP10_SQL),
 }
