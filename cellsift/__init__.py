@@ -5,9 +5,9 @@ from cellsift.functions.matching import scan_text
 from cellsift.functions.text import redact
 from cellsift.operators.alerts import alerts, outbox, suppress, tickets
 from cellsift.operators.report import grouped, numbered, report_table, source_totals
-from cellsift.operators.scan import any_hit, quick_exit, scan, scan_pattern
+from cellsift.operators.scan import any_hit, quick_exit, redact_document, scan, scan_pattern
 from cellsift.operators.severity import rate
-from cellsift.plans.scan_plan import alerts_for, scan_connection, tickets_for
+from cellsift.plans.scan_plan import alerts_for, remember, scan_connection, tickets_for
 from cellsift.schema import FINDING_SCHEMA, conform
 from cellsift.session import session
 
@@ -27,6 +27,8 @@ __all__ = [
     "quick_exit",
     "rate",
     "redact",
+    "redact_document",
+    "remember",
     "report_table",
     "scan",
     "scan_connection",

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellsift.catalog import Catalog
 from cellsift.operators import alerts as al
+from cellsift.operators.incremental import append_manifest
 from cellsift.operators.ordering import row_range
 from cellsift.operators.scan import quick_exit, scan
 from cellsift.operators.severity import rate
@@ -30,10 +31,12 @@ from cellsift.sources import tables
 from cellsift.sources.chat import CHANNEL_TYPES, LOOKBACK_MINUTES, scan_chat, select_channels
 from cellsift.sources.documents import key_value_cells, record_cells, scan_collections
 from cellsift.sources.drive import drive_cells, drive_listing
-from cellsift.sources.files import file_cells, object_cells, read_files, read_objects
+from cellsift.sources.files import file_cells, object_cells, read_changed, read_files, read_objects
 from cellsift.sources.literal import literal_cells
 
 Options = Mapping[str, object]
+#: What a run opened, by kind and profile: rows of path and tag, and the cache they belong to.
+Seen = dict[tuple[str, str], tuple[DataFrame, str]]
 
 # Fixed value: default of a source's option.
 DEFAULT_MAX_MATCHES = 1
@@ -105,14 +108,32 @@ def _redis_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> Da
     return _cells(key_value_cells(_load(spark, o, o["path"])), kind, profile, host=o.get("host"))
 
 
-def _file_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:
-    files = read_files(spark, str(o["path"]), o.get("exclude_patterns") or (), o.get("glob"))
-    return _cells(file_cells(files), kind, profile, host=o.get("host", "This PC"))
+def _opened(spark: SparkSession, kind: str, profile: str, o: Options, read, seen: Seen | None) -> DataFrame:
+    """The files to scan: all, or with ``cache`` (a folder of path and tag) those that it does not hold.
+
+    What a run opens under a cache goes into ``seen``, for the caller to append once the findings are stored.
+    """
+    path, excluded, glob = str(o["path"]), o.get("exclude_patterns") or (), o.get("glob")
+    if "cache" not in o:
+        return read(spark, path, excluded, glob)
+    cache = str(o["cache"])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    known = spark.createDataFrame([], "path string, tag string")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.parquet(cache)
+    files, new = read_changed(spark, path, known, excluded, glob, read)
+    if seen is not None:
+        seen[kind, profile] = (new, cache)
+    return files
+
+
+def _file_cells(spark: SparkSession, kind: str, profile: str, o: Options, seen: Seen | None) -> DataFrame:
+    files = _opened(spark, kind, profile, o, read_files, seen)
+    return _cells(file_cells(files, metadata=True), kind, profile, host=o.get("host", "This PC"))
 
 
-def _object_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:
-    objects = read_objects(spark, str(o["path"]), o.get("exclude_patterns") or (), o.get("glob"))
-    return _cells(object_cells(objects), kind, profile)
+def _object_cells(spark: SparkSession, kind: str, profile: str, o: Options, seen: Seen | None) -> DataFrame:
+    return _cells(object_cells(_opened(spark, kind, profile, o, read_objects, seen)), kind, profile)
 
 
 def _drive_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:
@@ -141,6 +162,7 @@ READERS: dict[str, Callable[[SparkSession, str, str, Options], DataFrame]] = {
     "gdrive_workspace": _drive_cells,
     "text": _text_cells,
 }
+_CACHED = ("s3", "gcs", "firebase", "fs")
 
 
 def _chat_findings(spark: SparkSession, profile: str, o: Options, catalog: Catalog, limit: int | None, **scan_options):
@@ -170,9 +192,18 @@ def _chat_findings(spark: SparkSession, profile: str, o: Options, catalog: Catal
 
 
 def scan_connection(
-    spark: SparkSession, connection: Mapping, source: str = "all", catalog: Catalog = None, **scan_options: object
+    spark: SparkSession,
+    connection: Mapping,
+    source: str = "all",
+    catalog: Catalog = None,
+    seen: Seen | None = None,
+    **scan_options: object,
 ) -> DataFrame:
-    """Rated findings of one source kind, or of all in the description, over all their profiles."""
+    """Rated findings of one source kind, or of all in the description, over all their profiles.
+
+    Profiles of files and objects that name a ``cache`` are scanned for changes only. Pass a dict as ``seen`` and hand it to
+    ``remember`` once the findings are stored; then the next run passes over what this one read.
+    """
     sources: Mapping[str, Mapping[str, Options]] = connection.get("sources", {})
     kinds = list(sources) if source == "all" else [source]
     options = connection.get("options", {})
@@ -186,7 +217,8 @@ def scan_connection(
             if kind == "slack":
                 found.append(_chat_findings(spark, profile, o, catalog, limit, **scan_options))
             else:
-                mine.append(READERS[kind](spark, kind, profile, o))
+                more = (seen,) if kind in _CACHED else ()
+                mine.append(READERS[kind](spark, kind, profile, o, *more))
         if mine and limit is not None and kind in ("s3", "gcs"):
             stopped = quick_exit(
                 scan(reduce(DataFrame.unionByName, mine), "value", catalog, **scan_options),
@@ -203,6 +235,12 @@ def scan_connection(
     return rate(reduce(DataFrame.unionByName, found), connection.get("severity_rules"))
 
 
+def remember(seen: Seen) -> None:
+    """Add to each cache what a scan has opened."""
+    for new, cache in seen.values():
+        append_manifest(new, cache)
+
+
 def alerts_for(
     findings: DataFrame, connection: Mapping, history: DataFrame | None = None, no_write: bool = False
 ) -> DataFrame:

@@ -14,7 +14,7 @@ LOCATORS: dict[str, tuple[str, ...]] = {
     "s3": ("bucket", "file_path"),
     "gcs": ("bucket", "file_path"),
     "firebase": ("bucket", "file_path"),
-    "fs": ("host", "file_path"),
+    "fs": ("host", "file_path", "file_size", "modified_time"),
     "gdrive": ("file_id", "file_name", "file_path"),
     "gdrive_workspace": ("file_id", "file_name", "user", "file_path"),
     "slack": ("channel_id", "channel_name", "user", "message_link"),
@@ -32,6 +32,8 @@ LOCATOR_COLUMNS: tuple[str, ...] = (
     "key",
     "bucket",
     "file_path",
+    "file_size",
+    "modified_time",
     "member_path",
     "file_id",
     "file_name",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -128,10 +128,14 @@ def file_metadata(files: DataFrame) -> DataFrame:
     return files.select(
         local_path(F.col("path")).alias("file_path"),
         F.col("length").alias("file_size"),
-        F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss").alias("modified_time"),
+        _shown_time().alias("modified_time"),
     )
 
 
+def _shown_time() -> Column:
+    return F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss")
+
+
 def with_file_metadata(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings of files with the size and modification time of their file."""
     return findings.join(file_metadata(files), "file_path", "left")
@@ -154,21 +158,25 @@ def _name_to_sort_by(files: DataFrame) -> Column:
     return F.col("_metadata.file_path")
 
 
-def file_cells(files: DataFrame) -> DataFrame:
+def file_cells(files: DataFrame, metadata: bool = False) -> DataFrame:
     """``(file_path, member_path, value)`` of every readable file; each file is read once.
 
-    Plain text stays in the JVM; only archives and office files pass through Python.
+    Plain text stays in the JVM; only archives and office files pass through Python. ``metadata`` adds ``file_size`` and
+    ``modified_time``, which plain files bring along; those of archives come from the listing.
     """
     kind = file_kind(_name_to_sort_by(files))
+    shown = ["file_path", "member_path", "value", *(("file_size", "modified_time") if metadata else ())]
     plain = files.where(kind == TEXT_KIND).select(
         local_path(F.col("path")).alias("file_path"),
         F.lit(None).cast("string").alias("member_path"),
         decode_utf8(F.col("content")).alias("value"),
+        *((F.col("length").alias("file_size"), _shown_time().alias("modified_time")) if metadata else ()),
     )
     packed = extract(files.where(kind.isin("office", "archive"))).where(F.col("error").isNull())
-    return plain.unionByName(
-        packed.select(local_path(F.col("path")).alias("file_path"), "member_path", F.col("text").alias("value"))
-    ).where(F.col("value") != "")
+    packed = packed.select(local_path(F.col("path")).alias("file_path"), "member_path", F.col("text").alias("value"))
+    if metadata:
+        packed = with_file_metadata(packed, files)
+    return plain.select(*shown).unionByName(packed.select(*shown)).where(F.col("value") != "")
 
 
 def unread_parts(files: DataFrame) -> DataFrame:
@@ -183,12 +191,13 @@ def read_changed(
     manifest: DataFrame,
     exclude_patterns: Iterable[str] = (),
     glob: str | None = None,
+    read: Callable[..., DataFrame] = read_files,
 ) -> tuple[DataFrame, DataFrame]:
     """Files whose listing tag ``manifest(path, tag)`` does not hold, and the manifest rows to add once they are done.
 
     The comparison sees the listing only. Of the content, nothing older than the oldest changed file is opened.
     """
-    files = read_files(spark, path, exclude_patterns, glob)
+    files = read(spark, path, exclude_patterns, glob)
     new = written(changed_objects(listing(files).select("path", "tag", "modificationTime"), manifest), "changed")
     oldest = new.agg(F.min("modificationTime")).first()[0]
     if oldest is None:

@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 
 from cellsift import alerts_for, scan_connection, tickets_for
+from cellsift.plans.scan_plan import remember
 from cellsift.schema import FINDING_SCHEMA
 
 CATALOG = {"mail": r"[a-z]+@[a-z]+\.org", "digits": r"[0-9]{3,}"}
@@ -94,6 +96,28 @@ def test_keys_of_documents_are_scanned(spark, tmp_path):
     assert (row["field"], row["doc_id"], row["matches"]) == ("_id", "me@b.org", ["me@b.org"])
 
 
+def test_cache_and_file_times(spark, tmp_path):
+    share = tmp_path / "share"
+    share.mkdir()
+    for name, at in (("a.txt", 1_700_000_000), ("b.txt", 1_700_000_100)):
+        (share / name).write_text(f"{name} 12345")
+        os.utime(share / name, (at, at))
+    sources = {"fs": {"p": {"path": str(share), "cache": str(tmp_path / "cache")}}}
+
+    def run():
+        seen = {}
+        found = scan_connection(spark, {"sources": sources}, catalog=CATALOG, seen=seen).collect()
+        remember(seen)
+        return sorted((r["file_path"].rsplit("/", 1)[1], r["file_size"], r["modified_time"]) for r in found)
+
+    assert run() == [("a.txt", "11", "2023-11-14 22:13:20"), ("b.txt", "11", "2023-11-14 22:15:00")]
+    assert run() == []
+    (share / "b.txt").write_text("changed 999")
+    os.utime(share / "b.txt", (1_700_000_200, 1_700_000_200))
+    assert [name for name, *_ in run()] == ["b.txt"]
+    assert run() == []
+
+
 def test_alerts_and_tickets(spark, connection):
     found = scan_connection(spark, connection, "text", CATALOG)
     alerts = alerts_for(found, connection)
