@@ -22,7 +22,7 @@ import hashlib
 import html as html_module
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -180,15 +180,20 @@ def parse(page: str) -> Element:
 
 
 def nodes_of(page: str | None) -> list[tuple]:
-    """``(place, parent, content, leaf, text)`` of every element that its names let stand, in page order.
+    """``(place, parent, content, leaf, prose, text, solid)`` of every element that its names let stand, in page order.
 
-    ``place`` and ``content`` are 64-bit hashes; ``parent`` is the number of the parent in the list, -1 for none.
+    ``place`` and ``content`` are 64-bit hashes; ``parent`` is the number of the parent in the list, -1 for none; ``solid`` counts
+    the children that are prose.
     """
     root = parse(page or "")
     mains = [e for e in _walk(root) if e.main and not e.dropped and _has_text(e)]
     out: list[tuple] = []
     _collect(root, b"", -1, not mains, out)
-    return out
+    solid = [0] * len(out)
+    for _, parent, _, _, prose, _ in out:
+        if prose and parent >= 0:
+            solid[parent] += 1
+    return [(*node, n) for node, n in zip(out, solid, strict=True)]
 
 
 def _walk(e: Element) -> Iterator[Element]:
@@ -234,33 +239,43 @@ def _collect(root: Element, place: bytes, parent: int, open_: bool, out: list[tu
             todo.append((c, _hash(place, style, str(i).encode(), c.name.encode()), number, open_, inside, prose or own))
 
 
-def kept_text(nodes: list[dict], stats: dict[int, tuple[float, int]]) -> str:
-    """The text of the page without branches of low importance. ``stats`` gives own importance and number of styles."""
-    n = len(nodes)
-    sums, counts, whole = [0.0] * n, [0] * n, [1.0] * n
-    for i in range(n - 1, -1, -1):
-        own, styles = stats.get(i, (1.0, 1))
-        if nodes[i]["prose"]:
-            pass
-        elif nodes[i]["leaf"]:
-            whole[i] = own
-        elif counts[i]:
-            share = DECAY**styles
-            whole[i] = (1 - share) * own + share * sums[i] / counts[i]
-        if nodes[i]["parent"] >= 0:
-            sums[nodes[i]["parent"]] += whole[i]
-            counts[nodes[i]["parent"]] += 1
-    gone, out = [False] * n, []
+def low_branches(nodes: list[dict]) -> list[int]:
+    """The numbers ``at`` of a page's elements whose whole importance is low.
+
+    ``nodes`` are those outside of prose: ``at, parent, leaf, solid, own, styles``, where ``solid`` counts children that are prose
+    and so count as important.
+    """
+    nodes = sorted(nodes, key=lambda n: n["at"])
+    sums = {n["at"]: float(n["solid"]) for n in nodes}
+    counts = {n["at"]: n["solid"] for n in nodes}
+    low = []
+    for n in reversed(nodes):
+        at, whole = n["at"], n["own"]
+        if not n["leaf"]:
+            share = DECAY ** n["styles"]
+            whole = (1 - share) * whole + share * sums[at] / counts[at] if counts[at] else 1.0
+        if n["parent"] in sums:
+            sums[n["parent"]] += whole
+            counts[n["parent"]] += 1
+        if whole <= LOW:
+            low.append(at)
+    return low
+
+
+def kept_text(nodes: list[dict], low: Iterable[int] = ()) -> str:
+    """The text of the page without the branches at ``low``."""
+    gone, out = set(low), []
     for i, node in enumerate(nodes):
-        gone[i] = whole[i] <= LOW or (node["parent"] >= 0 and gone[node["parent"]])
-        if node["leaf"] and not gone[i]:
+        if node["parent"] in gone:
+            gone.add(i)
+        if node["leaf"] and i not in gone:
             out.append(node["text"])
     return " ".join(out or [x["text"] for x in nodes if x["leaf"]])
 
 
-_NODE = "struct<place:long,parent:int,content:long,leaf:boolean,prose:boolean,text:string>"
+_NODE = "struct<place:long,parent:int,content:long,leaf:boolean,prose:boolean,text:string,solid:int>"
 _NODE_TYPE = pa.struct([("place", pa.int64()), ("parent", pa.int32()), ("content", pa.int64()), ("leaf", pa.bool_()),
-                        ("prose", pa.bool_()), ("text", pa.string())])
+                        ("prose", pa.bool_()), ("text", pa.string()), ("solid", pa.int32())])
 _KEYS = [f.name for f in _NODE_TYPE]
 
 
@@ -275,13 +290,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.list_(_NODE_TYPE))], [*names, "nodes"])
 
 
+def _rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        low = [low_branches(nodes) for nodes in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.list_(pa.int32()))], ["row", "low"])
+
+
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for a in range(0, len(batch), 256):
             part = batch.slice(a, 256)
-            for nodes, stats in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                texts.append(kept_text(nodes, {s["at"]: (s["own"], s["styles"]) for s in stats or []}))
+            for nodes, low in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                texts.append(kept_text(nodes, low or ()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
@@ -310,10 +331,13 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     schema = f"row long, id {kind}, url string, host string, mark binary, nodes array<{_NODE}>"
     trees = staged(marked.mapInArrow(_read, schema), "style-trees")
     nodes = trees.select("row", "host", F.posexplode("nodes").alias("at", "n")).where("not n.prose")
-    nodes = nodes.select("row", "host", "at", "n.place", "n.content", "n.leaf")
+    nodes = nodes.select("row", "host", "at", "n.place", "n.content", "n.leaf", "n.parent", "n.solid")
     # Equal pages of a host count once.
     counted = trees.groupBy("host", "mark").agg(F.min("row").alias("row")).select("row")
-    rated = nodes.join(importances(nodes.join(counted, "row", "left_semi")), ["host", "place", "content"])
-    stats = rated.groupBy("row").agg(F.collect_list(F.struct("at", "own", "styles")).alias("stats"))
-    pruned = trees.join(stats, "row", "left").select("id", "url", "nodes", "stats")
+    rated = nodes.join(importances(nodes.join(counted, "row", "left_semi")), ["host", "place", "content"], "left")
+    node = F.struct("at", "parent", "leaf", "solid", F.coalesce("own", F.lit(1.0)).alias("own"), F.coalesce("styles", F.lit(1)).alias("styles"))
+    # A page without a place of low importance of its own has no low branch: the whole is a mean of its parts.
+    pages_rated = rated.groupBy("row").agg(F.min("own").alias("least"), F.collect_list(node).alias("nodes")).where(F.col("least") <= LOW)
+    low = pages_rated.select("row", "nodes").mapInArrow(_rate, "row long, low array<int>").where(F.size("low") > 0)
+    pruned = trees.join(staged(low, "style-low"), "row", "left").select("id", "url", "nodes", "low")
     return pruned.mapInArrow(_prune, f"id {kind}, url string, text string").toDF(id_column, url_column, "text")

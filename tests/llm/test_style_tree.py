@@ -18,7 +18,7 @@ def texts(spark, pages):
 
 
 def alone(page):
-    return s.kept_text([dict(zip(s._KEYS, x)) for x in s.nodes_of(page)], {})
+    return s.kept_text([dict(zip(s._KEYS, x)) for x in s.nodes_of(page)])
 
 
 @pytest.mark.parametrize(
@@ -85,6 +85,19 @@ def test_importances(spark):
     assert (3, 9) not in got  # one page only
 
 
+def test_whole_importance_joins_own_and_children():
+    def node(at, parent, leaf, own, styles=1, solid=0):
+        return {"at": at, "parent": parent, "leaf": leaf, "solid": solid, "own": own, "styles": styles}
+
+    page = [node(0, -1, False, 0.0, 2), node(1, 0, True, 0.0), node(2, 0, True, 0.4), node(3, 0, False, 0.0), node(4, 3, True, 0.1)]
+    # 3: 0.1 * 0 + 0.9 * 0.1; 0: 0.19 * 0 + 0.81 * (0 + 0.4 + 0.09) / 3
+    assert s.low_branches(page) == [4, 3, 1, 0]
+    page[2]["own"] = 1.0
+    assert s.low_branches(page) == [4, 3, 1]
+    page[3]["solid"] = 1  # a paragraph beside the leaf: 0.9 * (0.1 + 1) / 2
+    assert s.low_branches(page) == [4, 1]
+
+
 def test_empty_table(spark):
     assert s.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
