@@ -1,11 +1,12 @@
 """Byte-level BPE: ids of whole texts, and bytes of ids.
 
 A text is cut by the tokenizer's pattern; every piece is merged by the ranks of a vocabulary file. The distinct pieces
-that are new to a task are sorted into length buckets. A bucket is a padded matrix of ids, one piece a row,
-beside a matrix with the rank of each neighbouring pair. In each round every row merges its leftmost pair of minimum rank;
+that are new to a task are sorted into length buckets. A bucket is a padded matrix of ids, one piece a row, beside a
+matrix with the rank of each neighbouring pair. In each round every row merges its leftmost pair of minimum rank;
 pairs are looked up in an open-addressing table, and rows without a pair to merge leave the matrix.
 
-Nulls count as empty texts, which have no ids. Equal texts have equal ids; repeated rows stay. An empty table gives an empty table.
+Nulls count as empty texts, which have no ids. Equal texts have equal ids; repeated rows stay. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations

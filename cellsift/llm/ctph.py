@@ -1,12 +1,14 @@
 """Context-triggered piecewise hashing: fingerprints of texts that stay alike when a part of the text changes.
 
-A hash rolls over windows of eight UTF-8 bytes. Where its lowest k bits are zero a piece ends, so a changed passage moves only
-the boundaries inside it. The block size is 2^k, with the smallest k that leaves at most 64 boundaries. Every piece gives
-two base64 characters, a hash of all windows that end in it. The fingerprint is ``block:pieces:pieces at twice the block``.
+A hash rolls over windows of eight UTF-8 bytes. Where its lowest k bits are zero a piece ends, so a changed passage
+moves only the boundaries inside it. The block size is 2^k, with the smallest k that leaves at most 64 boundaries.
+Every piece gives two base64 characters, a hash of all windows that end in it. The fingerprint is
+``block:pieces:pieces at twice the block``.
 
 Likeness is one minus the share of pieces that an edit by insertions and deletions changes, at equal block sizes or at
-neighbouring ones; farther ones give 0. Equal texts have equal fingerprints and likeness 1. Nulls count as empty texts;
-an empty text is like no other. The longest text is worked through in blocks; its fingerprint has no other length limit.
+neighbouring ones; farther ones give 0. Equal texts have equal fingerprints and likeness 1. Nulls count as empty
+texts; an empty text is like no other. The longest text is worked through in blocks; its fingerprint has no other
+length limit.
 """
 
 from __future__ import annotations

@@ -1,13 +1,13 @@
 """Language of texts by a string kernel.
 
-The kernel of two texts is the number of n-grams of one to four characters that both hold, over the root of the product of
-how many each holds (blended spectrum, presence only). Landmark texts give a Nyström map of the kernel; kernel ridge
-regression, one language against the rest, is solved in it. A text is scored by the product of its presence row with
-landmarks and weights folded into one matrix, a batch of rows at a time.
-
-n-grams are taken from lower-case text in which everything but letters is one blank, and are hashed to 2^15 places. Whole texts
-are read, both in training and in prediction. A null text, or one without a letter, is ``und`` with score 0. Ties go
-to the first language in order. Without training rows every text is ``und``. Rows repeat as they come.
+The kernel of two texts is the number of n-grams of one to four characters that both hold, over the root of the
+product of how many each holds (blended spectrum, presence only). Landmark texts give a Nyström map of the kernel;
+kernel ridge regression, one language against the rest, is solved in it. A text is scored by the product of its
+presence row with landmarks and weights folded into one matrix, a batch of rows at a time.
+
+n-grams are taken from lower-case text in which everything but letters is one blank, and are hashed to 2^15 places.
+Whole texts are read, both in training and in prediction. A null text, or one without a letter, is ``und`` with score
+0. Ties go to the first language in order. Without training rows every text is ``und``. Rows repeat as they come.
 """
 
 from __future__ import annotations

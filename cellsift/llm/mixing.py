@@ -1,18 +1,20 @@
-"""Sources mixed by temperature: shares of tokens to a power, the power found by bisection, realised as passes over blocks.
+"""Sources mixed by temperature: shares of tokens to a power, the power found by bisection, realised as passes over
+blocks.
 
-The weight of a source is its share of tokens to the power alpha, normalised. Alpha 1 keeps the shares, alpha 0 makes all
-sources equal. Alpha is bisected to the largest one whose weights reach a wanted entropy (a fraction of the highest
-possible), and raised, if need be, until no source is repeated more often than allowed; the repetition limit wins.
+The weight of a source is its share of tokens to the power alpha, normalised. Alpha 1 keeps the shares, alpha 0 makes
+all sources equal. Alpha is bisected to the largest one whose weights reach a wanted entropy (a fraction of the
+highest possible), and raised, if need be, until no source is repeated more often than allowed; the repetition limit
+wins.
 
-The budget of tokens is dealt by the weights. A source whose budget is e times its tokens is passed over floor(e) times
-and once more in part. Documents of a source fall into blocks by a hash of their id; each pass has its own order of blocks and,
-within a block, of documents. The last pass takes whole blocks while they fit and then documents of the next block while
-they fit. Budgets need no rows of the documents: they follow from one sum per source and block.
+The budget of tokens is dealt by the weights. A source whose budget is e times its tokens is passed over floor(e)
+times and once more in part. Documents of a source fall into blocks by a hash of their id; each pass has its own order
+of blocks and, within a block, of documents. The last pass takes whole blocks while they fit and then documents of the
+next block while they fit. Budgets need no rows of the documents: they follow from one sum per source and block.
 
 By default the budget is the smallest that passes at least once over every source, so that no document is lost.
 
-A null source is a source of its own. A null or empty text has no tokens but is dealt like others. Repeated rows
-are documents of their own. Ties in the hash go by id, then text. An empty table gives an empty table.
+A null source is a source of its own. A null or empty text has no tokens but is dealt like others. Repeated rows are
+documents of their own. Ties in the hash go by id, then text. An empty table gives an empty table.
 """
 
 from __future__ import annotations

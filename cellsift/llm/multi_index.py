@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Vectors are brought to length one and cut into two halves, each with a code book of its own (k-means on a bounded sample). A vector
-lies in the cell of its two nearest centroids. A query takes pairs of centroids in the order of their summed distance, by a
-heap, until the cells visited hold the wanted share of all vectors, and ranks what lies in them by the exact cosine.
-
-The index holds every distinct vector once, with the smallest ids that share it; equal vectors are equally near, so no more of
-them can be among the nearest. Cells of one first centroid form a posting list, cut into blocks; queries are cut into blocks too, and a
-task multiplies one block of queries by one of vectors, hides the cells that a query did not visit, and gives the best of each query.
-
-Vectors that are null, of length zero, of another dimension than most, or with null or non-finite components take no part, neither as
-query nor as neighbour. Ties go to the smaller id. Equal rows are neighbours of their own ids only; rows of one id should be equal. With
-fewer vectors than asked for, all are returned. An empty table, or one without queries, gives an empty table.
+Vectors are brought to length one and cut into two halves, each with a code book of its own (k-means on a bounded
+sample). A vector lies in the cell of its two nearest centroids. A query takes pairs of centroids in the order of
+their summed distance, by a heap, until the cells visited hold the wanted share of all vectors, and ranks what lies in
+them by the exact cosine.
+
+The index holds every distinct vector once, with the smallest ids that share it; equal vectors are equally near, so no
+more of them can be among the nearest. Cells of one first centroid form a posting list, cut into blocks; queries are
+cut into blocks too, and a task multiplies one block of queries by one of vectors, hides the cells that a query did
+not visit, and gives the best of each query.
+
+Vectors that are null, of length zero, of another dimension than most, or with null or non-finite components take no
+part, neither as query nor as neighbour. Ties go to the smaller id. Equal rows are neighbours of their own ids only;
+rows of one id should be equal. With fewer vectors than asked for, all are returned. An empty table, or one without
+queries, gives an empty table.
 """
 
 from __future__ import annotations

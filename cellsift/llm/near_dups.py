@@ -1,24 +1,26 @@
 """Near duplicates: MinHash signatures, an inverted join on signature coordinates, exact links, connected components.
 
-1. A document's set holds its distinct word shingles: words are runs of bytes that are not ASCII white space, A-Z lower-cased; a text
-   with fewer words than a shingle has its whole sequence as the one shingle. Documents with equal sets are one class, which
-   its smallest id stands for.
-2. Each class has a MinHash signature and is posted under its coordinate-value pairs. Pairs that one class alone holds are dropped. Two
-   classes at the wanted similarity share at least ``match threshold`` coordinates, but for a chance below ``MISS``, so a class
-   with fewer shared pairs has no partner and is skipped; of the others only a prefix is joined, the rarest pairs without
-   the last ``threshold - 1``: two classes that share enough meet in the prefix.
+1. A document's set holds its distinct word shingles: words are runs of bytes that are not ASCII white space, A-Z
+   lower-cased; a text with fewer words than a shingle has its whole sequence as the one shingle. Documents with equal
+   sets are one class, which its smallest id stands for.
+2. Each class has a MinHash signature and is posted under its coordinate-value pairs. Pairs that one class alone holds
+   are dropped. Two classes at the wanted similarity share at least ``match threshold`` coordinates, but for a chance
+   below ``MISS``, so a class with fewer shared pairs has no partner and is skipped; of the others only a prefix is
+   joined, the rarest pairs without the last ``threshold - 1``: two classes that share enough meet in the prefix.
 3. Classes that meet under a pair count their collisions. In a task the pairs of classes above the threshold only join
-   trees, and each class of a tree is tied to its smallest, so that a group of thousands of near copies makes thousands of rows, not millions. Large posting
-   lists are cut into blocks, every two of which meet in a task of their own. The components of these edges are the clusters.
+   trees, and each class of a tree is tied to its smallest, so that a group of thousands of near copies makes
+   thousands of rows, not millions. Large posting lists are cut into blocks, every two of which meet in a task of
+   their own. The components of these edges are the clusters.
 4. The full sets of a cluster's classes meet again, in blocks, and all intersections are counted by matrix products of
-   presence rows. Links are exact; what leaves the task ties each class of a tree to its smallest, and the components are the answer.
+   presence rows. Links are exact; what leaves the task ties each class of a tree to its smallest, and the components
+   are the answer.
 
-Only classes that share a cluster move their sets, and no pair is dropped or capped. A link whose signatures agree in too few
-coordinates is still found if its classes share a cluster through others.
+Only classes that share a cluster move their sets, and no pair is dropped or capped. A link whose signatures agree in
+too few coordinates is still found if its classes share a cluster through others.
 
-Null texts and texts without words have an empty set, are linked with nothing and are their own component. Rows of one id
-should be equal; the smallest of repeated ids stands for itself. A row without an id is a class of its own set, but never stands for one
-that has ids; a component without any id is null.
+Null texts and texts without words have an empty set, are linked with nothing and are their own component. Rows of one
+id should be equal; the smallest of repeated ids stands for itself. A row without an id is a class of its own set, but
+never stands for one that has ids; a component without any id is null.
 """
 
 from __future__ import annotations

@@ -1,13 +1,14 @@
 """Secrets in whole texts by an inverted index of trigrams.
 
-From each rule's pattern follows a Boolean query of trigrams that every match holds. Documents are posted under the trigrams
-that the queries name; the postings of a document meet as bits, and the queries are evaluated on them. Only rules whose
-query holds are verified on a document, by their pattern. Rules without mandatory trigrams are tried on all documents.
-
-A span is ``kind:start:end`` in code points, the end exclusive; spans of one kind never overlap, those of two kinds may. Matches that
-fail a rule's least length are dropped, but what they cover is passed over. Nulls count as empty texts and have no spans.
-Ids are meant to be unique: rows of one id share the postings, and each is verified on its own text. Only DataFrame
-functions are used.
+From each rule's pattern follows a Boolean query of trigrams that every match holds. Documents are posted under the
+trigrams that the queries name; the postings of a document meet as bits, and the queries are evaluated on them. Only
+rules whose query holds are verified on a document, by their pattern. Rules without mandatory trigrams are tried on
+all documents.
+
+A span is ``kind:start:end`` in code points, the end exclusive; spans of one kind never overlap, those of two kinds
+may. Matches that fail a rule's least length are dropped, but what they cover is passed over. Nulls count as empty
+texts and have no spans. Ids are meant to be unique: rows of one id share the postings, and each is verified on its
+own text. Only DataFrame functions are used.
 """
 
 from __future__ import annotations

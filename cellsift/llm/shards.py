@@ -1,12 +1,13 @@
-"""Documents into shards of nearly equal bytes, equal texts together: the minimax partition of an ordered row of groups.
+"""Documents into shards of nearly equal bytes, equal texts together: the minimax partition of an ordered row of
+groups.
 
-Groups of equal texts stand in the order of their SHA-256, their rows by id. The smallest capacity is searched for which a
-greedy filling, shard after shard in that order, needs no more shards than there are; then the row is cut there. A third
-of all rows may be copies of one text: the running sums are taken over ranges of rows, not of groups.
+Groups of equal texts stand in the order of their SHA-256, their rows by id. The smallest capacity is searched for
+which a greedy filling, shard after shard in that order, needs no more shards than there are; then the row is cut
+there. A third of all rows may be copies of one text: the running sums are taken over ranges of rows, not of groups.
 
-The size of a document is the UTF-8 length of its text plus one; a null text counts as an empty one and shares its group.
-Repeated rows are rows of their own. Null ids come first in their group. With fewer groups than shards, shards stay empty.
-An empty table gives an empty table. Only DataFrame functions are used.
+The size of a document is the UTF-8 length of its text plus one; a null text counts as an empty one and shares its
+group. Repeated rows are rows of their own. Null ids come first in their group. With fewer groups than shards, shards
+stay empty. An empty table gives an empty table. Only DataFrame functions are used.
 """
 
 from __future__ import annotations

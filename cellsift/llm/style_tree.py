@@ -1,19 +1,23 @@
 """Main text of web pages by a site style tree.
 
-1. A page is read into a tree of its block elements. What stands between the tags of a block without block children is a leaf.
-2. The trees of one host are merged: an element's place is that of its parent, the parent's style (the row of its children's names)
-   and its number therein. For each place is counted how many pages have it, with which style or, at a leaf, with which content.
-3. An inner element's importance is the entropy of its styles over the pages, to the base of their number; that of a leaf is one
-   minus the same entropy of its content's spread over pages: text that all pages share counts nothing. An element's whole importance joins its own with the mean
-   of its children's, the less its own the fewer styles it has (``(1 - DECAY^l) own + DECAY^l children``).
-4. Branches of low importance leave each page. So do branches whose name, role or class says what they are: menus, forms,
-   adverts, notices, comments and the like. If a page has an article or a main element, what stands outside leaves too.
-
-A place that fewer than ``LEAST_PAGES`` different pages have counts as important, and so do paragraphs and headings inside an article:
-sites repeat passages in articles that are text nonetheless. If the tree would leave a page nothing, the page keeps what its names let
-stand. Equal pages of a host count once. Blocks are joined in page order by one space, white space inside them becomes one
-space, and character references are decoded. Null or empty html gives an empty text; a null url is a host of its own. Repeated
-rows and ids stay as they are.
+1. A page is read into a tree of its block elements. What stands between the tags of a block without block children is
+   a leaf.
+2. The trees of one host are merged: an element's place is that of its parent, the parent's style (the row of its
+   children's names) and its number therein. For each place is counted how many pages have it, with which style or, at
+   a leaf, with which content.
+3. An inner element's importance is the entropy of its styles over the pages, to the base of their number; that of a
+   leaf is one minus the same entropy of its content's spread over pages: text that all pages share counts nothing. An
+   element's whole importance joins its own with the mean of its children's, the less its own the fewer styles it has
+   (``(1 - DECAY^l) own + DECAY^l children``).
+4. Branches of low importance leave each page. So do branches whose name, role or class says what they are: menus,
+   forms, adverts, notices, comments and the like. If a page has an article or a main element, what stands outside
+   leaves too.
+
+A place that fewer than ``LEAST_PAGES`` different pages have counts as important, and so do paragraphs and headings
+inside an article: sites repeat passages in articles that are text nonetheless. If the tree would leave a page
+nothing, the page keeps what its names let stand. Equal pages of a host count once. Blocks are joined in page order by
+one space, white space inside them becomes one space, and character references are decoded. Null or empty html gives
+an empty text; a null url is a host of its own. Repeated rows and ids stay as they are.
 """
 
 from __future__ import annotations

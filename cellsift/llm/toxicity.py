@@ -1,16 +1,18 @@
 """Toxicity as an ordered grade: cumulative-link regression over sparse features of whole texts.
 
-Features are the words of a text and the beginnings of longer words, hashed to 2^18 places, each once for being there and once
-more for being there twice; no more than that counts, so an insult in a long text weighs what it does in a short one. Of all features those take part that the training texts have
-in toxic ones far more often than in clean ones. One weight vector serves all grades; ordered thresholds turn a text's score
-into the chances to exceed each grade (a logistic link), and their sum is the expected severity.
-
-The labels tell clean from toxic only. Grades come from them and the text: clean is 0, and toxic texts are 1, 2 or 3 by thirds of
-how many of those features they hold.
-
-Training takes a bounded sample of labelled rows, those whose id has the smallest hash, weighted back to the labels' own shares.
-Null and empty texts have no features and the severity of an unmarked text. Without labels of both kinds nothing is toxic.
-Rows repeat as they come; of several labels of one id the worst counts. Scoring is a map without a shuffle.
+Features are the words of a text and the beginnings of longer words, hashed to 2^18 places, each once for being there
+and once more for being there twice; no more than that counts, so an insult in a long text weighs what it does in a
+short one. Of all features those take part that the training texts have in toxic ones far more often than in clean
+ones. One weight vector serves all grades; ordered thresholds turn a text's score into the chances to exceed each
+grade (a logistic link), and their sum is the expected severity.
+
+The labels tell clean from toxic only. Grades come from them and the text: clean is 0, and toxic texts are 1, 2 or 3
+by thirds of how many of those features they hold.
+
+Training takes a bounded sample of labelled rows, those whose id has the smallest hash, weighted back to the labels'
+own shares. Null and empty texts have no features and the severity of an unmarked text. Without labels of both kinds
+nothing is toxic. Rows repeat as they come; of several labels of one id the worst counts. Scoring is a map without a
+shuffle.
 """
 
 from __future__ import annotations

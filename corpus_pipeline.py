@@ -1,7 +1,7 @@
 """A training corpus from raw documents, stage by stage.
 
-Toxic documents go, one document of each group of near copies stays, secrets are masked in the texts, sources are mixed by
-temperature so that no document is lost and none comes more than twice, and what is left becomes token ids.
+Toxic documents go, one document of each group of near copies stays, secrets are masked in the texts, sources are
+mixed by temperature so that no document is lost and none comes more than twice, and what is left becomes token ids.
 """
 
 from __future__ import annotations
