@@ -102,14 +102,15 @@ def fit_rows(texts: list[np.ndarray], toxic: np.ndarray, shares: np.ndarray) ->
     first: dict[tuple[bool, int], int] = {}
     for i, (text, bad) in enumerate(zip(texts, toxic.tolist(), strict=True)):
         if len(text):
-            first.setdefault((bad, int((text * 0x9E3779B1 & 0xFFFFFFFF).min())), i)
+            first.setdefault((bad, int((text.astype(np.int64) * 0x9E3779B1 & 0xFFFFFFFF).min())), i)
     some = sorted(first.values())
     texts, toxic, shares = [texts[i] for i in some], toxic[some], shares[some]
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     if not n_toxic or not n_clean:
         return NOTHING
-    held = np.bincount(np.concatenate([t for t, bad in zip(texts, toxic, strict=True) if bad]), minlength=2 * PLACES)
-    clean = np.bincount(np.concatenate([t for t, bad in zip(texts, toxic, strict=True) if not bad]), minlength=2 * PLACES)
+    held, clean = np.zeros(2 * PLACES, np.int64), np.zeros(2 * PLACES, np.int64)
+    for text, bad in zip(texts, toxic, strict=True):
+        (held if bad else clean)[text] += 1  # a text's places are distinct
     both, share = held + clean, n_toxic / (n_toxic + n_clean)
     surprise = (held - both * share) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
     odds = np.log((held + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     toxic = np.array([worst[i] for i, _ in found], bool)
     sample = {b: max(1, int((toxic == b).sum())) for b in (True, False)}
     shares = np.array([counts[b] / sample[b] for b in toxic.tolist()])
-    return fit_rows([np.frombuffer(p, np.int32).astype(np.int64) for _, p in found], toxic, shares)
+    return fit_rows([np.frombuffer(p, np.int32) for _, p in found], toxic, shares)
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", keep: Sequence[str] = ("doc_id",),
