@@ -117,10 +117,16 @@ def in_window(
 
 
 def last_messages(messages: DataFrame, channel: str = "channel_id", at: Column | None = None) -> DataFrame:
-    """The newest message of each channel; the row that sorts last breaks ties."""
+    """The newest message of each channel; the row that sorts last breaks ties.
+
+    Times alone are aggregated first, by hash; only the rows at a channel's last time meet whole.
+    """
     at = seconds(F.col("ts")) if at is None else at
     rest = [c for c in messages.columns if c != channel]
-    newest = messages.groupBy(channel).agg(F.max(F.struct(at.alias("_at"), *rest)).alias("_m"))
+    stamped = messages.withColumn("_at", at)
+    ends = stamped.groupBy(channel).agg(F.max("_at").alias("_at"))
+    last = stamped.join(ends, [channel, "_at"])
+    newest = last.groupBy(channel).agg(F.max(F.struct(*rest)).alias("_m"))
     return newest.select(channel, *[F.col("_m")[c].alias(c) for c in rest])
 
 
