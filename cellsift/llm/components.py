@@ -40,9 +40,10 @@ class Forest:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the edges ``(a, b)``: the smallest node that can be reached.
 
-    First every node keeps the edge to its smallest neighbour and hands its other smaller neighbours on to that one: many edges of a
-    group become the same few. Then in every round a node takes the smallest label among its own and its neighbours', and then the label of that label, so
-    long chains close in few rounds. Minima are aggregated before they are shuffled; a hub's edges are spread by the other end.
+    First every node keeps the edge to its smallest neighbour and hands its other smaller neighbours on to that one:
+    many edges of a group become the same few. Then in every round a node takes the smallest label among its own and its
+    neighbours', and then the label of that label, so long chains close in few rounds. Minima are aggregated before they
+    are shuffled; a hub's edges are spread by the other end.
     Each round's labels are written to the shared folder.
     """
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()

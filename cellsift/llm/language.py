@@ -108,12 +108,13 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     smallest hash; their presence rows, 4 KB each, come to the driver."""
     label, text = F.col(f"`{label_column}`").cast("string"), F.col(f"`{text_column}`").cast("string")
     place = F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(1 << 30))
-    counts = {r.label: r.n for r in docs.where(label.isNotNull()).groupBy(label.alias("label")).agg(F.count("*").alias("n")).collect()}
+    labelled = docs.where(label.isNotNull()).select(label.alias("label"), place.alias("place"), text.alias("text"))
+    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit_rows(np.zeros((0, PLACES), bool), [])
     limits = {c: int(min(1.0, 1.3 * per_language / n) * (1 << 30)) for c, n in counts.items()}
-    limit = F.element_at(F.create_map(*[F.lit(v) for pair in limits.items() for v in pair]), label)
-    chosen = docs.where(label.isNotNull() & (place < limit)).select(label.alias("label"), place.alias("place"), text.alias("text"))
+    limit = F.element_at(F.create_map(*[F.lit(v) for pair in limits.items() for v in pair]), F.col("label"))
+    chosen = labelled.where(F.col("place") < limit)
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = Letters()
@@ -125,7 +126,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
                     kept.append((row.label, row.place, np.packbits(out).tobytes()))
             yield pd.DataFrame(kept, columns=["label", "place", "marks"])
 
-    taken = sorted((r.label, r.place, bytes(r.marks)) for r in chosen.mapInPandas(marks, "label string, place long, marks binary").collect())
+    marked = chosen.mapInPandas(marks, "label string, place long, marks binary").collect()
+    taken = sorted((r.label, r.place, bytes(r.marks)) for r in marked)
     rows, labels, seen = [], [], dict.fromkeys(limits, 0)
     for name, _, packed in taken:
         if seen[name] < per_language:

@@ -111,7 +111,8 @@ def distinct_vectors(vectors: DataFrame, keep: int, id_column: str, vector_colum
     first = valid.distinct().withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= keep).drop("rank")
     ranked = W.partitionBy("vec").orderBy("id")
     first = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= keep)
-    return first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "vec")
+    listed = first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return listed.select(F.col("ids")[0].alias("rep"), "ids", "vec")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding",
@@ -133,7 +134,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "v
                 first, second = books.cells(np.stack(batch["vec"]))
                 yield batch.assign(first=first.astype(np.int32), second=second.astype(np.int32))
 
-    assigned = staged(index.mapInPandas(assign, f"rep {id_kind}, ids array<{id_kind}>, vec array<double>, first int, second int"), "ann-cells")
+    cell_schema = f"rep {id_kind}, ids array<{id_kind}>, vec array<double>, first int, second int"
+    assigned = staged(index.mapInPandas(assign, cell_schema), "ann-cells")
     counts = np.zeros((centroids, centroids), np.int64)
     for r in assigned.groupBy("first", "second").count().collect():  # the square of the centroids
         counts[r.first, r.second] = r["count"]

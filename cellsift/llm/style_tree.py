@@ -307,7 +307,8 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, 256)
             for nodes, low in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 texts.append(kept_text(nodes, low or ()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+        arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "url", "text"])
 
 
 def importances(nodes: DataFrame) -> DataFrame:
@@ -329,8 +330,12 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     marked = pages.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col(f"`{id_column}`").alias("id"), url.alias("url"), F.lower(host).alias("host"), F.unhex(F.sha2(page, 256)).alias("mark"), page.alias("html"),
-    )
+        F.col(f"`{id_column}`").alias("id"),
+        url.alias("url"),
+        F.lower(host).alias("host"),
+        F.unhex(F.sha2(page, 256)).alias("mark"),
+        page.alias("html"),
+    )
     kind = pages.schema[id_column].dataType.simpleString()
     schema = f"row long, id {kind}, url string, host string, mark binary, nodes array<{_NODE}>"
     trees = staged(marked.mapInArrow(_read, schema), "style-trees")
@@ -339,9 +344,11 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     # Equal pages of a host count once.
     counted = trees.groupBy("host", "mark").agg(F.min("row").alias("row")).select("row")
     rated = nodes.join(importances(nodes.join(counted, "row", "left_semi")), ["host", "place", "content"], "left")
-    node = F.struct("at", "parent", "leaf", "solid", F.coalesce("own", F.lit(1.0)).alias("own"), F.coalesce("styles", F.lit(1)).alias("styles"))
+    own, styles = F.coalesce("own", F.lit(1.0)), F.coalesce("styles", F.lit(1))
+    node = F.struct("at", "parent", "leaf", "solid", own.alias("own"), styles.alias("styles"))
     # A page without a place of low importance of its own has no low branch: the whole is a mean of its parts.
-    pages_rated = rated.groupBy("row").agg(F.min("own").alias("least"), F.collect_list(node).alias("nodes")).where(F.col("least") <= LOW)
+    pages_rated = rated.groupBy("row").agg(F.min("own").alias("least"), F.collect_list(node).alias("nodes"))
+    pages_rated = pages_rated.where(F.col("least") <= LOW)
     low = pages_rated.select("row", "nodes").mapInArrow(_rate, "row long, low array<int>").where(F.size("low") > 0)
     pruned = trees.join(staged(low, "style-low"), "row", "left").select("id", "url", "nodes", "low")
     return pruned.mapInArrow(_prune, f"id {kind}, url string, text string").toDF(id_column, url_column, "text")

@@ -123,7 +123,8 @@ def fit_rows(texts: list[np.ndarray], toxic: np.ndarray, shares: np.ndarray) ->
     sizes = np.array([len(u) for u in used])
     levels = np.quantile(sizes[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades = np.where(toxic, 1 + (sizes[:, None] > levels).sum(1), 0)
-    return _ordinal(np.concatenate(used), np.repeat(np.arange(len(used)), sizes), grades, shares / shares.sum(), marking, odds[marking])
+    rows = np.repeat(np.arange(len(used)), sizes)
+    return _ordinal(np.concatenate(used), rows, grades, shares / shares.sum(), marking, odds[marking])
 
 
 def _ordinal(columns: np.ndarray, rows: np.ndarray, grades: np.ndarray, shares: np.ndarray, marking: np.ndarray,
@@ -183,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 rows, found = distinct(rows, found)
                 bounds = np.searchsorted(rows, np.arange(len(offsets)))
                 packed = [found[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(packed)), pa.array(packed, pa.binary())], ["id", "places"])
+                arrays = [batch.column(0).slice(at, len(packed)), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "places"])
 
     kind = chosen.schema["id"].dataType.simpleString()
     found = sorted((r.id, bytes(r.places)) for r in chosen.mapInArrow(places, f"id {kind}, places binary").collect())
