@@ -114,7 +114,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
         return fit_rows(np.zeros((0, PLACES), bool), [])
     limits = {c: int(min(1.0, 1.3 * per_language / n) * (1 << 30)) for c, n in counts.items()}
     limit = F.element_at(F.create_map(*[F.lit(v) for pair in limits.items() for v in pair]), F.col("label"))
-    chosen = labelled.where(F.col("place") < limit)
+    # Repeated rows of an id count once, so that a row with many copies cannot outgrow the bound.
+    chosen = labelled.where(F.col("place") < limit).groupBy("label", "place").agg(F.min("text").alias("text"))
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = Letters()

@@ -174,7 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     limits = {b: int(min(1.0, 1.3 * per_label / n) * (1 << 30)) for b, n in counts.items()}
     near = known.where(F.col("place") < F.when(F.col("bad"), limits[True]).otherwise(limits[False]))
     worst = {r.id: r.bad for r in near.groupBy("id").agg(F.max("bad").alias("bad")).collect()}
+    # Repeated rows of an id count once, so that a row with many copies cannot outgrow the bound.
     chosen = docs.where(key.isin(list(worst))).select(key.alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    chosen = chosen.groupBy("id").agg(F.min("text").alias("text"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
