@@ -38,6 +38,9 @@ BEGINNINGS = (4, 5, 6, 7)
 LEAST_TEXTS, LEAST_RATIO, LEAST_SURPRISE = 6, 5, 6.0
 #: And by this share of the toxic texts; rarer ones are too few to tell them from chance.
 LEAST_SHARE = 0.015
+#: Texts that have this share of their places in common are near copies. They are looked for among texts of which this share of
+#: signature coordinates agrees.
+COPY, AGREEING, COORDINATES = 0.8, 0.5, 64
 RIDGE, STEPS, RATE = 1e-3, 800, 0.1
 
 
@@ -94,16 +97,44 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
+def copies(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """For each text the number of an earlier one of its label that it is a copy or near copy of, or else its own.
+
+    Signatures only choose whom a text is compared with; their places themselves decide.
+    """
+    factors = np.random.default_rng(0).integers(1 << 62, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
+    first, inside = np.arange(len(texts)), np.zeros(2 * PLACES, bool)
+    for bad in (True, False):
+        own = np.flatnonzero(toxic == bad)
+        signatures, kept = np.zeros((len(own), COORDINATES), np.uint32), []
+        for i in own.tolist():
+            text = texts[i]
+            numbers = text.astype(np.uint64) + np.uint64(1)
+            signature = np.array([(numbers * factor).min() >> np.uint64(32) for factor in factors], np.uint32)
+            agreeing = (signatures[: len(kept)] == signature).sum(1)
+            inside[text] = True
+            for j in np.flatnonzero(agreeing >= AGREEING * COORDINATES).tolist():
+                common = int(inside[texts[kept[j]]].sum())
+                if common >= COPY * (len(text) + len(texts[kept[j]]) - common):
+                    first[i] = kept[j]
+                    break
+            else:
+                signatures[len(kept)] = signature
+                kept.append(i)
+            inside[text] = False
+    return first
+
+
 def fit_rows(texts: list[np.ndarray], toxic: np.ndarray, shares: np.ndarray) -> Model:
     """Learn from the distinct places of each text. ``shares`` are the weights of the rows.
 
-    Of copies and near copies, texts of one MinHash value, the first counts: the words of a copied text mark nothing.
+    Of copies and near copies the first counts, with the weights of all: the words of a copied text mark nothing.
     """
-    first: dict[tuple[bool, int], int] = {}
-    for i, (text, bad) in enumerate(zip(texts, toxic.tolist(), strict=True)):
-        if len(text):
-            first.setdefault((bad, int((text.astype(np.int64) * 0x9E3779B1 & 0xFFFFFFFF).min())), i)
-    some = sorted(first.values())
+    some = [i for i, text in enumerate(texts) if len(text)]
+    texts, toxic, shares = [texts[i] for i in some], toxic[some], shares[some]
+    first = copies(texts, toxic)
+    shares = np.bincount(first, shares, len(texts))
+    some = np.flatnonzero(first == np.arange(len(texts)))
     texts, toxic, shares = [texts[i] for i in some], toxic[some], shares[some]
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     if not n_toxic or not n_clean:

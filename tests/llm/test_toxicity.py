@@ -49,6 +49,31 @@ def test_thresholds_are_ordered_and_more_marks_are_worse():
     assert np.allclose(twice, often)
 
 
+def test_only_copies_and_near_copies_count_once():
+    rng = np.random.default_rng(1)
+    # Texts of different words that share the words with the smallest hashes, so any one coordinate calls them copies.
+    common = np.arange(1000, 1040)
+    texts = [np.unique(np.concatenate([common, rng.integers(2000, t.PLACES, 150)])) for _ in range(60)]
+    toxic = np.arange(60) < 30
+    assert (t.copies(texts, toxic) == np.arange(60)).all()
+    near = np.unique(np.concatenate([texts[3][5:], [7, 8]]))
+    first = t.copies([*texts, texts[3], near, texts[3], texts[40]], np.concatenate([toxic, [True, True, False, False]]))
+    assert first[60:].tolist() == [3, 3, 62, 40]  # a copy under the other label is none
+
+
+def test_texts_that_share_a_common_word_all_teach():
+    rng = np.random.default_rng(2)
+    hashes = np.arange(t.PLACES, dtype=np.int64) * 0x9E3779B1 & 0xFFFFFFFF
+    shared = int(hashes[1:].argmin()) + 1  # the place that is every text's minimum under one hash
+    texts, toxic = [], []
+    for i in range(200):
+        words = rng.integers(100, t.PLACES, 60)
+        texts.append(np.unique(np.concatenate([words, [shared], [1, 2, 3] if i < 40 else []])).astype(np.int64))
+        toxic.append(i < 40)
+    model = t.fit_rows(texts, np.array(toxic), np.ones(200))
+    assert set(np.flatnonzero(model.weights)) == {1, 2, 3}
+
+
 def test_without_labels_of_both_kinds(spark):
     docs = spark.createDataFrame([(1, "x y", 0.5), (2, None, 0.5), (None, "", 0.5)], "doc_id long, text string, severity double")
     for labels in ([], [(1, 1)], [(1, 0)], [(1, None), (None, 1)]):
