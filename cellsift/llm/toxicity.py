@@ -36,8 +36,6 @@ BEGINNINGS = (4, 5, 6, 7)
 #: A feature that takes part is held by so many toxic texts at least, by so many times their share of clean ones, and by more than
 #: expected by so many standard deviations.
 LEAST_TEXTS, LEAST_RATIO, LEAST_SURPRISE = 6, 5, 6.0
-#: And by this share of the toxic texts; rarer ones are too few to tell them from chance.
-LEAST_SHARE = 0.015
 #: Texts that have this share of their places in common are near copies. They are looked for among texts of which this share of
 #: signature coordinates agrees.
 COPY, AGREEING, COORDINATES = 0.8, 0.5, 64
@@ -146,7 +144,7 @@ def fit_rows(texts: list[np.ndarray], toxic: np.ndarray, shares: np.ndarray) ->
     surprise = (held - both * share) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
     odds = np.log((held + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
     rarer = clean / n_clean * LEAST_RATIO <= held / n_toxic
-    marking = (held >= max(LEAST_TEXTS, LEAST_SHARE * n_toxic)) & rarer & (surprise >= LEAST_SURPRISE)
+    marking = (held >= LEAST_TEXTS) & rarer & (surprise >= LEAST_SURPRISE)
     if not marking.any():
         return NOTHING
     number = np.cumsum(marking) - 1

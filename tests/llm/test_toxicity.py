@@ -74,6 +74,18 @@ def test_texts_that_share_a_common_word_all_teach():
     assert set(np.flatnonzero(model.weights)) == {1, 2, 3}
 
 
+def test_marks_of_a_rare_kind_of_toxic_texts_are_learnt():
+    rng = np.random.default_rng(3)
+    texts, toxic = [], []
+    for i in range(8000):
+        marks = [1, 2] if i < 40 else [3, 4] if i < 4000 else []  # 40 of 4,000 toxic texts are of their own kind
+        texts.append(np.unique(np.concatenate([rng.integers(100, t.PLACES, 20), marks]).astype(np.int64)))
+        toxic.append(i < 4000)
+    model = t.fit_rows(texts, np.array(toxic), np.ones(8000))
+    assert set(np.flatnonzero(model.weights)) == {1, 2, 3, 4}
+    assert (model.exceeding(np.array([0, 0, 1, 1, 2]), np.array([1, 2, 3, 4, 200]), 3)[:, 0] >= 0.5).tolist() == [True, True, False]
+
+
 def test_without_labels_of_both_kinds(spark):
     docs = spark.createDataFrame([(1, "x y", 0.5), (2, None, 0.5), (None, "", 0.5)], "doc_id long, text string, severity double")
     for labels in ([], [(1, 1)], [(1, 0)], [(1, None), (None, 1)]):
