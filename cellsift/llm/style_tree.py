@@ -10,8 +10,14 @@
    element's whole importance joins its own with the mean of its children's, the less its own the fewer styles it has
    (``(1 - DECAY^l) own + DECAY^l children``).
 4. Branches of low importance leave each page. So do branches whose name, role or class says what they are: menus,
-   forms, adverts, notices, comments and the like. If a page has an article or a main element, what stands outside
-   leaves too.
+   forms, adverts, notices, comments and the like. A class says so by a whole word (``ad``), or by one with companions
+   that only say where or what shape it is (``ad-box``); what it merely hints at (``no-sidebar``, ``tag-advertising``)
+   is left to the tree. If a page has an article or a main element, what stands outside leaves too.
+
+A class, an id or a form never takes the bulk of a page: of such branches those stay that hold most of the page's
+text, unless they are comments, lie in an article, or have none while one stands outside. Main elements stay anyway,
+so do forms with most of the text or with the article in them, and an article, if it is no comment, beside which there
+is no other. If nothing else has text, all of them stay.
 
 A place that fewer than ``LEAST_PAGES`` different pages have counts as important, and so do paragraphs and headings
 inside an article: sites repeat passages in articles that are text nonetheless. If the tree would leave a page
@@ -48,16 +54,23 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split()
 )
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea iframe object svg math "
+    "script style noscript template head title nav footer aside button select option textarea iframe object svg math "
     "canvas audio video dialog menu noembed noframes xmp".split()
 )
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 DROPPED_CLASSES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription "
     "signup popup modal overlay share sharing social related recommended comment comments commentlist respond disqus replies "
     "footer pagination pager widget toolbar masthead skip login search searchform".split()
 )
+COMMENTS = frozenset("comment comments commentlist respond disqus replies".split())
+# What a dropped class may be joined with, besides another one and numbers.
+COMPANIONS = frozenset(
+    "area bar block bottom box btn button buttons col column container desktop dfp form google gpt group header heading holder icon "
+    "icons inline inner item items left link links list main mobile module outer page panel placement post posts primary right row "
+    "secondary section site slot sticky strip text title top unit widgets wp wrap wrapper zone".split()
+)
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split()
@@ -81,6 +94,7 @@ _TOKENS = re.compile(r"[a-z0-9]+")
 class Element:
     name: str
     dropped: bool = False
+    named: str = ""  # what its class or id says it is, or a form
     main: bool = False
     inside: bool = False  # an article or main element, or in one
     children: list = field(default_factory=list)
@@ -96,12 +110,24 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "role" and words in DROPPED_ROLES:
             return True
+    return False
+
+
+def _named(name: str, attributes: str) -> str:
+    """The word by which class or id say that a branch is no text; ``form`` for forms, empty if nothing says so."""
+    found = ""
+    for key, value in _NAMED.findall(attributes) if attributes.strip() else ():
+        key, words = key.lower(), value.strip("\"'").lower()
+        if key == "role" and words == "form":
+            found = found or "form"
         if key in ("class", "id"):
             for word in words.split():
                 parts = _TOKENS.findall(word)
-                if word in DROPPED_CLASSES or (parts and (parts[0] in DROPPED_CLASSES or parts[-1] in DROPPED_CLASSES)):
-                    return True
-    return False
+                own = [part for part in parts if part in DROPPED_CLASSES]
+                if own and all(x in DROPPED_CLASSES or x in COMPANIONS or x[0].isdigit() for x in parts):
+                    comments = [part for part in own if part in COMMENTS]
+                    return (comments or own)[0]
+    return found or ("form" if name == "form" else "")
 
 
 def parse(page: str) -> Element:
@@ -175,14 +201,52 @@ def parse(page: str) -> Element:
                 if len(stack) == before or name in ("li", "dt", "dd", "option"):
                     break
         main = name in ("article", "main") or 'role="main"' in attributes
-        element = Element(name, _dropped(name, attributes, stack[-1].inside), main, main or stack[-1].inside)
+        element = Element(name, _dropped(name, attributes, stack[-1].inside), _named(name, attributes), main, main or stack[-1].inside)
         stack[-1].children.append(element)
         if not attributes.endswith("/") or name not in ("div", "p", "section"):
             stack.append(element)
             open_names[name] += 1
+    _judge(root)
     return root
 
 
+def _judge(root: Element) -> None:
+    """Drops the named branches, except those that hold the bulk of the page."""
+    order = list(_walk(root))
+    if not any(e.named for e in order):
+        return
+    place = {id(e): i for i, e in enumerate(order)}
+    # By element: letters of its text, and articles and main elements with text in it, itself included, but no comments.
+    letters, mains = [0] * len(order), [0] * len(order)
+    for i in range(len(order) - 1, -1, -1):
+        e = order[i]
+        letters[i] = len("".join("".join(e.text).split()))
+        for c in e.children:
+            if id(c) in place and not c.dropped:
+                letters[i] += letters[place[id(c)]]
+                mains[i] += mains[place[id(c)]]
+        mains[i] += e.main and letters[i] > 0 and e.named not in COMMENTS
+    named = []
+    for i, e in enumerate(order):
+        if not e.named or e.dropped:
+            continue
+        bulk = 2 * letters[i] > letters[0]
+        inside = e.inside and not e.main  # in an article
+        if e.named == "form":
+            stays = bulk or (mains[i] > 0 and not inside)
+        elif e.main:
+            stays = e.name != "article" or (e.named not in COMMENTS and (bulk or mains[i] == mains[0]))
+        else:
+            stays = bulk and e.named not in COMMENTS and not inside and (mains[i] > 0 or not mains[0])
+        if not stays:
+            named.append(e)
+    for e in named:
+        e.dropped = True
+    if letters[0] and not _has_text(root):
+        for e in named:
+            e.dropped = False
+
+
 def nodes_of(page: str | None) -> list[tuple]:
     """``(place, parent, content, leaf, prose, text, solid)`` of every element that its names let stand, in page order.
 

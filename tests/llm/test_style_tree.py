@@ -48,6 +48,31 @@ def test_one_page(page, want):
     assert alone(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article class="post tag-advertising category-newsletter"><h1>T</h1><p>text</article>', "T text"),
+        ('<div class="content no-sidebar"><p>text</div><div class="with-sidebar">b</div><div class="has-comments">c</div>', "text b c"),
+        ('<p>text<div class="share-price">12.5</div><div id="elementor-widget">d</div>', "text 12.5 d"),
+        ('<form id="aspnet"><div class="menu">m</div><p>all of the page</form>', "all of the page"),
+        ('<form><nav>n</nav><main><p>x</main></form><div>much more text outside</div>', "x"),
+        ('<div class="modal"><p>most of the page</div><div class="main-nav">home</div><p>rest', "most of the page rest"),
+        ('<div id="right-sidebar"><p>a wrapper</p><div class="sidebar">links</div></div>', "a wrapper"),
+        ('<article class="newsletter"><p>the letter itself</article><article>teaser</article>', "the letter itself teaser"),
+        ('<main class="promo"><p>m</main><div>outside of it</div>', "m"),
+        ('<article>text<div id="comments"><p>comments of more words than the text</div></article>', "text"),
+        ('<div>text</div><div class="comment-list"><p>comments of more words than the text</div>', "text"),
+        ('<article>text</article><div class="ad">an advert of more words than the text</div>', "text"),
+        ('<article class="sponsored">s</article><div>other things</div><article class="comment">a comment</article>', "s"),
+        ('<article class="sponsored">s</article><div>other things</div>', "s"),
+        ('<div class="replies"><p>only these</div>', "only these"),
+        ('<p>text<div class="site-footer">f</div><div class="ad-728x90">a</div><div class="cookie-banner">b</div>', "text"),
+    ],
+)
+def test_names_take_no_main_text(page, want):
+    assert alone(page) == want
+
+
 def test_long_and_deep_pages():
     assert alone("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
     assert alone("<p>" + "word " * 200_000 + "</p>") == ("word " * 200_000).strip()
