@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cellsift.llm.common import ship
+from cellsift.llm.common import ship, worker_cache
 
 ship(__name__)
 
@@ -40,16 +40,19 @@ def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
 
 
 class Letters:
-    """Which of the first 65,536 characters are letters; the few beyond all count as such."""
+    """Which code points are letters."""
 
     def __init__(self):
-        self.table = np.array([chr(c).isalpha() for c in range(1 << 16)])
+        cache = worker_cache()
+        if "letters" not in cache:
+            cache["letters"] = np.array([chr(c).isalpha() for c in range(0x110000)])
+        self.table = cache["letters"]
 
 
 def presence(text: str | None, letters: Letters, out: np.ndarray) -> int:
     """Marks the places of a text's n-grams in ``out`` and returns how many there are; 0 if it holds no letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    real = letters.table[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    real = letters.table[codes]
     if not real.any():
         return 0
     codes = np.concatenate([[np.uint32(32)], np.where(real, codes, np.uint32(32)), [np.uint32(32)]])

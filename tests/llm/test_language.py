@@ -26,6 +26,21 @@ def test_presence_is_of_whole_texts_and_letters_only():
     assert marks("ab").sum() == 9
 
 
+def test_symbols_beyond_the_first_plane_are_no_letters(spark):
+    letters = language.Letters()
+
+    def marks(text):
+        out = np.zeros(language.PLACES, bool)
+        return language.presence(text, letters, out), out
+
+    assert marks("\U0001f600\U0001f680 \U0001f600")[0] == 0 and marks("\U0010ffff")[0] == 0
+    assert (marks("good\U0001f600day")[1] == marks("good day")[1]).all()
+    assert marks("\U00010330\U00020000")[0] > 0  # letters of Gothic and Han
+    docs = spark.createDataFrame([(1, "the cat", "en"), (2, "\U0001f600 \U0001f680", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, language.fit(docs)).collect()}
+    assert got[1][0] == "en" and got[2] == ("und", 0.0)
+
+
 def test_kernel_ridge_is_the_exact_one_when_all_rows_are_landmarks():
     rng = np.random.default_rng(0)
     rows = rng.random((40, language.PLACES)) < 0.01
