@@ -5,6 +5,9 @@ that are new to a task are sorted into length buckets. A bucket is a padded matr
 matrix with the rank of each neighbouring pair. In each round every row merges its leftmost pair of minimum rank;
 pairs are looked up in an open-addressing table, and rows without a pair to merge leave the matrix.
 
+Pieces over ``WIDE`` bytes are merged by another exact way, one piece at a time: all places of the minimum rank merge in a
+round where that gives what leftmost merges would.
+
 Nulls count as empty texts, which have no ids. Equal texts have equal ids; repeated rows stay. An empty table gives an
 empty table.
 """
@@ -29,7 +32,7 @@ ship(__name__)
 
 
 _NONE = np.int64(1 << 40)
-#: Rows with more bytes than this are merged one by one.
+#: Pieces with more bytes than this are merged one by one.
 WIDE = 512
 #: A worker forgets its pieces when it knows so many; this bounds memory and changes no result.
 PIECES = 250_000

@@ -1,7 +1,8 @@
 """A training corpus from raw documents, stage by stage.
 
 Toxic documents go, one document of each group of near copies stays, secrets are masked in the texts, sources are
-mixed by temperature so that no document is lost and none comes more than twice, and what is left becomes token ids.
+mixed by temperature so that no document is lost and none comes more than twice, and what is left becomes token ids, which
+are decoded again.
 """
 
 from __future__ import annotations
@@ -48,8 +49,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id`` and ``ids`` of every text."""
-    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    """``doc_id`` and ``ids`` of every text, and the digest of the bytes that the ids stand for."""
+    path = public_tokenizers.path(VOCABULARY)
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def _columns(docs: DataFrame) -> list:

@@ -1,5 +1,6 @@
 """Each stage against a plain version on its own input."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -106,6 +107,11 @@ def test_ids(steps):
     assert Counter((r.doc_id, tuple(r.ids)) for r in steps[5]) == want
 
 
+def test_ids_are_decoded(steps):
+    texts = {r.doc_id: r.text or "" for r in steps[4]}
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in steps[5])
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "A b c d e f g", None, None, None)]
     rows += [(3, None, None, "s", 0), (4, "", "en", "s", 0), (None, "a b c d e f g", "en", "s", 13), (5, "token: abcdefgh", "en", "t", 15)]
