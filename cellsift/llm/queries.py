@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, secrets, shards, style_tree, toxicity
+from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, packing, secrets, shards, style_tree, toxicity
 from cellsift.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -120,6 +120,13 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_multi_index": (op1_multi_index, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -131,4 +138,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_temperature_mixing": (op8_temperature_mixing, None),
     "op9_coordinate_join": (op9_coordinate_join, OP9_SQL),
     "op10_trigram_secrets": (op10_trigram_secrets, OP10_SQL),
+    "op12_harmonic_packing": (op12_harmonic_packing, None),
 }
