@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, packing, secrets, shards, style_tree, toxicity
+from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, packing, secrets, shards, style_tree, toxicity, whitening
 from cellsift.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -120,6 +120,21 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"), 32)
+    shares = [] if model is None else (model.values / model.trace).tolist()
+    explained = F.array(*[F.lit(s) for s in shares]).cast("array<double>")
+    return rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.centre.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
 def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(
@@ -138,5 +153,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_temperature_mixing": (op8_temperature_mixing, None),
     "op9_coordinate_join": (op9_coordinate_join, OP9_SQL),
     "op10_trigram_secrets": (op10_trigram_secrets, OP10_SQL),
+    "op11_chebyshev_whitening": (op11_chebyshev_whitening, None),
     "op12_harmonic_packing": (op12_harmonic_packing, None),
 }
