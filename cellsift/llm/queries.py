@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, packing, secrets, shards, style_tree, toxicity, whitening
+from cellsift.llm import bpe, ctph, language, mixing, multi_index, near_dups, packing, prefix_trie, secrets, shards, style_tree, toxicity, whitening
 from cellsift.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -142,6 +142,30 @@ def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: CRC-32 of the decimal digits of c, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda g: CAST(ascii(g) AS BIGINT))),
+ lambda a, g: list_reduce([xor(a, g), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+#: Every prefix of every rebuilt conversation as a list of turns, grouped; subtrees are the prefixes that begin alike.
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || x)) AS s FROM t GROUP BY c),
+h AS (SELECT c, s, c - c % 100 AS b, CAST({_CRC_SQL} % 6 AS BIGINT) AS h FROM s),
+r AS (SELECT h.c AS c, list_concat(coalesce(b.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN s AS b ON b.c = h.b),
+p AS (SELECT c, len(s) AS l, s, unnest(range(0, len(s) + 1)) AS d FROM r),
+n AS (SELECT s[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs,
+ sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (l = d), '')) AS ends_sha256 FROM p GROUP BY ALL),
+f AS (SELECT n.*, coalesce(m, 0) AS n_children, CAST(m IS NULL AS BIGINT) AS leaf, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(k[d].x) END AS own
+ FROM n LEFT JOIN (SELECT k[1:d - 1] AS k, count(*) AS m FROM n WHERE d > 0 GROUP BY ALL) USING (k)),
+u AS (SELECT k[1:a] AS k, sum(leaf) AS leaves, sum(own) AS saved FROM (SELECT k, leaf, own, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+ CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN u USING (k) LEFT JOIN n AS up ON f.d > 0 AND up.k = f.k[1:f.d - 1]"""
+
+
+def op13_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_multi_index": (op1_multi_index, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -155,4 +179,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_trigram_secrets": (op10_trigram_secrets, OP10_SQL),
     "op11_chebyshev_whitening": (op11_chebyshev_whitening, None),
     "op12_harmonic_packing": (op12_harmonic_packing, None),
+    "op13_burst_trie": (op13_burst_trie, OP13_SQL),
 }
