@@ -15,7 +15,6 @@ empty table.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cellsift.llm.common import ship, spans_of, worker_cache
+from cellsift.llm.common import ship, spans_of
 
 ship(__name__)
 
@@ -34,8 +33,9 @@ ship(__name__)
 _NONE = np.int64(1 << 40)
 #: Pieces with more bytes than this are merged one by one.
 WIDE = 512
-#: A worker forgets its pieces when it knows so many; this bounds memory and changes no result.
-PIECES = 250_000
+#: A task forgets its pieces when they take about so many bytes; this bounds memory and changes no result.
+KNOWN_BYTES = 24 << 20
+_PIECE_COST = 180  # a dict entry, a string's head, two numbers and some ids
 #: Rows of a matrix.
 MATRIX_ROWS = 8192
 #: So many characters are cut into pieces at once.
@@ -51,7 +51,6 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -86,13 +85,6 @@ class Vocabulary:
             self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
             keys, values, at = keys[~put], values[~put], (at[~put] + 1) & self.mask
 
-    def cutter(self, pattern: str) -> Cutter:
-        """One for all tasks of a worker, which share what it has learnt; that of another vocabulary gives way."""
-        cache = worker_cache()
-        if cache.get("bpe key") != (self.digest, pattern):
-            cache["bpe key"], cache["bpe"] = (self.digest, pattern), Cutter(self, pattern)
-        return cache["bpe"]
-
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -119,24 +111,34 @@ def vocabulary(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())})
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column`` and ``ids array<int>`` for every row; a map without a shuffle."""
+def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",
+           out_column: str | None = None) -> DataFrame:
+    """``id_column`` and ``ids array<int>`` for every row; a map without a shuffle.
+
+    With ``out_column`` the ids are decoded in the same pass, as ``decode`` would: one Python worker a task instead of two.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(path))
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = shared.value.cutter(pattern)
+        cutter = Cutter(shared.value, pattern)
         for batch in batches:
             for at, n in _row_slices(batch.column("text")):
                 part = batch.slice(at, n)
                 ids, sizes = cutter.encode([t or "" for t in part.column("text").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), listed], ["id", "ids"])
+                columns = [part.column("id"), listed]
+                if out_column:
+                    bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+                    columns.append(pa.array([_bytes_of(cutter.voc, ids[a:b]) for a, b in bounds], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = ["id", "ids", "decoded"] if out_column else ["id", "ids"]
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_column)
+    schema = f"id {kind}, ids array<int>" + (", decoded binary" if out_column else "")
+    return rows.mapInArrow(run, schema).toDF(id_column, "ids", *([out_column] if out_column else []))
 
 
 def decode(encoded: DataFrame, path: str, ids_column: str = "ids", out_column: str = "decoded") -> DataFrame:
@@ -192,6 +194,7 @@ class Cutter:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,9 +224,12 @@ class Cutter:
         rows = list(map(self._pieces, texts))
         flat = list(chain.from_iterable(rows))
         new = set(flat) - self.known.keys()
-        if len(self.known) + len(new) > PIECES:
+        cost = sum(map(len, new)) + len(new) * _PIECE_COST
+        if self.held + cost > KNOWN_BYTES:
             self._forget()
             new = set(flat)
+            cost = sum(map(len, new)) + len(new) * _PIECE_COST
+        self.held += cost
         if new:
             self._learn(list(new))
         where = np.array(list(map(self.known.__getitem__, flat)), np.int64)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cellsift.session import scratch
 
@@ -22,7 +22,7 @@ ship(__name__)
 
 
 def worker_cache() -> dict:
-    """A dict that outlives the tasks of a Python worker. What it holds must be bounded and must not change results."""
+    """A dict that outlives the tasks of a Python worker, for small constant tables only."""
     return sys.__dict__.setdefault("_cellsift_worker_cache", {})
 
 
@@ -40,11 +40,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def words_or_none(df: DataFrame, *columns: str) -> list[Column]:
-    """The named columns by exact name, whatever dots or spaces the names hold."""
-    return [F.col(f"`{c}`") for c in columns]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column in one array, and the offsets of its rows; nulls are empty rows."""
     if isinstance(column, pa.ChunkedArray):

@@ -43,7 +43,7 @@ def test_ids_are_the_library_s(voc, library):
 
 def test_forgetting_changes_nothing(voc, monkeypatch):
     want = bpe.Cutter(voc, P.PATTERN).encode(texts())[0].tolist()
-    monkeypatch.setattr(bpe, "PIECES", 50)
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 50 * 200)
     monkeypatch.setattr(bpe, "SLICE_CHARS", 500)
     monkeypatch.setattr(bpe, "MATRIX_ROWS", 3)
     assert bpe.Cutter(voc, P.PATTERN).encode(texts())[0].tolist() == want
@@ -57,6 +57,9 @@ def test_rows_nulls_and_round_trip(spark, library):
     got = sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in bpe.decode(encoded, PATH).collect())
     want = sorted((str(i), library.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows)
     assert got == want
+    both = bpe.encode(docs, PATH, P.PATTERN, out_column="text")
+    assert both.columns == ["doc_id", "ids", "text"]
+    assert sorted((str(r.doc_id), r.ids, bytes(r.text)) for r in both.collect()) == want
 
 
 def test_empty_table_null_list_unknown_id(spark):
