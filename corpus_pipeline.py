@@ -51,8 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id`` and ``ids`` of every text, and the digest of the bytes that the ids stand for."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, path).select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, out_column="decoded")
+    return encoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def _columns(docs: DataFrame) -> list:
