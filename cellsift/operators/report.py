@@ -113,6 +113,21 @@ def severity_matrix(findings: DataFrame, by: Sequence[str] = ("data_source", "pa
     )
 
 
+def severity_totals(findings: DataFrame, by: Sequence[str] = ("data_source", "pattern_name", "severity")) -> DataFrame:
+    """The matrix with its subtotals in one pass: every cell, every source and pattern, every source, every pattern, and the whole.
+
+    ``level`` tells them apart from cells whose own value is null: one bit for each of ``by`` that is summed over, the
+    first of them the highest.
+    """
+    columns = [F.col(f"`{c}`") for c in by]
+    sets = [columns, columns[:2], columns[:1], columns[1:2], []]
+    return findings.groupingSets(sets, *columns).agg(
+        F.grouping_id(*columns).cast("long").alias("level"),
+        F.count("*").alias("findings"),
+        F.sum(F.col("total_exposed").cast("long")).alias("total_exposed"),
+    )
+
+
 def finding_json(findings: DataFrame) -> DataFrame:
     """One JSON text per finding next to its source."""
     return findings.select("data_source", F.to_json(F.struct("*")).alias("finding"))

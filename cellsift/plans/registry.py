@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellsift.plans.audit import Query
 
-_MODULES = ("detection", "table_jobs", "file_jobs", "connection_jobs", "chat_jobs", "rating_jobs", "stream_jobs")
+_MODULES = ("detection", "catalog_jobs", "table_jobs", "file_jobs", "connection_jobs", "chat_jobs", "rating_jobs", "stream_jobs")
 
 
 def _in_utc(query: Query) -> Query:
