@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellsift.catalog import Catalog
 from cellsift.operators import alerts as al
+from cellsift.operators.early_exit import scan_until
 from cellsift.operators.incremental import append_manifest
 from cellsift.operators.ordering import row_range
 from cellsift.operators.scan import quick_exit, scan
@@ -31,7 +32,7 @@ from cellsift.sources import tables
 from cellsift.sources.chat import CHANNEL_TYPES, LOOKBACK_MINUTES, scan_chat, select_channels
 from cellsift.sources.documents import key_value_cells, record_cells, scan_collections
 from cellsift.sources.drive import drive_cells, drive_listing
-from cellsift.sources.files import file_cells, object_cells, read_changed, read_files, read_objects
+from cellsift.sources.files import file_cells, listed_key, object_cells, read_changed, read_files, read_objects
 from cellsift.sources.literal import literal_cells
 
 Options = Mapping[str, object]
@@ -163,6 +164,17 @@ READERS: dict[str, Callable[[SparkSession, str, str, Options], DataFrame]] = {
     "text": _text_cells,
 }
 _CACHED = ("s3", "gcs", "firebase", "fs")
+_STOPPING = ("s3", "gcs")
+_UNIT = ("profile", "bucket", "file_path")
+
+
+def _stopped_objects(spark: SparkSession, kind: str, profile: str, o: Options, seen: Seen | None, catalog: Catalog, limit: int, **scan_options):
+    """Findings of a bucket up to the line; objects behind it are not opened."""
+
+    def find(files: DataFrame) -> DataFrame:
+        return scan(_cells(object_cells(files), kind, profile), "value", catalog, **scan_options)
+
+    return scan_until(_opened(spark, kind, profile, o, read_objects, seen), listed_key(), find, limit, _UNIT)
 
 
 def _chat_findings(spark: SparkSession, profile: str, o: Options, catalog: Catalog, limit: int | None, **scan_options):
@@ -216,16 +228,14 @@ def scan_connection(
         for profile, o in sources[kind].items():
             if kind == "slack":
                 found.append(_chat_findings(spark, profile, o, catalog, limit, **scan_options))
+            elif limit is not None and kind in _STOPPING:
+                mine.append(_stopped_objects(spark, kind, profile, o, seen, catalog, limit, **scan_options))
             else:
                 more = (seen,) if kind in _CACHED else ()
                 mine.append(READERS[kind](spark, kind, profile, o, *more))
-        if mine and limit is not None and kind in ("s3", "gcs"):
-            stopped = quick_exit(
-                scan(reduce(DataFrame.unionByName, mine), "value", catalog, **scan_options),
-                limit,
-                unit=("profile", "bucket", "file_path"),
-            )
-            found.append(conform(stopped))
+        if mine and limit is not None and kind in _STOPPING:
+            parts = [conform(part) for part in mine]
+            found.append(parts[0] if len(parts) == 1 else quick_exit(reduce(DataFrame.unionByName, parts), limit, unit=_UNIT))
         else:
             cells += mine
     if cells:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,8 +24,8 @@ KINDS: dict[str, tuple[str, ...]] = {
 }
 TEXT_KIND = "text"
 
-#: A list of changed paths is broadcast only up to this many.
-BROADCAST_ROWS = 200_000
+#: So many changed files are named in one scan; more make several.
+PATHS_AT_ONCE = 50_000
 
 #: Kinds whose text this library can read; archives and office files go through ``extract``.
 READ_KINDS = ("text", "office", "archive")
@@ -195,18 +197,22 @@ def read_changed(
 ) -> tuple[DataFrame, DataFrame]:
     """Files whose listing tag ``manifest(path, tag)`` does not hold, and the manifest rows to add once they are done.
 
-    The comparison sees the listing only. Of the content, nothing older than the oldest changed file is opened.
+    The comparison sees the listing only, and exactly the changed files are opened.
     """
     files = read(spark, path, exclude_patterns, glob)
-    new = written(changed_objects(listing(files).select("path", "tag", "modificationTime"), manifest), "changed")
-    oldest = new.agg(F.min("modificationTime")).first()[0]
-    if oldest is None:
-        return files.limit(0), new.select("path", "tag")
-    names = new.select("path")
-    if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        names = F.broadcast(names)
-    fresh = files.where(F.col("modificationTime") >= F.lit(oldest)).join(names, "path", "left_semi")
-    return fresh, new.select("path", "tag")
+    new = written(changed_objects(listing(files).select("path", "tag"), manifest), "changed")
+    # The listing that Spark made already lies on the driver with all its paths; these are some of them.
+    paths = [_literal_glob(r.path) for r in new.select("path").toLocalIterator()]
+    if not paths:
+        return files.limit(0), new
+    chunks = [paths[i : i + PATHS_AT_ONCE] for i in range(0, len(paths), PATHS_AT_ONCE)]
+    fresh = [spark.read.format("binaryFile").load(chunk).where(F.col("length") <= _longest(spark)) for chunk in chunks]
+    return reduce(DataFrame.unionByName, fresh), new
+
+
+def _literal_glob(path: str) -> str:
+    """A path that means itself where Spark expects a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 _OBJECT_URI = r"^[A-Za-z0-9+.-]+://([^/]+)/(.*)$"
@@ -221,6 +227,11 @@ def object_key(uri: Column) -> Column:
     return F.when(uri.rlike(_OBJECT_URI), F.regexp_extract(uri, _OBJECT_URI, 2)).otherwise(local_path(uri))
 
 
+def listed_key() -> Column:
+    """Key of an object from its listing: a filter on it keeps the others closed."""
+    return object_key(local_path(_listed_path()))
+
+
 def object_cells(files: DataFrame, exclude_patterns: Iterable[str] = ()) -> DataFrame:
     """Objects to ``(bucket, file_path, member_path, value)``; ``read_objects`` excludes before reading."""
     kept = files.where(~excluded_name(object_key(F.col("path")), list(exclude_patterns)))
