@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cellsift.session import written
 
+#: Columns of our own beside a user's; no user column begins like this.
+_OWN = "__cellsift_"
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in its task in the lower 33 bits
 
 
@@ -19,28 +21,28 @@ def number_rows(
 
     Rows are range-partitioned by group and order, so a group may span any number of tasks and a hot one is split like
     any other range. Each task knows the place of its rows; a small table of counts per task and group shifts them.
-    The input is stored first, because finding the ranges reads it twice; the stored row id splits runs of equal rows.
+    A column of the input that has the new one's name is replaced. The input is stored first, because finding the ranges reads it twice; the stored row id splits runs of equal rows.
     """
     group = list(group)
-    columns = df.columns
-    df = written(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
-    keys = [F.col(f"`{k}`") if isinstance(k, str) else k for k in (*group, *order, "_id")]
+    columns = [c for c in df.columns if c != name]
+    df = written(df.withColumn(_OWN + "id", F.monotonically_increasing_id()), "rows")
+    keys = [F.col(f"`{k}`") if isinstance(k, str) else k for k in (*group, *order, _OWN + "id")]
     placed = (
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(_OWN + "place", F.monotonically_increasing_id())
     )
-    placed = written(placed, "ordered", compact=False).withColumn("_task", F.shiftright("_place", _LOCAL_BITS))
-    spans = placed.groupBy(*group, "_task").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    before = W.partitionBy(*group).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    placed = written(placed, "ordered", compact=False).withColumn(_OWN + "task", F.shiftright(_OWN + "place", _LOCAL_BITS))
+    spans = placed.groupBy(*group, _OWN + "task").agg(F.min(_OWN + "place").alias(_OWN + "first"), F.count("*").alias(_OWN + "n"))
+    before = W.partitionBy(*group).orderBy(_OWN + "task").rowsBetween(W.unboundedPreceding, -1)
     shifts = spans.select(
-        *[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group)],
-        F.col("_task").alias("_shift_task"),
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        *[F.col(f"`{g}`").alias(f"{_OWN}g{i}") for i, g in enumerate(group)],
+        F.col(_OWN + "task").alias(_OWN + "shift_task"),
+        (F.coalesce(F.sum(_OWN + "n").over(before), F.lit(0)) - F.col(_OWN + "first") + 1).alias(_OWN + "shift"),
     )
-    same = F.col("_task") == F.col("_shift_task")
+    same = F.col(_OWN + "task") == F.col(_OWN + "shift_task")
     for i, g in enumerate(group):
-        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"{_OWN}g{i}"))
     return placed.join(shifts, same).select(
-        *[F.col(f"`{c}`") for c in columns], (F.col("_place") + F.col("_shift")).alias(name)
+        *[F.col(f"`{c}`") for c in columns], (F.col(_OWN + "place") + F.col(_OWN + "shift")).alias(name)
     )
 
 

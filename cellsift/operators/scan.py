@@ -12,8 +12,11 @@ from cellsift.functions.matching import ODD_LETTERS, flagged, hits, scan_text
 from cellsift.functions.text import redact, sample_text, tidy_matches
 from cellsift.session import written
 
-_FOLDED = "_folded"
-_ODD = "_odd"
+#: Columns of our own beside a user's; no user column begins like this.
+_OWN = "__cellsift_"
+_FOLDED = _OWN + "folded"
+_ODD = _OWN + "odd"
+_ADDED = ("pattern_name", "matches", "total_exposed", "sample_text")
 
 #: Above this many rows per scope Spark no longer limits a ranked window before its shuffle.
 _GROUP_LIMIT = 1000
@@ -36,7 +39,7 @@ class _Gates:
         for d in detectors:
             key = (d.prechecks, d.literals)
             if (d.prechecks or d.literals) and key not in self._gates:
-                name = f"_gate{len(self._gates)}"
+                name = f"{_OWN}gate{len(self._gates)}"
                 self.second[name] = self._condition(d)
                 self._gates[key] = F.col(name)
 
@@ -51,7 +54,7 @@ class _Gates:
 
     def _precheck(self, pattern: str) -> Column:
         if pattern not in self._prechecks:
-            name = f"_precheck{len(self._prechecks)}"
+            name = f"{_OWN}precheck{len(self._prechecks)}"
             self.first[name] = self.text.rlike(flagged(pattern, self.unicode))
             self._prechecks[pattern] = F.col(name)
         return self._prechecks[pattern]
@@ -80,19 +83,24 @@ def scan(
     """One row per cell and detector that matched.
 
     All columns but ``text`` (or just ``keep``) are carried along; ``pattern_name``, ``matches``, ``total_exposed``
-    and ``sample_text`` are added. The plan is a map over the input: no shuffle, no join, no Python.
+    and ``sample_text`` are added, and replace columns of these names. The plan is a map over the input: no shuffle, no join,
+    no Python.
     """
     detectors = as_catalog(catalog)
     if not detectors:
         raise ValueError("an empty catalogue finds nothing")
     carried = [c for c in (keep if keep is not None else cells.columns) if c != text or keep is not None]
-    carried_cols = [F.col(f"`{c}`") for c in carried]
-    value = "_value"
+    carried = [c for c in carried if c not in _ADDED]
+    # What is carried goes under numbers, so that its names meet none of ours.
+    carried_cols = [F.col(f"{_OWN}{i}") for i in range(len(carried))]
+    given = [F.col(f"`{c}`").alias(f"{_OWN}{i}") for i, c in enumerate(carried)]
+    named = [F.col(f"{_OWN}{i}").alias(c) for i, c in enumerate(carried)]
+    value = _OWN + "value"
 
     gates = _Gates(value, detectors, unicode)
     found = hits(F.col(value), detectors, group_mode, unicode, gates)
     content = F.col(f"`{text}`").cast("string")
-    cells = cells.where(content.isNotNull() & (content != "")).select(*carried_cols, content.alias(value))
+    cells = cells.where(content.isNotNull() & (content != "")).select(*given, content.alias(value))
     if gates.first:
         cells = cells.withColumns(gates.first)
     cells = cells.select(
@@ -105,7 +113,7 @@ def scan(
         cells.select(*carried_cols, "sample_text", F.inline(found))
         .select(*carried_cols, F.explode("pattern_names").alias("pattern_name"), "matches", "sample_text")
         .select(*carried_cols, "pattern_name", tidy_matches(F.col("matches"), redacted).alias("matches"), "sample_text")
-        .select(*carried_cols, "pattern_name", "matches", F.size("matches").alias("total_exposed"), "sample_text")
+        .select(*named, "pattern_name", "matches", F.size("matches").alias("total_exposed"), "sample_text")
     )
 
 
@@ -169,23 +177,23 @@ def quick_exit(
     if not stored:
         findings = written(findings, "findings")
     one_scope = not scope
-    scopes = scope or ("_scope",)
+    scopes = scope or (_OWN + "scope",)
     if one_scope:
-        findings = findings.withColumn("_scope", F.lit(0))
+        findings = findings.withColumn(_OWN + "scope", F.lit(0))
     order = [F.col(c).desc() if newest_first else F.col(c).asc() for c in unit]
 
-    units = findings.groupBy(*scopes, *unit).agg(F.count("*").alias("_n"))
+    units = findings.groupBy(*scopes, *unit).agg(F.count("*").alias(_OWN + "n"))
     if max_matches > _GROUP_LIMIT:
         salt = F.pmod(F.xxhash64(*unit), F.lit(_SALTS))
-        salted = W.partitionBy(*scopes, "_salt").orderBy(*order)
-        units = units.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(salted))
-        units = units.where(F.col("_rank") <= max_matches).drop("_salt", "_rank")
+        salted = W.partitionBy(*scopes, _OWN + "salt").orderBy(*order)
+        units = units.withColumn(_OWN + "salt", salt).withColumn(_OWN + "rank", F.row_number().over(salted))
+        units = units.where(F.col(_OWN + "rank") <= max_matches).drop(_OWN + "salt", _OWN + "rank")
     ranked = W.partitionBy(*scopes).orderBy(*order)
     kept = (
-        units.withColumn("_rank", F.row_number().over(ranked))
-        .where(F.col("_rank") <= max_matches)
-        .withColumn("_before", F.sum("_n").over(ranked.rowsBetween(W.unboundedPreceding, -1)))
-        .where(F.coalesce("_before", F.lit(0)) < max_matches)
+        units.withColumn(_OWN + "rank", F.row_number().over(ranked))
+        .where(F.col(_OWN + "rank") <= max_matches)
+        .withColumn(_OWN + "before", F.sum(_OWN + "n").over(ranked.rowsBetween(W.unboundedPreceding, -1)))
+        .where(F.coalesce(_OWN + "before", F.lit(0)) < max_matches)
         .select(*scopes, *unit)
     )
     same = None
@@ -194,4 +202,4 @@ def quick_exit(
         equal = F.col(f"found.`{c}`").eqNullSafe(F.col(f"kept.`{c}`"))
         same = equal if same is None else same & equal
     out = found_side.join(kept_side, same, "left_semi")
-    return out.drop("_scope") if one_scope else out
+    return out.drop(_OWN + "scope") if one_scope else out

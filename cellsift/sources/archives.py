@@ -29,7 +29,15 @@ _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
-_UNREAD = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".pdf", ".mp4", ".avi", ".mov", ".mkv", ".rar")
+# File endings per kind, compared without regard to case, first kind wins.
+KINDS: dict[str, tuple[str, ...]] = {
+    "image": (".png", ".jpg", ".jpeg", ".gif", ".bmp"),
+    "pdf": (".pdf",),
+    "office": (".docx", ".xlsx", ".pptx"),
+    "video": (".mp4", ".avi", ".mov", ".mkv"),
+    "archive": (".zip", ".rar", ".tar", ".tar.gz"),
+}
+_UNREAD = (*KINDS["image"], *KINDS["pdf"], *KINDS["video"], ".rar", ".pptx")
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -78,8 +86,6 @@ def _parts(name: str, content: bytes, member: str | None, depth: int) -> Iterato
             yield member, _docx(content), None
         elif low.endswith(".xlsx"):
             yield member, _xlsx(content), None
-        elif low.endswith(".pptx"):
-            yield member, "", None
         else:
             yield member, content.decode("utf-8", errors="replace"), None
     except Exception as e:  # an unreadable file is a row, not a failed job

@@ -12,16 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cellsift.functions.text import decode_utf8
 from cellsift.operators.incremental import changed_objects, listing_tag
 from cellsift.session import written
-from cellsift.sources.archives import extract
-
-# File endings per kind, compared without regard to case, first kind wins.
-KINDS: dict[str, tuple[str, ...]] = {
-    "image": (".png", ".jpg", ".jpeg", ".gif", ".bmp"),
-    "pdf": (".pdf",),
-    "office": (".docx", ".xlsx", ".pptx"),
-    "video": (".mp4", ".avi", ".mov", ".mkv"),
-    "archive": (".zip", ".rar", ".tar", ".tar.gz"),
-}
+from cellsift.sources.archives import KINDS, extract
+
 TEXT_KIND = "text"
 
 #: So many changed files are named in one scan; more make several.

@@ -26,8 +26,10 @@ def table_cells(
     """Rows to ``(ids…, table, column, value)``: every cell that holds something, as text.
 
     Excluded columns are dropped before the scan, so files never deliver them. ``limit_end`` is a number of rows, taken
-    in the order of ``order_by``; None is the whole table. ``ids`` are repeated on each cell and scanned too.
+    in the order of ``order_by``; None is the whole table. ``ids`` are repeated on each cell and scanned too; one that is named
+    like a column of cells is only scanned. A table without columns left has no cells.
     """
+    ids = [i for i in ids if i not in CELL_COLUMNS]
     excluded = set(exclude_columns)
     columns = [f for f in df.schema.fields if f.name not in excluded]
     if limit_end is not None or limit_start:
@@ -39,6 +41,9 @@ def table_cells(
         *[cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in columns],
     )
     names = [f"`{f.name}`" for f in columns]
+    if not names:
+        empty = taken.withColumns({"column": F.lit(None).cast("string"), "value": F.lit(None).cast("string")}).where(F.lit(False))
+        return empty.select(*[F.col(f"_id{n}").alias(i) for n, i in enumerate(ids)], F.lit(table).alias("table"), "column", "value")
     melted = taken.unpivot([f"_id{n}" for n in range(len(ids))], names, "column", "value")
     return melted.where(F.col("value").isNotNull() & (F.col("value") != "")).select(
         *[F.col(f"_id{n}").alias(i) for n, i in enumerate(ids)], F.lit(table).alias("table"), "column", "value"
