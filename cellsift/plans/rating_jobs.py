@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellsift.operators import alerts as al
 from cellsift.operators import report as rp
+from cellsift.operators.ledger import Ledger
 from cellsift.operators.scan import scan
 from cellsift.operators.severity import rate
 from cellsift.plans.audit import (
@@ -303,6 +304,19 @@ def history_append(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs by the digits of the document's number; every run comes twice, as after a failure, and two make a base."""
+    now, book = written(_copies(spark, sf), "findings"), Ledger(spark, scratch(spark, "ledger"), compact_after=2)
+    runs = sorted(r.n for r in now.select(F.length("row_key").alias("n")).distinct().collect())
+    for run in [n for n in runs for _ in range(2)]:
+        book.send(now.where(F.length("row_key") == run), run, ["row_key", "pattern_name"])
+    return book.all_sent().select("run", "msg_hash", F.get_json_object("payload", "$.text").alias("text"))
+
+
+_LEDGER_SQL = f"""
+SELECT CAST(min(length(row_key)) AS BIGINT) AS run, msg_hash, any_value(message) AS text FROM {_COPIES_SQL} AS x GROUP BY msg_hash"""
+
+
 def outbox(spark: SparkSession, sf: str) -> DataFrame:
     return al.outbox(al.alerts(findings(spark, sf))).select("msg_hash", F.get_json_object("payload", "$.text").alias("text"))
 
@@ -403,6 +417,7 @@ QUERIES = {
     ),
     "alert_history_append": (history_append, f"SELECT DISTINCT msg_hash FROM {_ALERTS_SQL} AS x"),
     "alert_outbox": (outbox, f"SELECT msg_hash, message AS text FROM {_ALERTS_SQL} AS x"),
+    "alert_ledger": (ledger, _LEDGER_SQL),
     "ticket_payload": (ticket_payload, _TICKET_SQL),
     "ticket_assignee_lookup": (
         assignee_lookup,
