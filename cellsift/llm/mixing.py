@@ -1,20 +1,22 @@
 """Sources mixed by temperature: shares of tokens to a power, the power found by bisection, realised as passes over
-blocks.
+permuted blocks.
 
 The weight of a source is its share of tokens to the power alpha, normalised. Alpha 1 keeps the shares, alpha 0 makes
-all sources equal. Alpha is bisected to the largest one whose weights reach a wanted entropy (a fraction of the
-highest possible), and raised, if need be, until no source is repeated more often than allowed; the repetition limit
-wins.
+all sources equal. Alpha is bisected to the largest one whose weights reach a wanted entropy, and raised, if need be, until no source
+is repeated more often than allowed; the repetition limit wins. The entropy is wanted as a part of the way from that of
+the shares to the highest possible, so it binds on any sources that are not equal, or as a fraction of the highest.
 
 The budget of tokens is dealt by the weights. A source whose budget is e times its tokens is passed over floor(e)
-times and once more in part. Documents of a source fall into blocks by a hash of their id; each pass has its own order
-of blocks and, within a block, of documents. The last pass takes whole blocks while they fit and then documents of the
-next block while they fit. Budgets need no rows of the documents: they follow from one sum per source and block.
+times and once more in part. Documents of a source fall into blocks by a hash of their id, more of them where there are more
+documents. Each pass permutes the blocks by a bijection of its own and orders the documents of a block by a hash of its
+own; ``position`` tells where a row stands in its pass, ``(block's place, document's place)`` in one number. The last
+pass takes the rows up to where its budget ends: so many whole blocks, and in the next one documents up to a hash. That end is found
+from the hashes and token counts alone, one row a document and no texts, and each source's end is one row.
 
 By default the budget is the smallest that passes at least once over every source, so that no document is lost.
 
 A null source is a source of its own. A null or empty text has no tokens but is dealt like others. Repeated rows are
-documents of their own. Ties in the hash go by id, then text. An empty table gives an empty table.
+documents of their own; rows with equal ids stand at one position and are taken together. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cellsift.llm.common import staged
 
-#: Blocks of a source; a hot source spreads over as many tasks.
-BLOCKS = 1024
+#: A block holds about so many documents, and a source as many blocks as that makes, a power of two; beyond the most its blocks grow.
+BLOCK_DOCUMENTS = 64
+MOST_BLOCKS = 1 << 16
+_PLACE_BITS = 40  # of a position are for the document's place in its block
 
 
 def token_count(text: Column) -> Column:
@@ -44,15 +48,24 @@ def entropy(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in weights if w > 0)
 
 
-def temperature(tokens: list[int], entropy_share: float | None = 0.97, repeats: float | None = 2.0,
-                budget: int | None = None, steps: int = 60) -> tuple[float, list[float], int]:
-    """Alpha, weights and the budget of tokens for sources of so many tokens."""
+def temperature(tokens: list[int], entropy_share: float | None = None, repeats: float | None = 2.0, budget: int | None = None,
+                entropy_gain: float | None = 0.5, steps: int = 60) -> tuple[float, list[float], int]:
+    """Alpha, weights and the budget of tokens for sources of so many tokens.
+
+    The weights' entropy reaches ``entropy_share`` of the highest possible; without it, ``entropy_gain`` of what the shares lack of
+    that; with neither alpha is 1.
+    """
     total = sum(tokens)
     real = [t for t in tokens if t > 0]
     if not real:
         return 1.0, [0.0 for _ in tokens], 0
     shares = [t / total for t in tokens]
-    goal = None if entropy_share is None else entropy_share * math.log(len(real))
+    highest = math.log(len(real))
+    goal = None
+    if entropy_share is not None:
+        goal = entropy_share * highest
+    elif entropy_gain is not None:
+        goal = entropy(shares) + entropy_gain * (highest - entropy(shares)) - 1e-12
 
     def spent(weights: list[float]) -> int:
         if budget is not None:
@@ -63,16 +76,6 @@ def temperature(tokens: list[int], entropy_share: float | None = 0.97, repeats:
         weights = weights_at(shares, alpha)
         return max(spent(weights) * w / t for t, w in zip(tokens, weights, strict=True) if t > 0)
 
-    def largest(holds) -> float:
-        """The largest alpha of 0 to 1 that still holds; what holds at some alpha holds at all smaller ones."""
-        if holds(1.0):
-            return 1.0
-        low, high = 0.0, 1.0
-        for _ in range(steps):
-            middle = (low + high) / 2
-            low, high = (middle, high) if holds(middle) else (low, middle)
-        return low
-
     def bisected(holds, inside: float, outside: float) -> float:
         """The alpha nearest to ``outside`` that holds, where it holds at ``inside`` and from there up to some alpha."""
         if holds(outside):
@@ -89,57 +92,93 @@ def temperature(tokens: list[int], entropy_share: float | None = 0.97, repeats:
     return alpha, weights, spent(weights)
 
 
+def _scrambled(h: Column, number: Column) -> Column:
+    return F.xxhash64(h, number.cast("long"))
+
+
+def block_place(block: Column, number: Column, blocks: Column) -> Column:
+    """Place of a block in pass ``number``: a bijection of 0 to ``blocks`` - 1, which is a power of two.
+
+    Each round multiplies by an odd number, adds another and folds the high half onto the low one, all modulo ``blocks``.
+    """
+    mask, half = blocks - 1, (F.length(F.bin(blocks)) / 2).cast("int")
+    x = block
+    for salt in (1, 2, 3):
+        key = F.xxhash64(F.lit(salt), number.cast("long"))
+        odd = F.shiftleft(key.bitwiseAND(0x7FFF), 1) + 1
+        x = (x * odd + F.shiftright(key, 20).bitwiseAND(0xFFFF)).bitwiseAND(mask)
+        x = x.bitwiseXOR(F.call_function("shiftrightunsigned", x, F.greatest(half, F.lit(1))))
+    return x
+
+
 def mix(docs: DataFrame, source_column: str = "source", id_column: str = "doc_id", text_column: str = "text",
-        names: tuple[str, str, str] = ("tokens", "weight", "pass"), **goals: float | int | None) -> DataFrame:
-    """The columns of ``docs`` with ``tokens``, ``weight`` of the source and ``pass`` from 0; one row for each pass over a document.
+        names: tuple[str, ...] = ("tokens", "weight", "pass", "position"), **goals: float | int | None) -> DataFrame:
+    """The columns of ``docs`` with ``tokens``, ``weight`` of the source, ``pass`` from 0 and ``position``, by which the rows of a source's pass
+    are to be ordered; one row for each pass over a document.
 
-    ``goals`` are those of ``temperature``: ``entropy_share``, ``repeats`` and ``budget``. ``names`` are those of the new
-    columns; columns of ``docs`` that have these names are replaced.
+    ``goals`` are those of ``temperature``. ``names`` are those of the new columns, the last of which may be left out;
+    columns of ``docs`` that have these names are replaced.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in names]
-    key = F.col(f"`{id_column}`")
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in columns],
+        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)],
         token_count(F.col(f"`{text_column}`")).alias("_words"),
         F.col(f"`{source_column}`").alias("_source"),
-        F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int").alias("_block"),
+        F.xxhash64(F.col(f"`{id_column}`")).alias("_hash"),
     )
-    sums = staged(rows.groupBy("_source", "_block").agg(F.sum("_words").alias("_tokens")), "mix-blocks")
+    thin = staged(rows.groupBy("_source", "_hash").agg(F.sum("_words").alias("_words"), F.count("*").alias("_n")), "mix-documents")
     # One row a source comes to the driver.
-    found = sums.groupBy("_source").agg(F.sum("_tokens").alias("n")).collect()
-    _, weights, budget = temperature([r.n for r in found], **goals)
+    found = thin.groupBy("_source").agg(F.sum("_words").alias("tokens"), F.sum("_n").alias("n")).collect()
+    _, weights, budget = temperature([r.tokens for r in found], **goals)
     dealt = []
     for r, w in zip(found, weights, strict=True):
-        whole, rest = divmod(math.floor(w * budget + 1e-6), r.n) if r.n else (1, 0)
-        dealt.append((r._source, float(w), whole, rest))
+        whole, rest = divmod(math.floor(w * budget + 1e-6), r.tokens) if r.tokens else (1, 0)
+        blocks = min(MOST_BLOCKS, 1 << max(0, math.ceil(r.n / BLOCK_DOCUMENTS) - 1).bit_length())
+        dealt.append((r._source, float(w), whole, rest, blocks))
     kind = docs.schema[source_column].dataType.simpleString()
-    plan = spark.createDataFrame(dealt, f"_source {kind}, _weight double, _whole long, _rest long")
-
-    sums = sums.alias("s").join(F.broadcast(plan).alias("p"), F.col("s._source").eqNullSafe(F.col("p._source")))
-    order = W.partitionBy("s._source").orderBy(F.xxhash64("_block", "_whole"), "_block")
-    upto = F.sum("_tokens").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    blocks = sums.select("s._source", "_block", "_weight", "_whole", "_rest", "_tokens", upto.alias("_upto")).select(
-        "_source", "_block", "_weight", "_whole",
-        F.when(F.col("_upto") <= F.col("_rest"), F.col("_tokens"))
-        .when(F.col("_upto") - F.col("_tokens") < F.col("_rest"), F.col("_rest") - F.col("_upto") + F.col("_tokens"))
-        .otherwise(0).alias("_left"),
-        (F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_tokens") < F.col("_rest")),
-    )
-    blocks = staged(blocks.toDF("_source", "_block", "_weight", "_whole", "_left", "_split"), "mix-plan")
-    same = F.col("r._source").eqNullSafe(F.col("b._source")) & (F.col("r._block") == F.col("b._block"))
-    joined = rows.alias("r").join(blocks.alias("b"), same).select(
-        *[F.col(f"r.`{c}`") for c in columns], "r._words", "r._source", "r._block", "_weight", "_whole", "_left", "_split"
-    )
-    # Only the one block of each source that is taken in part needs an order of its documents.
-    inside = W.partitionBy("_source", "_block").orderBy(F.xxhash64(key, "_whole"), key, F.col(f"`{text_column}`"))
-    sum_here = F.sum("_words").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-    parted = joined.where("_split").withColumn("_last", (sum_here <= F.col("_left")).cast("int"))
-    others = joined.where(~F.col("_split")).withColumn("_last", (F.col("_left") > 0).cast("int"))
+    plan = spark.createDataFrame(dealt, f"_source {kind}, _weight double, _whole long, _rest long, _blocks long")
+    ends = _ends(thin, plan)
+
+    same = F.col("r._source").eqNullSafe(F.col("p._source"))
+    joined = rows.alias("r").join(F.broadcast(ends).alias("p"), same)  # a row a source
+    last = F.when(F.col("_at") < F.col("_end"), 1).when((F.col("_at") == F.col("_end")) & (F.col("_place") <= F.col("_end_place")), 1).otherwise(0)
+    at, place = _stands(F.col("_whole"))
+    joined = joined.select("r.*", "_weight", "_whole", "_blocks", "_end", "_end_place", at.alias("_at"), place.alias("_place")).withColumn("_last", last)
     passes = F.expr("if(_whole + _last > 0, sequence(0, cast(_whole + _last - 1 as int)), cast(array() as array<int>))")
-    return parted.unionByName(others).select(
-        *[F.col(f"`{c}`") for c in columns],
-        F.col("_words").alias(names[0]),
-        F.col("_weight").alias(names[1]),
-        F.explode(passes).alias(names[2]),
+    spread = joined.withColumn("_pass", F.explode(passes))
+    at, place = _stands(F.col("_pass"))
+    new = [F.col("_words"), F.col("_weight"), F.col("_pass"), F.shiftleft(at, _PLACE_BITS) + place]
+    return spread.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)], *[c.alias(n) for c, n in zip(new, names, strict=False)])
+
+
+def _stands(number: Column) -> tuple[Column, Column]:
+    """Places of a row's block and of the row in it, in pass ``number``."""
+    block = F.pmod(F.col("_hash"), F.col("_blocks"))
+    place = _scrambled(F.col("_hash"), number).bitwiseAND((1 << _PLACE_BITS) - 1)
+    return block_place(block, number, F.col("_blocks")), place
+
+
+def _ends(thin: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with ``_end``, the place of the block in which a source's last pass ends, and ``_end_place``, the last place taken there."""
+    same = F.col("t._source").eqNullSafe(F.col("p._source"))
+    at, place = _stands(F.col("_whole"))
+    placed = thin.alias("t").join(F.broadcast(plan).alias("p"), same).where("_rest > 0").select(
+        "t._source", "_words", "_rest", at.alias("_at"), place.alias("_place")
+    )
+    order = W.partitionBy("_source").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    blocks = placed.groupBy("_source", "_rest", "_at").agg(F.sum("_words").alias("_here")).withColumn("_upto", F.sum("_here").over(order))
+    # The first block that does not fit whole, and what is left for it; a rest is less than a source's tokens, so there is one.
+    ends = blocks.where("_upto > _rest").groupBy("_source").agg(
+        F.min("_at").alias("_end"), F.min_by(F.col("_rest") - F.col("_upto") + F.col("_here"), "_at").alias("_left")
+    )
+    ends = staged(ends, "mix-ends")
+    both = F.col("t._source").eqNullSafe(F.col("e._source")) & (F.col("t._at") == F.col("e._end"))
+    inside = placed.alias("t").join(F.broadcast(ends).alias("e"), both).groupBy("e._source", "_left", "_place").agg(F.sum("_words").alias("_here"))
+    order = W.partitionBy("_source").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    fitting = inside.withColumn("_upto", F.sum("_here").over(order)).where("_upto <= _left").groupBy("_source").agg(F.max("_place").alias("_end_place"))
+    known = ends.alias("a").join(fitting.alias("b"), F.col("a._source").eqNullSafe(F.col("b._source")), "left").select(
+        F.col("a._source").alias("_source"), "_end", F.coalesce("_end_place", F.lit(-1).cast("long")).alias("_end_place")
     )
+    joined = plan.alias("p").join(known.alias("k"), F.col("p._source").eqNullSafe(F.col("k._source")), "left")
+    return staged(joined.select("p.*", F.coalesce("_end", F.lit(-1).cast("long")).alias("_end"), F.coalesce("_end_place", F.lit(-1).cast("long")).alias("_end_place")), "mix-plan")

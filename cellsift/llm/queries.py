@@ -56,7 +56,7 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "tokens", "weight", "pass")
+    return mixed.select("doc_id", "source", "tokens", "weight", "pass", "position")
 
 
 def op9_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
