@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cellsift.catalog import Catalog
-from cellsift.operators.alerts import first_of_each, outbox, unseen
+from cellsift.operators.ledger import Ledger
 from cellsift.operators.scan import scan
 from cellsift.sources.files import file_cells
 
-OUTBOX_SCHEMA = "msg_hash string, payload string, stream string, batch_id long"
-
 
 def table_stream(
     spark: SparkSession, folder: str, schema: object, glob: str | None = None, per_batch: int | None = None
@@ -65,32 +63,41 @@ def window_counts(
     )
 
 
-def alert_sink(path: str, stream: str = "alerts") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: send what no earlier batch has sent.
+def alert_sink(path: str, stream: str = "alerts", compact_after: int = 20) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: send what no earlier batch of any stream of ``path`` has sent.
 
-    The outbox is the history: ``path`` holds payloads with their hashes, one folder per stream and batch. A batch that
-    is run again after a failure replaces its own folder and ignores it as history, so it writes the same rows.
+    Each stream has a ledger of its own in ``path``, whose runs are its batches: a batch that is run again after a failure replaces its own
+    rows, and one that is settled stays as it is. What a batch lists and opens does not grow with the number of batches.
+    A stream that begins anew with another checkpoint counts its batches anew, so it takes another name.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = first_of_each(batch)
-        history = sent_alerts(batch.sparkSession, path)
-        if history is not None:
-            mine = (F.col("stream") == stream) & (F.col("batch_id") >= batch_id)
-            fresh = unseen(fresh, history.where(~mine))
-        outbox(fresh).write.mode("overwrite").parquet(f"{path}/stream={stream}/batch_id={batch_id}")
+        books = _ledgers(batch.sparkSession, path, compact_after)
+        mine = books.pop(stream, None) or Ledger(batch.sparkSession, f"{path}/stream={stream}", compact_after)
+        mine.send(batch, batch_id, others=list(books.values()))
 
     return handle
 
 
+def _ledgers(spark: SparkSession, path: str, compact_after: int = 20) -> dict[str, Ledger]:
+    """Ledgers by the name of their stream."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return {}
+    names = [status.getPath().getName() for status in system.listStatus(root)]
+    streams = sorted(n.removeprefix("stream=") for n in names if n.startswith("stream="))
+    return {n: Ledger(spark, f"{path}/stream={n}", compact_after) for n in streams}
+
+
 def sent_alerts(spark: SparkSession, path: str) -> DataFrame | None:
-    """The outbox table, or None before anything was sent."""
-    try:
-        return spark.read.schema(OUTBOX_SCHEMA).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    """``msg_hash, payload, stream, batch_id`` of all streams, or None before anything was sent."""
+    books = _ledgers(spark, path)
+    if not books:
+        return None
+    sent = [book.all_sent().select("msg_hash", "payload", F.lit(name).alias("stream"), F.col("run").alias("batch_id"))
+            for name, book in books.items()]
+    return reduce(DataFrame.unionByName, sent)
 
 
 def start_alerts(

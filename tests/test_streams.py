@@ -104,6 +104,33 @@ def test_alert_sink(spark, tmp_path):
     assert sent_alerts(spark, out).count() == 3
 
 
+def test_a_batch_opens_no_more_the_more_batches_there_were(spark, tmp_path):
+    out = str(tmp_path / "out")
+    row = lambda p: ("fs", "p", p, "Email", ["m"], "s")
+    schema = "data_source string, profile string, file_path string, pattern_name string, matches array<string>, sample_text string"
+    batch = lambda *names: al.alerts(places(spark.createDataFrame([row(n) for n in names], schema)))
+    sink = alert_sink(out, compact_after=2)
+    for i in range(9):
+        sink(batch("/same", f"/{i}"), i)
+    assert sent_alerts(spark, out).groupBy("batch_id").count().where("count > 0").count() == 9
+    assert sent_alerts(spark, out).count() == 10
+    # Batch 9 would look into the base and the outboxes since; stages are gone, of older bases one is left.
+    names = sorted(p.name for p in (tmp_path / "out" / "stream=alerts" / "base").iterdir() if p.is_dir())
+    assert names == ["upto=5", "upto=7"]
+    assert [p.name for p in (tmp_path / "out" / "stream=alerts" / "outbox-7").iterdir() if p.is_dir()] == ["run=8"]
+    assert list((tmp_path / "out" / "stream=alerts" / "stage").iterdir()) == []
+    # A settled batch that comes again changes nothing, and another stream sees bases and outboxes of the first.
+    sink(batch("/same", "/3"), 3)
+    alert_sink(out, "other")(batch("/same", "/0", "/8", "/new"), 0)
+    sent = sent_alerts(spark, out)
+    assert sent.count() == 11 and [r.batch_id for r in sent.where("stream = 'other'").collect()] == [0]
+    # What breaks off before its commit is sent by its repetition.
+    (tmp_path / "out" / "stream=alerts" / "outbox-7" / "run=8" / "_SUCCESS").unlink()
+    assert sent_alerts(spark, out).count() == 10
+    sink(batch("/same", "/8"), 8)
+    assert sent_alerts(spark, out).where("stream = 'alerts'").count() == 10
+
+
 def test_new_files(spark, tmp_path):
     src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     (src / "sub").mkdir(parents=True)
