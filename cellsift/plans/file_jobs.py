@@ -23,6 +23,8 @@ from cellsift.sources.files import (
     read_files,
     skipped_files,
 )
+from cellsift.sources.lines import file_lines, scan_lines
+
 
 def as_files(df: DataFrame, path, content) -> DataFrame:
     """Rows as the binary file reader would deliver them."""
@@ -58,6 +60,23 @@ _FILES_SQL = f"""
 SELECT DISTINCT source, pattern_name, unnest(m) AS match
 FROM {findings_sql("(SELECT source, text FROM documents WHERE NOT contains(source, 'src3') AND NOT contains(source, 'src11'))", 'source', 'text')} AS f"""
 
+def files_by_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as text files, several lines each, read by line without one folder; findings of files, told by their folder and first match."""
+    folder = scratch(spark, "lines")
+    pages = texts(spark, sf, "pages").select(
+        F.regexp_extract("url", r"example\.(\w+)", 1).alias("ending"), F.regexp_replace("html", "</p>", "</p>\r\n").alias("value")
+    )
+    pages.write.partitionBy("ending").option("maxRecordsPerFile", 500).text(folder)
+    found = scan_lines(file_lines(spark, folder, ["ending=org"]), AUDIT_CATALOG)
+    ending = F.regexp_extract("file_path", r"/ending=([^/]+)/", 1).alias("ending")
+    return found.select(ending, "pattern_name", F.explode("matches").alias("match")).distinct()
+
+
+_LINE_CELLS = """(SELECT regexp_extract(url, 'example\\.([a-z0-9_]+)', 1) AS ending, unnest(regexp_split_to_array(replace(html, '</p>', '</p>' || chr(10)),
+'\\r\\n|\\n|\\r')) AS value FROM pages WHERE regexp_extract(url, 'example\\.([a-z0-9_]+)', 1) <> 'org')"""
+_LINES_SQL = f"""
+SELECT DISTINCT ending, pattern_name, unnest(m) AS match FROM {findings_sql(_LINE_CELLS, 'ending')} AS f"""
+
 _EXCLUDED = ("/es/", "page=2", ".net")
 
 
@@ -191,6 +210,7 @@ def skipped(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "src_files": (files, _FILES_SQL),
+    "src_files_by_line": (files_by_line, _LINES_SQL),
     "src_file_exclude": (file_exclude, _EXCLUDE_SQL),
     "src_decode_text": (decode_text, "SELECT doc_id, md5(chr(65533) || text || chr(65533)) AS text_md5 FROM documents"),
     "src_file_metadata": (

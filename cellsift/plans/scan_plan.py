@@ -15,7 +15,7 @@ exported tables for key-value stores, drives and chats.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,7 +32,8 @@ from cellsift.sources import tables
 from cellsift.sources.chat import CHANNEL_TYPES, LOOKBACK_MINUTES, scan_chat, select_channels
 from cellsift.sources.documents import key_value_cells, record_cells, scan_collections
 from cellsift.sources.drive import drive_cells, drive_listing
-from cellsift.sources.files import file_cells, listed_key, object_cells, read_changed, read_files, read_objects
+from cellsift.sources.files import file_cells, in_buckets, listed_key, object_cells, read_changed, read_files, read_objects
+from cellsift.sources.lines import PLACE, file_lines, scan_lines
 from cellsift.sources.literal import literal_cells
 
 Options = Mapping[str, object]
@@ -45,11 +46,12 @@ DEFAULT_MAX_MATCHES = 1
 _CELL_COLUMNS = ("data_source", "profile", *LOCATOR_COLUMNS, "value")
 
 
-def _cells(df: DataFrame, kind: str, profile: str, **locators: object) -> DataFrame:
+def _cells(df: DataFrame, kind: str, profile: str, also: Sequence[str] = (), **locators: object) -> DataFrame:
     df = locate(df, kind, profile, **locators)
     have = set(df.columns)
     return df.select(
-        *[(F.col(f"`{c}`") if c in have else F.lit(None)).cast("string").alias(c) for c in _CELL_COLUMNS]
+        *[(F.col(f"`{c}`") if c in have else F.lit(None)).cast("string").alias(c) for c in _CELL_COLUMNS],
+        *[F.col(f"`{c}`") for c in also],
     )
 
 
@@ -137,6 +139,21 @@ def _object_cells(spark: SparkSession, kind: str, profile: str, o: Options, seen
     return _cells(object_cells(_opened(spark, kind, profile, o, read_objects, seen)), kind, profile)
 
 
+def _line_findings(spark: SparkSession, kind: str, profile: str, o: Options, catalog: Catalog, **scan_options) -> DataFrame:
+    """Findings of a profile of files or objects that is read ``by_line``; archives and office files are read as ever."""
+    if "cache" in o:
+        raise ValueError("a profile that is read by line keeps no cache")
+    path, excluded, glob = str(o["path"]), o.get("exclude_patterns") or (), o.get("glob")
+    if kind == "fs":
+        lines, places = file_lines(spark, path, excluded, glob), {"host": o.get("host", "This PC")}
+        packed = file_cells(read_files(spark, path, excluded, glob), metadata=True, plain_text=False)
+    else:
+        lines, places = in_buckets(file_lines(spark, path, excluded, glob, objects=True)).drop("file_size", "modified_time"), {}
+        packed = object_cells(read_objects(spark, path, excluded, glob), plain_text=False)
+    found = scan_lines(_cells(lines, kind, profile, PLACE, **places), catalog, **scan_options)
+    return conform(found).unionByName(conform(scan(_cells(packed, kind, profile, **places), "value", catalog, **scan_options)))
+
+
 def _drive_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> DataFrame:
     users = o.get("impersonate_users") if kind == "gdrive_workspace" else None
     listing = drive_listing(
@@ -213,7 +230,8 @@ def scan_connection(
 ) -> DataFrame:
     """Rated findings of one source kind, or of all in the description, over all their profiles.
 
-    Profiles of files and objects that name a ``cache`` are scanned for changes only. Pass a dict as ``seen`` and hand it to
+    Profiles of files and objects may be read ``by_line``, so that a large text file is the work of many tasks; a match then ends at a line break.
+    Those that name a ``cache`` are scanned for changes only. Pass a dict as ``seen`` and hand it to
     ``remember`` once the findings are stored; then the next run passes over what this one read.
     """
     sources: Mapping[str, Mapping[str, Options]] = connection.get("sources", {})
@@ -228,6 +246,10 @@ def scan_connection(
         for profile, o in sources[kind].items():
             if kind == "slack":
                 found.append(_chat_findings(spark, profile, o, catalog, limit, **scan_options))
+            elif kind in _CACHED and o.get("by_line"):
+                (mine if limit is not None and kind in _STOPPING else found).append(
+                    _line_findings(spark, kind, profile, o, catalog, **scan_options)
+                )
             elif limit is not None and kind in _STOPPING:
                 mine.append(_stopped_objects(spark, kind, profile, o, seen, catalog, limit, **scan_options))
             else:
@@ -235,7 +257,8 @@ def scan_connection(
                 mine.append(READERS[kind](spark, kind, profile, o, *more))
         if mine and limit is not None and kind in _STOPPING:
             parts = [conform(part) for part in mine]
-            found.append(parts[0] if len(parts) == 1 else quick_exit(reduce(DataFrame.unionByName, parts), limit, unit=_UNIT))
+            stopped = len(parts) == 1 and not any(o.get("by_line") for o in sources[kind].values())
+            found.append(parts[0] if stopped else quick_exit(reduce(DataFrame.unionByName, parts), limit, unit=_UNIT))
         else:
             cells += mine
     if cells:

@@ -76,7 +76,7 @@ def oversize_files(spark: SparkSession, path: str, glob: str | None = None) -> D
     return large.select(local_path(F.col("path")).alias("file_path"), "length")
 
 
-def _listed_path() -> Column:
+def listed_path() -> Column:
     """Path of a file from its listing. The metadata column is URL-encoded, where a plus sign stands for itself."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
@@ -92,8 +92,8 @@ def read_files(
     files, patterns = _load(spark, path, glob), list(exclude_patterns)
     if not patterns:
         return files
-    where = _plain_uri(_listed_path())
-    base = _plain_uri(F.lit(path.rstrip("/")))
+    where = plain_uri(listed_path())
+    base = plain_uri(F.lit(path.rstrip("/")))
     return files.where((where == base) | ~excluded_path(where, base, patterns))
 
 
@@ -102,10 +102,10 @@ def read_objects(
 ) -> DataFrame:
     """The same for buckets, where the whole key is checked against the patterns."""
     files, patterns = _load(spark, path, glob), list(exclude_patterns)
-    return files.where(~excluded_name(object_key(_listed_path()), patterns)) if patterns else files
+    return files.where(~excluded_name(object_key(listed_path()), patterns)) if patterns else files
 
 
-def _plain_uri(uri: Column) -> Column:
+def plain_uri(uri: Column) -> Column:
     """``file:`` URIs come with one or three slashes, or as a bare path; make them one form."""
     return F.regexp_replace(uri, r"^(?:file:)?/+", "file:/")
 
@@ -122,12 +122,12 @@ def file_metadata(files: DataFrame) -> DataFrame:
     return files.select(
         local_path(F.col("path")).alias("file_path"),
         F.col("length").alias("file_size"),
-        _shown_time().alias("modified_time"),
+        shown_time().alias("modified_time"),
     )
 
 
-def _shown_time() -> Column:
-    return F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss")
+def shown_time(time: Column | str = "modificationTime") -> Column:
+    return F.date_format(time, "yyyy-MM-dd HH:mm:ss")
 
 
 def with_file_metadata(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -152,11 +152,12 @@ def _name_to_sort_by(files: DataFrame) -> Column:
     return F.col("_metadata.file_path")
 
 
-def file_cells(files: DataFrame, metadata: bool = False) -> DataFrame:
+def file_cells(files: DataFrame, metadata: bool = False, plain_text: bool = True) -> DataFrame:
     """``(file_path, member_path, value)`` of every readable file; each file is read once.
 
     Plain text stays in the JVM; only archives and office files pass through Python. ``metadata`` adds ``file_size`` and
-    ``modified_time``, which plain files bring along; those of archives come from the listing.
+    ``modified_time``, which plain files bring along; those of archives come from the listing. Without ``plain_text`` archives
+    and office files alone are read.
     """
     kind = file_kind(_name_to_sort_by(files))
     shown = ["file_path", "member_path", "value", *(("file_size", "modified_time") if metadata else ())]
@@ -164,13 +165,14 @@ def file_cells(files: DataFrame, metadata: bool = False) -> DataFrame:
         local_path(F.col("path")).alias("file_path"),
         F.lit(None).cast("string").alias("member_path"),
         decode_utf8(F.col("content")).alias("value"),
-        *((F.col("length").alias("file_size"), _shown_time().alias("modified_time")) if metadata else ()),
+        *((F.col("length").alias("file_size"), shown_time().alias("modified_time")) if metadata else ()),
     )
     packed = extract(files.where(kind.isin("office", "archive"))).where(F.col("error").isNull())
     packed = packed.select(local_path(F.col("path")).alias("file_path"), "member_path", F.col("text").alias("value"))
     if metadata:
         packed = with_file_metadata(packed, files)
-    return plain.select(*shown).unionByName(packed.select(*shown)).where(F.col("value") != "")
+    cells = plain.select(*shown).unionByName(packed.select(*shown)) if plain_text else packed.select(*shown)
+    return cells.where(F.col("value") != "")
 
 
 def unread_parts(files: DataFrame) -> DataFrame:
@@ -221,13 +223,16 @@ def object_key(uri: Column) -> Column:
 
 def listed_key() -> Column:
     """Key of an object from its listing: a filter on it keeps the others closed."""
-    return object_key(local_path(_listed_path()))
+    return object_key(local_path(listed_path()))
 
 
-def object_cells(files: DataFrame, exclude_patterns: Iterable[str] = ()) -> DataFrame:
+def object_cells(files: DataFrame, exclude_patterns: Iterable[str] = (), plain_text: bool = True) -> DataFrame:
     """Objects to ``(bucket, file_path, member_path, value)``; ``read_objects`` excludes before reading."""
     kept = files.where(~excluded_name(object_key(F.col("path")), list(exclude_patterns)))
-    uri = F.col("file_path")
-    return file_cells(kept).select(
-        object_bucket(uri).alias("bucket"), object_key(uri).alias("file_path"), "member_path", "value"
-    )
+    return in_buckets(file_cells(kept, plain_text=plain_text))
+
+
+def in_buckets(cells: DataFrame) -> DataFrame:
+    """Cells of files as cells of objects: ``file_path`` becomes the key, ``bucket`` is added."""
+    uri, others = F.col("file_path"), [c for c in cells.columns if c not in ("bucket", "file_path")]
+    return cells.select(object_bucket(uri).alias("bucket"), object_key(uri).alias("file_path"), *others)
