@@ -12,7 +12,8 @@
 4. Branches of low importance leave each page. So do branches whose name, role or class says what they are: menus,
    forms, adverts, notices, comments and the like. A class says so by a whole word (``ad``), or by one with companions
    that only say where or what shape it is (``ad-box``); what it merely hints at (``no-sidebar``, ``tag-advertising``)
-   is left to the tree. If a page has an article or a main element, what stands outside leaves too.
+   is left to the tree, and so is, inside an article, a word that passages of the text may bear too (``notice``, ``share``), if there
+   are paragraphs in the branch. If a page has an article or a main element, what stands outside leaves too.
 
 A class, an id or a form never takes the bulk of a page: of such branches those stay that hold most of the page's
 text, unless they are comments, lie in an article, or have none while one stands outside. Main elements stay anyway,
@@ -20,8 +21,8 @@ so do forms with most of the text or with the article in them, and an article, i
 is no other. If nothing else has text, all of them stay.
 
 A place that fewer than ``LEAST_PAGES`` different pages have counts as important, and so do paragraphs and headings
-inside an article: sites repeat passages in articles that are text nonetheless. If the tree would leave a page
-nothing, the page keeps what its names let stand. Equal pages of a host count once. Blocks are joined in page order by
+inside an article, but for branches with such a word: sites repeat passages in articles that are text nonetheless. If
+the tree would leave a page nothing, the page keeps what its names let stand. Equal pages of a host count once. Blocks are joined in page order by
 one space, white space inside them becomes one space, and character references are decoded. Null or empty html gives
 an empty text; a null url is a host of its own. Repeated rows and ids stay as they are.
 """
@@ -65,6 +66,11 @@ DROPPED_CLASSES = frozenset(
     "footer pagination pager widget toolbar masthead skip login search searchform".split()
 )
 COMMENTS = frozenset("comment comments commentlist respond disqus replies".split())
+# Of these, words that a passage of an article may bear as well: there the tree decides.
+UNSURE = frozenset(
+    "promo promotion banner notice notices notification alert popup modal overlay share sharing social related recommended widget "
+    "toolbar skip login search".split()
+)
 # What a dropped class may be joined with, besides another one and numbers.
 COMPANIONS = frozenset(
     "area bar block bottom box btn button buttons col column container desktop dfp form google gpt group header heading holder icon "
@@ -99,6 +105,7 @@ class Element:
     inside: bool = False  # an article or main element, or in one
     children: list = field(default_factory=list)
     text: list = field(default_factory=list)  # of leaves
+    unsure: bool = False  # so named, but the tree is to decide
 
 
 def _dropped(name: str, attributes: str, in_article: bool) -> bool:
@@ -216,8 +223,9 @@ def _judge(root: Element) -> None:
     if not any(e.named for e in order):
         return
     place = {id(e): i for i, e in enumerate(order)}
-    # By element: letters of its text, and articles and main elements with text in it, itself included, but no comments.
-    letters, mains = [0] * len(order), [0] * len(order)
+    # By element: letters of its text, and articles and main elements with text in it, itself included, but no comments;
+    # whether there are paragraphs in it.
+    letters, mains, paragraphs = [0] * len(order), [0] * len(order), [False] * len(order)
     for i in range(len(order) - 1, -1, -1):
         e = order[i]
         letters[i] = len("".join("".join(e.text).split()))
@@ -225,6 +233,7 @@ def _judge(root: Element) -> None:
             if id(c) in place and not c.dropped:
                 letters[i] += letters[place[id(c)]]
                 mains[i] += mains[place[id(c)]]
+                paragraphs[i] |= paragraphs[place[id(c)]] or (c.name in PROSE and c.name != "#text")
         mains[i] += e.main and letters[i] > 0 and e.named not in COMMENTS
     named = []
     for i, e in enumerate(order):
@@ -236,6 +245,8 @@ def _judge(root: Element) -> None:
             stays = bulk or (mains[i] > 0 and not inside)
         elif e.main:
             stays = e.name != "article" or (e.named not in COMMENTS and (bulk or mains[i] == mains[0]))
+        elif inside and e.name != "form" and e.named in UNSURE and paragraphs[i]:
+            stays = e.unsure = True
         else:
             stays = bulk and e.named not in COMMENTS and not inside and (mains[i] > 0 or not mains[0])
         if not stays:
@@ -304,7 +315,8 @@ def _collect(root: Element, place: bytes, parent: int, open_: bool, out: list[tu
             out.append((_number(place), parent, _number(_hash(style)), False, prose, None))
         for i, c in reversed(list(enumerate(e.children))):
             own = inside and c.name in PROSE and (c.name != "#text" or e.main)
-            todo.append((c, _hash(place, style, str(i).encode(), c.name.encode()), number, open_, inside, prose or own))
+            # In a branch of an unsure name nothing counts as prose, so that the tree has its say.
+            todo.append((c, _hash(place, style, str(i).encode(), c.name.encode()), number, open_, inside and not c.unsure, prose or own))
 
 
 def low_branches(nodes: list[dict]) -> list[int]:

@@ -73,6 +73,29 @@ def test_names_take_no_main_text(page, want):
     assert alone(page) == want
 
 
+UNSURE = ("notice", "share", "login", "skip", "banner", "social", "alert", "related", "promo", "modal")
+
+
+@pytest.mark.parametrize("name", UNSURE)
+def test_passages_of_articles_with_an_unsure_name(spark, name):
+    def page(i, inner):
+        return f"<nav><a>home</a></nav><article><h1>T{i}</h1><p>text {i}</p><div class='{name}-box'><p>{inner}</p></div><p>end</p></article>"
+
+    own = [(i, "http://own.example/", page(i, f"its own words {i}")) for i in range(6)]  # part of the text
+    same = [(10 + i, "http://same.example/", page(i, "Follow us <b>everywhere</b>")) for i in range(6)]  # part of the site
+    short = [(20, "http://a.example/", f"<article><p>x</p><div class='{name}'>no paragraph</div><form class='{name}'><p>f</p></form></article>")]
+    got = dict(texts(spark, own + same + short))
+    for i in range(6):
+        assert got[str(i)] == f"T{i} text {i} its own words {i} end"
+        assert got[str(10 + i)] == f"T{i} text {i} end"
+    assert got["20"] == "x"
+
+
+def test_sure_names_leave_articles():
+    for name in ("ad", "sponsored", "comments", "newsletter", "cookie-notice", "main-nav", "sidebar"):
+        assert alone(f"<article><p>x</p><div class='{name}'><p>words of its own</p></div></article>") == "x"
+
+
 def test_long_and_deep_pages():
     assert alone("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
     assert alone("<p>" + "word " * 200_000 + "</p>") == ("word " * 200_000).strip()
