@@ -3,20 +3,23 @@
 Features are the words of a text and the beginnings of longer words, hashed to 2^18 places, each once for being there
 and once more for being there twice; no more than that counts, so an insult in a long text weighs what it does in a
 short one. Of all features those take part that the training texts have in toxic ones far more often than in clean
-ones. One weight vector serves all grades; ordered thresholds turn a text's score into the chances to exceed each
+ones, beyond chance: a false-discovery bound over all features asks more of each the more of them there are to try, and
+works alike with few labels and many. One weight vector serves all grades; ordered thresholds turn a text's score into the chances to exceed each
 grade (a logistic link), and their sum is the expected severity.
 
 The labels tell clean from toxic only. Grades come from them and the text: clean is 0, and toxic texts are 1, 2 or 3
-by thirds of how many of those features they hold.
+by thirds of how many of those features they hold. So severity says how many marks there are, which is also how sure
+the verdict is; it is no judgement of harm that somebody made.
 
 Training takes a bounded sample of labelled rows, those whose id has the smallest hash, weighted back to the labels'
 own shares. Null and empty texts have no features and the severity of an unmarked text. Without labels of both kinds
-nothing is toxic. Rows repeat as they come; of several labels of one id the worst counts. Scoring is a map without a
+nothing is toxic; so it is if no feature passes the bound, of which ``fit`` warns. Rows repeat as they come; of several labels of one id the worst counts. Scoring is a map without a
 shuffle.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,9 +36,9 @@ GRADES = 4
 PLACES = 1 << 18
 #: Bytes of a longer word's beginning that make a feature besides the whole word; a short word and such a beginning are one.
 BEGINNINGS = (4, 5, 6, 7)
-#: A feature that takes part is held by so many toxic texts at least, by so many times their share of clean ones, and by more than
-#: expected by so many standard deviations.
-LEAST_TEXTS, LEAST_RATIO, LEAST_SURPRISE = 6, 5, 6.0
+#: A feature that takes part is held by so many times the share of toxic texts than of clean ones, and is one of those of which
+#: this share at most is there by chance. Features of one text alone are not tried.
+LEAST_RATIO, CHANCE = 5, 0.05
 #: Texts that have this share of their places in common are near copies. They are looked for among texts of which this share of
 #: signature coordinates agrees.
 COPY, AGREEING, COORDINATES = 0.8, 0.5, 64
@@ -123,6 +126,26 @@ def copies(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return first
 
 
+def discovered(held: np.ndarray, both: np.ndarray, share: float) -> np.ndarray:
+    """Which features toxic texts hold more often than the toxic ``share`` of all texts explains.
+
+    ``held`` of the ``both`` texts with a feature are toxic. Its chance of so many is bounded by Chernoff's inequality, and
+    of the features in order of their chances those are taken that keep the false discoveries below ``CHANCE`` of all taken
+    (Benjamini and Hochberg).
+    """
+    part = held / np.maximum(both, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        toxic = np.where(part > 0, part * np.log(part / share), 0.0)
+        clean = np.where(part < 1, (1 - part) * np.log((1 - part) / (1 - share)), 0.0)
+    chance = np.where(part > share, -both * (toxic + clean), 0.0)  # its logarithm
+    tried = np.flatnonzero(both > 1)
+    order = tried[np.argsort(chance[tried], kind="stable")]
+    within = np.flatnonzero(chance[order] <= np.log(CHANCE * np.arange(1, len(order) + 1) / max(len(order), 1)))
+    found = np.zeros(len(held), bool)
+    found[order[: within[-1] + 1 if len(within) else 0]] = True
+    return found
+
+
 def fit_rows(texts: list[np.ndarray], toxic: np.ndarray, shares: np.ndarray) -> Model:
     """Learn from the distinct places of each text. ``shares`` are the weights of the rows.
 
@@ -141,10 +164,9 @@ def fit_rows(texts: list[np.ndarray], toxic: np.ndarray, shares: np.ndarray) ->
     for text, bad in zip(texts, toxic, strict=True):
         (held if bad else clean)[text] += 1  # a text's places are distinct
     both, share = held + clean, n_toxic / (n_toxic + n_clean)
-    surprise = (held - both * share) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
     odds = np.log((held + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
     rarer = clean / n_clean * LEAST_RATIO <= held / n_toxic
-    marking = (held >= LEAST_TEXTS) & rarer & (surprise >= LEAST_SURPRISE)
+    marking = rarer & discovered(held, both, share)
     if not marking.any():
         return NOTHING
     number = np.cumsum(marking) - 1
@@ -223,7 +245,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     toxic = np.array([worst[i] for i, _ in found], bool)
     sample = {b: max(1, int((toxic == b).sum())) for b in (True, False)}
     shares = np.array([counts[b] / sample[b] for b in toxic.tolist()])
-    return fit_rows([np.frombuffer(p, np.int32) for _, p in found], toxic, shares)
+    model = fit_rows([np.frombuffer(p, np.int32) for _, p in found], toxic, shares)
+    if model is NOTHING:
+        warnings.warn(f"nothing marks the {sample[True]} toxic of {len(toxic)} labelled texts: no text will be called toxic", stacklevel=2)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", keep: Sequence[str] = ("doc_id",),

@@ -1,6 +1,7 @@
 """The regression against the likelihood's own optimum conditions, verdicts against held-out labels."""
 
 import numpy as np
+import pytest
 
 from cellsift.llm import toxicity as t
 from cellsift.llm.queries import op3_cumulative_link
@@ -86,6 +87,49 @@ def test_marks_of_a_rare_kind_of_toxic_texts_are_learnt():
     assert (model.exceeding(np.array([0, 0, 1, 1, 2]), np.array([1, 2, 3, 4, 200]), 3)[:, 0] >= 0.5).tolist() == [True, True, False]
 
 
+def test_discoveries_keep_their_bound():
+    rng = np.random.default_rng(5)
+    for share in (0.05, 0.3):
+        both = rng.integers(1, 200, 20_000)
+        held = rng.binomial(both, share)
+        assert t.discovered(held, both, share).sum() <= 1  # chance alone
+        held[:50], both[:50] = 12, 12  # marks
+        found = np.flatnonzero(t.discovered(held, both, share))
+        assert set(range(50)) <= set(found) and len(found) <= 50 / (1 - t.CHANCE) + 3
+    # The more features there are to try, the more is asked of one: three of three toxic texts say little among many.
+    few = np.array([3, 0, 0]), np.array([3, 9, 9])
+    assert t.discovered(*few, 0.1).tolist() == [True, False, False]
+    many = np.concatenate([[3], np.zeros(5000, int)]), np.concatenate([[3], np.full(5000, 9)])
+    assert not t.discovered(*many, 0.1).any()
+    assert not t.discovered(np.array([1]), np.array([1]), 1e-9).any()  # one text alone
+
+
+def test_few_labels_teach_something(spark):
+    """Eight toxic texts of ninety, with words that the others lack."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}x" for i in range(300)]
+    rows = []
+    for i in range(90):
+        text = " ".join(rng.choice(words, 40)) + (" pathetic loser" if i < 8 else "")
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(90)], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in t.score(docs, t.fit(docs, labels)).collect()}
+    assert sum(got[i] for i in range(8)) == 8 and not any(got[i] for i in range(8, 90))
+    plain = spark.createDataFrame([(i, f"word{i}") for i in range(90)], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="nothing marks the 8 toxic of 90"):
+        assert t.fit(plain, labels) is t.NOTHING
+
+
+def test_smallest_scale(spark):
+    """Eleven toxic labels among 87: what little they say is used, on no clean text."""
+    sf = "/root/testdata/sf0.001"
+    rows = op3_cumulative_link(spark, sf).collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    caught = {r.doc_id for r in rows if r.toxic}
+    assert sum(bool(labels[i]) for i in caught if i in labels) >= 5 and all(labels[i] for i in caught if i in labels)
+
+
 def test_without_labels_of_both_kinds(spark):
     docs = spark.createDataFrame([(1, "x y", 0.5), (2, None, 0.5), (None, "", 0.5)], "doc_id long, text string, severity double")
     for labels in ([], [(1, 1)], [(1, 0)], [(1, None), (None, 1)]):
