@@ -68,9 +68,9 @@ def _table_cells(spark: SparkSession, kind: str, profile: str, o: Options) -> Da
     if "url" in o:
         partitioning = {k: o[k] for k in ("partition_column", "bounds", "partitions", "properties") if k in o}
         partitioning = {**partitioning, "per_table": o.get("partitioning")}
-        reader = tables.jdbc_reader(spark, str(o["url"]), **partitioning)
         # What a database calls a schema: in MySQL the database itself.
         schema = str(o.get("schema") or (o["database"] if kind == "mysql" else "public"))
+        reader = tables.jdbc_reader(spark, str(o["url"]), schema=schema, **partitioning)
         names = o.get("available") or tables.jdbc_tables(spark, str(o["url"]), schema, o.get("properties"))
     elif "path" in o:
         suffix = str(o.get("suffix", ""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -113,29 +114,84 @@ def jdbc_options(
     return options
 
 
+def quoted_name(url: str, *parts: str | None) -> str:
+    """A name as the database itself spells it, in the quotes of the database of ``url``; parts that are None are left out."""
+    mark = "`" if url.startswith(("jdbc:mysql:", "jdbc:mariadb:")) else '"'
+    return ".".join(mark + p.replace(mark, mark * 2) + mark for p in parts if p is not None)
+
+
+def single_key_sql(schema: str, table: str) -> str:
+    """Asks for the columns of a table's primary key."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    return (
+        "SELECT k.column_name AS key_column FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k "
+        "ON k.constraint_name = c.constraint_name AND k.table_schema = c.table_schema AND k.table_name = c.table_name "
+        f"WHERE c.constraint_type = 'PRIMARY KEY' AND c.table_schema = {text(schema)} AND c.table_name = {text(table)}"
+    )
+
+
+def cuts_sql(name: str, column: str, parts: int) -> str:
+    """Asks for the number and first key of each of ``parts`` equally large parts of a table, names quoted already."""
+    dealt = f"SELECT {column} AS k, ntile({parts}) OVER (ORDER BY {column}) AS part FROM {name} WHERE {column} IS NOT NULL"
+    return f"SELECT part, min(k) AS cut FROM ({dealt}) AS dealt GROUP BY part"
+
+
+def range_predicates(column: str, cuts: Sequence[object]) -> list[str]:
+    """Conditions of which each row meets exactly one: below the second cut or without a key, between two cuts, from the last on.
+
+    Repeated cuts make one range. The database compares keys as it did to find the cuts, whatever its collation.
+    """
+
+    def literal(value: object) -> str:
+        return str(value) if isinstance(value, (int, float, Decimal)) else "'" + str(value).replace("'", "''") + "'"
+
+    inner = [literal(c) for c in dict.fromkeys(cuts)][1:]
+    if not inner:
+        return ["1 = 1"]
+    between = [f"{column} >= {low} AND {column} < {high}" for low, high in zip(inner[:-1], inner[1:], strict=True)]
+    return [f"{column} < {inner[0]} OR {column} IS NULL", *between, f"{column} >= {inner[-1]}"]
+
+
 def jdbc_reader(
-    spark: SparkSession, url: str, per_table: Mapping[str, Mapping[str, object]] | None = None, **options: object
+    spark: SparkSession,
+    url: str,
+    per_table: Mapping[str, Mapping[str, object]] | None = None,
+    schema: str | None = None,
+    **options: object,
 ) -> Callable[[str], DataFrame]:
-    """``per_table`` names partitioning of its own for a table, as every table has another key and other bounds."""
+    """Reads tables by the names that the database lists, of one schema if it is given.
+
+    ``per_table`` names partitioning of its own for a table, as every table has another key and other bounds. With ``partitions`` and a
+    schema but no partition column a table with a primary key of one column is read in equally large ranges of that key, whose cuts
+    the database is asked for (one row a range); other tables are read as one.
+    """
+
+    def ask(query: str, properties: Mapping[str, str] | None) -> list:
+        return spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load().collect()
 
     def read(table: str) -> DataFrame:
         own = {**options, **(per_table or {}).get(table, {})}
-        if own.get("partition_column") is not None and own.get("bounds") is None:
-            own["bounds"] = _key_bounds(spark, url, table, str(own["partition_column"]), own.get("properties"))
-        return spark.read.format("jdbc").options(**jdbc_options(url, table, **own)).load()
+        properties, parts = own.get("properties"), int(own.get("partitions") or 1)
+        name = quoted_name(url, schema, table)
+        if own.get("partition_column") is not None:
+            if own.get("bounds") is None:
+                column = quoted_name(url, str(own["partition_column"]))
+                # Least and greatest key; an empty table has any bounds.
+                low, high = ask(f"SELECT min({column}) AS a, max({column}) AS b FROM {name}", properties)[0]
+                own["bounds"] = (0, 1) if low is None else (low, high)
+        elif parts > 1 and schema is not None:
+            keys = [r[0] for r in ask(single_key_sql(schema, table), properties)]
+            if len(keys) == 1:
+                column = quoted_name(url, keys[0])
+                # In the order of the database, which may collate keys in its own way.
+                cuts = [cut for _, cut in sorted(ask(cuts_sql(name, column, parts), properties), key=lambda r: r[0])]
+                wanted = {"fetchsize": "10000", **(properties or {})}
+                return spark.read.jdbc(url, name, predicates=range_predicates(column, cuts), properties=wanted)
+        return spark.read.format("jdbc").options(**jdbc_options(url, name, **own)).load()
 
     return read
 
 
-def _key_bounds(
-    spark: SparkSession, url: str, table: str, column: str, properties: Mapping[str, str] | None
-) -> tuple[object, object]:
-    """Least and greatest key of a table, asked of the database; one row. An empty table has any bounds."""
-    query = f"SELECT min({column}) AS a, max({column}) AS b FROM {table}"
-    low, high = spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load().first()
-    return (0, 1) if low is None else (low, high)
-
-
 def scan_tables(
     tables: Iterable[str],
     reader: Callable[[str], DataFrame],
