@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     shares = np.array([counts[b] / sample[b] for b in toxic.tolist()])
     model = fit_rows([np.frombuffer(p, np.int32) for _, p in found], toxic, shares)
     if model is NOTHING:
-        warnings.warn(f"nothing marks the {sample[True]} toxic of {len(toxic)} labelled texts: no text will be called toxic", stacklevel=2)
+        warnings.warn(f"nothing marks the {int(toxic.sum())} toxic of {len(toxic)} labelled texts: no text will be called toxic", stacklevel=2)
     return model
 
 
