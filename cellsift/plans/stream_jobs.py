@@ -21,7 +21,12 @@ from cellsift.streaming.streams import (
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return table_stream(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+    """A given table as a stream, be it one file or a folder of files."""
+    schema = table(spark, sf, name).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(path):
+        return table_stream(spark, f"{sf}/{name}.parquet", schema)
+    return table_stream(spark, sf, schema, f"{name}.parquet")
 
 
 def _run(stream: DataFrame, label: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cellsift.operators import alerts as al
 from cellsift.operators.scan import scan
+from cellsift.plans import stream_jobs
 from cellsift.streaming.streams import (
     alert_sink,
     dedupe_alerts,
@@ -151,3 +152,16 @@ def test_a_hot_alert_passes_once(spark, tmp_path):
     got = run_to_table(dedupe_alerts(table_stream(spark, src, schema)), out, state)
     assert got.count() == 52
     assert {tuple(r["matches"]) for r in got.collect()} == {("a",), ("b", "c"), ("d",)}
+
+
+def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path):
+    rows = [(1, "web", "a 1 b@c.de"), (2, "web", "none"), (3, None, "22"), (4, "mail", None), (5, "mail", "33 44")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    folder, single = tmp_path / "folder", tmp_path / "single"
+    docs.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    single.mkdir()
+    os.link(next((tmp_path / "one").glob("part-*")), single / "documents.parquet")
+    for query, n in ((stream_jobs.scan_stream, 4), (stream_jobs.alert_sink, 4)):
+        found, want = (sorted(map(str, query(spark, str(d)).collect())) for d in (folder, single))
+        assert found == want and len(found) == n
