@@ -199,12 +199,68 @@ def _literal_runs(parsed) -> list[str]:
     return [r for r in [*runs, run] if r]
 
 
+#: A required literal is spelled out in so many ways at most, a small set of characters in so many.
+_SPELLINGS, _SET = 16, 4
+#: Matches of so many characters at most count as bounded.
+_WIDTH = 256
+
+
+#: No match of these can be told from the characters it takes alone: anchors, boundaries, look-arounds, conditions.
+_CONTEXT = {"AT", "ASSERT", "ASSERT_NOT", "GROUPREF_EXISTS"}
+
+
+def literal_choices(python_pattern: str) -> tuple[tuple[str, ...], int | None]:
+    """Lower-cased ASCII literals of one length, one of which every match of a Python regex must hold; empty if none are found.
+
+    Like ``required_literals``, but a set of a few characters (``word[.,]``) goes on with the literal, in each of its ways.
+    Beside them the most characters a match takes, or None if there is no bound or a match depends on what is around it.
+    """
+    try:
+        parsed = _sre.parse(python_pattern, re.IGNORECASE)
+    except (AttributeError, re.error):
+        return (), None
+    runs = [r for r in _spelled_runs(parsed) if all(x.strip("0123456789. ") for x in r)]
+    most = parsed.getwidth()[1]
+    width = most if most <= _WIDTH and not _in_context(parsed) else None
+    return max(runs, key=lambda r: (len(r[0]), -len(r)), default=()), width
+
+
+def _in_context(parsed) -> bool:
+    """Whether an operation of ``_CONTEXT`` is anywhere in a parsed regex."""
+    if isinstance(parsed, (list, tuple, _sre.SubPattern)):
+        return any(_in_context(x) for x in parsed)
+    return str(parsed) in _CONTEXT
+
+
+def _spelled_runs(parsed) -> list[tuple[str, ...]]:
+    """The stretches of ``_literal_runs``, each as all its spellings."""
+    runs: list[tuple[str, ...]] = []
+    run: tuple[str, ...] = ("",)
+    for op, arg in parsed:
+        kind = str(op)
+        members = [arg] if kind == "LITERAL" else [x for _, x in arg] if kind == "IN" and all(str(o) == "LITERAL" for o, _ in arg) else []
+        ways = sorted({chr(x).lower() for x in members}) if all(x < 128 for x in members) else []
+        if ways and len(ways) <= _SET:
+            if len(run) * len(ways) > _SPELLINGS:
+                runs, run = [*runs, run], ("",)
+            run = tuple(r + w for r in run for w in ways)
+            continue
+        runs, run = [*runs, run], ("",)
+        if kind == "SUBPATTERN":
+            runs += _spelled_runs(arg[-1])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+            runs += _spelled_runs(arg[-1])
+    return [r for r in [*runs, run] if r[0]]
+
+
 def _group_name(name: str) -> str:
     return "g" + "".join(c if c.isalnum() else format(ord(c), "x") for c in name)
 
 
 def group_count(pattern: str) -> int:
     """Number of capture groups of a Java pattern."""
+    if "(" not in pattern:
+        return 0
     bare = re.sub(r"\\Q.*?\\E|\\.", "", pattern, flags=re.DOTALL)
     bare = re.sub(r"\[\^?\]?[^\]]*\]", "", bare)
     return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))

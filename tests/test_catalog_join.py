@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellsift.functions.sql import register_scan
-from cellsift.operators.catalog_join import indexed, scan_with_table
+from cellsift.catalog import literal_choices
+from cellsift.operators.catalog_join import grams_of, indexed, scan_with_table
 from cellsift.operators.scan import scan
 from cellsift.operators.report import severity_totals
 
@@ -44,6 +45,37 @@ def test_like_the_dict(spark, options):
     assert as_rows(found) == as_rows(want) and found.count() > 8
 
 
+def test_patterns_run_around_their_grams(spark):
+    """Like over whole texts: at either end, where matches touch or repeat often, with anchors and without bounds."""
+    catalog = {
+        "ends": "wonder[.,]", "any": "wonder.", "tail": "wonder[a-z]{0,3}x?", "head": "(?:ab){0,2}wonder", "edge": r"\bwonder\b", "start": "^wonder", "open": "wonder.*",
+        "long": "a-literal-that-is-longer-than-any-of-the-steps-there-are-for-grams-of-it[ab]",
+    }
+    texts = [
+        "wonder.", "Wonder,wonder.wonder", "wonderwonder,", "ababwonder wonderabcxx", "xwonder, 😀é wonder. wonder", "won der.", "İWonder.ſ",
+        "wonder. " * 40 + "Wonder, wOnder.", "." * 70000 + "wonder," + "é" * 70000 + "wonder.", " A-literal-that-is-longer-than-any-of-the-steps-there-are-for-grams-of-itB",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    table = spark.createDataFrame(list(catalog.items()), "pattern_name string, pattern string")
+    for options in ({}, {"unicode": False}):
+        assert as_rows(scan_with_table(rows, table, "text", **options)) == as_rows(scan(rows, "text", catalog, **options))
+
+
+def test_literals_go_on_with_small_sets():
+    assert literal_choices("wonder[.,]") == (("wonder,", "wonder."), 7)
+    assert literal_choices("wonder[^.,]x") == (("wonder",), 8) and literal_choices("wonder[a-c]")[0] == ("wonder",)
+    assert literal_choices(r"wonder\b") == (("wonder",), None) and literal_choices("wonder.*") == (("wonder",), None)
+    assert literal_choices("(?=x)wonder")[1] is None and literal_choices("[.,]") == ((), 1) and literal_choices("(") == ((), None)
+
+
+def test_texts_give_out_only_grams_of_the_catalogue(spark):
+    """One detector's grams are few, however long the texts: before, each text gave out all it has."""
+    texts = spark.createDataFrame([(i, f"some wonder, and the number {i} " * 20) for i in range(200)], "id long, value string")
+    found = grams_of(texts, spark.createDataFrame([("wonder,",), ("and the number 7",)], "gram string"))
+    got = [(r.id, r.gram, r["at"]) for r in found.collect() if r.gram in ("wonder,", "and the number 7")]
+    assert len(got) == 200 + 11 and found.count() < 250 and all(len(at) == 20 and at[0] in (5, 13) for _, _, at in got)
+
+
 def test_empty_sides(spark):
     table = spark.createDataFrame(list(CATALOG.items()), "pattern_name string, pattern string")
     assert scan_with_table(cells(spark), table.limit(0), "text").collect() == []
